@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe_codec, near_duplicates, token_counts
+from quillspark.llm import bpe_codec, decontaminate, near_duplicates, token_counts
 from quillspark.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlap_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -29,4 +33,4 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_near_duplicates, op9_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op7_near_duplicates, op8_decontamination, op9_token_counts, op10_bpe_codec)}
