@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_codec, chat_format, decontaminate, language_id, near_duplicates, token_counts, top_k
+from quillspark.llm import bpe_codec, chat_format, decontaminate, language_id, near_duplicates, quality, token_counts, top_k
 from quillspark.llm.common import held_out, read_table
 
 
@@ -17,6 +17,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, ~held_out("doc_id", 5, 0))
+    found = quality.score(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -52,4 +60,4 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op3_language_id, op4_chat_format, op7_near_duplicates, op8_decontamination, op9_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_language_id, op4_chat_format, op7_near_duplicates, op8_decontamination, op9_token_counts, op10_bpe_codec)}
