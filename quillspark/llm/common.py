@@ -42,6 +42,7 @@ class Scratch:
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        #: For :meth:`drop`.
         out._quill_path = path
         return out
 

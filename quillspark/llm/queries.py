@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_codec, chat_format, decontaminate, language_id, near_duplicates, quality, token_counts, top_k
+from quillspark.llm import bpe_codec, chat_format, decontaminate, html_text, language_id, near_duplicates, quality, secrets, token_counts, top_k
 from quillspark.llm.common import held_out, read_table
 
 
@@ -43,6 +43,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(rows.unionByName(more))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -59,5 +67,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_language_id, op4_chat_format, op7_near_duplicates, op8_decontamination, op9_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_language_id, op4_chat_format, op5_secrets, op6_html_text, op7_near_duplicates, op8_decontamination, op9_token_counts, op10_bpe_codec, pipeline)}
