@@ -10,14 +10,17 @@ are linked from a similarity of ``percent`` per cent on.
 2.  Keys of eight registers put representatives into buckets.  A bucket first
     links each member with its least one only: one pair a text.  Confirmed links
     make first components.
-3.  What is left are pairs in one bucket but in different components.  They are
-    compared block by block: members outside the bucket's largest component
-    against all, with registers alone, each pair in its first common bucket.  Pairs
-    whose likely similarity is not clearly below the threshold are confirmed on
-    full sets.  Thus every pair that shares a bucket is linked, refused or within
-    one component already; a group of n copies needs about n comparisons.
+3.  What is left are pairs in one bucket but in different components.  All buckets
+    with the same largest component (the hub) are taken together, each member once,
+    and members outside of the hub are compared with all, block by block.  A first
+    pass compares registers alone and keeps the members that have a partner whose
+    likely similarity is not clearly below the threshold.  The second pass has
+    their texts too and confirms such pairs on full sets, each text's likeliest
+    partners first and none that has come into its component meanwhile.  Rows are
+    members of blocks, never pairs: n copies give about n rows for each block.
 4.  Components of all links give each text the least id that it can reach.
 
+Thus every pair that shares a bucket is linked, refused or within one component.
 A pair at the threshold shares no bucket with a probability of about one in a
 million, independent of the table's size.
 
@@ -119,68 +122,137 @@ def _confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs worth confirming among ``members`` of buckets that hold several components.
-
-    ``members``: bucket, band, id, comp, n, regs and per bucket main (its largest
-    component), total, rest (members outside of main).
-    """
-    n_s = F.ceil(F.col("rest") / _S_BLOCK).cast("int")
-    n_a = F.ceil(F.col("total") / _A_BLOCK).cast("int")
-    spread = F.xxhash64("id")
-    left = members.where("comp != main").select("*", F.lit(0).cast("byte").alias("side"), F.pmod(spread, n_s).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_a - 1)).alias("j"))
-    right = members.select("*", F.lit(1).cast("byte").alias("side"), F.explode(F.sequence(F.lit(0), n_s - 1)).alias("i"), F.pmod(spread, n_a).cast("int").alias("j"))
-    rows = left.unionByName(right).select("bucket", "i", "j", "side", "band", "id", "comp", "main", "n", "regs")
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+def _survivors(regs_s: np.ndarray, n_s: np.ndarray, regs_a: np.ndarray, n_a: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Wanted pairs (rows of s and of a) that share a key and whose likely similarity, also given, is not clearly too low."""
     least = S.least_estimate(percent / 100)
-
-    def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left, right = g["side"] == 0, g["side"] == 1
-        regs_a, ids_a, comp_a, n_a, main = g["regs"][right], g["id"][right], g["comp"][right], g["n"][right], g["main"][0]
-        words_a, band = regs_a.view(np.uint64), int(g["band"][0])
-        out_a, out_b = [], []
-        for lo in range(0, int(left.sum()), 32):
-            at = np.flatnonzero(left)[lo : lo + 32]
-            regs_s, ids_s, comp_s, n_s = g["regs"][at], g["id"][at], g["comp"][at], g["n"][at]
-            wanted = (comp_s[:, None] != comp_a[None, :]) & ((comp_a == main)[None, :] | (ids_s[:, None] < ids_a[None, :]))
-            wanted &= 100 * np.minimum(n_s[:, None], n_a[None, :]) >= percent * np.maximum(n_s[:, None], n_a[None, :])
-            x, y = np.nonzero(wanted)
-            for cut in range(0, len(x), 8192):
-                p, q = x[cut : cut + 8192], y[cut : cut + 8192]
-                first = (regs_s.view(np.uint64)[p] == words_a[q]).argmax(1) == band
-                p, q = p[first], q[first]
-                above, below = (regs_s[p] > regs_a[q]).sum(1), (regs_s[p] < regs_a[q]).sum(1)
-                good = S.likely_jaccard(above, below, n_s[p], n_a[q]) >= least
-                out_a.append(ids_s[p[good]])
-                out_b.append(ids_a[q[good]])
+    wanted &= 100 * np.minimum(n_s[:, None], n_a[None, :]) >= percent * np.maximum(n_s[:, None], n_a[None, :])
+    x, y = np.nonzero(wanted)
+    words_s, words_a = regs_s.view(np.uint64), regs_a.view(np.uint64)
+    out = []
+    for cut in range(0, len(x), 16384):
+        p, q = x[cut : cut + 16384], y[cut : cut + 16384]
+        shares = (words_s[p] == words_a[q]).any(1)
+        p, q = p[shares], q[shares]
+        above, below = np.count_nonzero(regs_s[p] > regs_a[q], 1), np.count_nonzero(regs_s[p] < regs_a[q], 1)
+        likely = S.likely_jaccard(above, below, n_s[p], n_a[q])
+        good = likely >= least
+        out.append((p[good], q[good], likely[good]))
+    if not out:
         none = np.empty(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        return none, none, np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        last = None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(kept)
-            g = {c: t.column(c).to_numpy() for c in ("side", "band", "id", "comp", "main", "n")}
-            g["regs"] = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, S.REGISTERS)
-            a, b = compare(g)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+class _Block:
+    """The members of one block: those outside of the hub (side 0) and those to compare them with (side 1)."""
 
-        for batch in batches(rows):
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if last is not None and tuple(keys[lo]) != last:
-                    yield from flush()
-                    kept.clear()
-                last = tuple(keys[lo])
-                kept.append(batch.slice(lo, hi - lo))
-        if kept:
-            yield from flush()
+    def __init__(self, rows: pa.Table):
+        take = lambda c: rows.column(c).to_numpy()
+        self.rows, self.side, self.ids, self.comp, self.n, self.hub = rows, take("side"), take("id"), take("comp"), take("n"), take("hub")[0]
+        self.regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(-1, S.REGISTERS)
+
+    def survivors(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of s, rows of a and likely similarities, some rows of s at a time."""
+        left, right = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
+        for lo in range(0, len(left), 64):
+            s = left[lo : lo + 64]
+            wanted = (self.comp[s][:, None] != self.comp[right][None, :]) & ((self.comp[right] == self.hub)[None, :] | (self.ids[s][:, None] < self.ids[right][None, :]))
+            p, q, likely = _survivors(self.regs[s], self.n[s], self.regs[right], self.n[right], wanted, percent)
+            yield s[p], right[q], likely
+
+
+def _by_block(rows: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """Calls ``use`` on each block of rows that are sorted by hub, i, j."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches(rows):
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if last is not None and tuple(keys[lo]) != last:
+                yield from use(pa.Table.from_batches(kept))
+                kept.clear()
+            last = tuple(keys[lo])
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield from use(pa.Table.from_batches(kept))
+
+
+_ROW = "hub long, i int, j int, side byte, id long, comp long, n long, regs binary"
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (hub, id, comp, n, regs, and the hub's total and rest) dealt to blocks."""
+    n_s, n_a, spread = F.ceil(F.col("rest") / _S_BLOCK).cast("int"), F.ceil(F.col("total") / _A_BLOCK).cast("int"), F.xxhash64("id")
+    left = members.where("comp != hub").select("hub", F.pmod(spread, n_s).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_a - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "id", "comp", "n", "regs")
+    right = members.select("hub", F.explode(F.sequence(F.lit(0), n_s - 1)).alias("i"), F.pmod(spread, n_a).cast("int").alias("j"), F.lit(1).cast("byte").alias("side"), "id", "comp", "n", "regs")
+    return left.unionByName(right)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side", "id")
+
+
+def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks that have a partner left, by registers alone."""
+
+    def use(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block = _Block(table)
+        needed = np.zeros(table.num_rows, bool)
+        for s, a, _ in block.survivors(percent):
+            needed[s] = needed[a] = True
+        if needed.any():
+            yield from table.filter(pa.array(needed)).combine_chunks().to_batches()
+
+    return _dealt(rows).mapInArrow(lambda rows: _by_block(rows, use), _ROW)
+
+
+def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links among blocks whose rows carry the text as ``t``, as many as join components."""
+
+    def links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
 
-    return dealt.mapInArrow(run, "a long, b long")
+        def use(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, texts = _Block(table), bytes_of(table.column("t").combine_chunks())
+            sets: dict[int, np.ndarray] = {}
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            def of(row: int) -> np.ndarray:
+                i = int(block.ids[row])
+                if i not in sets:
+                    sets[i] = shingle_set(_hashes(texts[row], seen), words)
+                return sets[i]
+
+            out = []
+            for s, a, likely in block.survivors(percent):
+                for row in np.unique(s):
+                    mine = s == row
+                    order = a[mine][np.argsort(-likely[mine], kind="stable")]
+                    own, c = of(row), int(block.comp[row])
+                    for lo in range(0, len(order), 16):
+                        more = [r for r in order[lo : lo + 16] if root(int(block.comp[r])) != root(c)]
+                        if not more:
+                            continue
+                        others = [of(r) for r in more]
+                        both = np.concatenate(others)
+                        at = np.minimum(np.searchsorted(own, both), len(own) - 1)
+                        common = np.add.reduceat(own[at] == both, np.concatenate([[0], np.cumsum([len(o) for o in others])[:-1]]), dtype=np.int64)
+                        for r, o, n in zip(more, others, common.tolist()):
+                            if 100 * n >= percent * (len(own) + len(o) - n) and root(int(block.comp[r])) != root(c):
+                                parent[root(int(block.comp[r]))] = root(c)
+                                out.append((int(block.ids[row]), int(block.ids[r])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+        return _by_block(rows, use)
+
+    return _dealt(rows).mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -208,15 +280,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("comp"))
     placed = scratch.keep(placed, "placed")
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), (F.sum("c") - F.max("c")).alias("rest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    left = placed.join(mixed, "bucket").join(reps, "id")
-    more = _block_pairs(left, percent).join(tried, ["a", "b"], "left_anti")
-    more = scratch.keep(more.distinct(), "second-pairs")
-    links2 = scratch.keep(_confirmed(more, df, key, text, words, percent), "second-links")
-    scratch.drop(members, placed, more)
+    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    hubs = scratch.keep(placed.join(mixed, "bucket").select("hub", "id", "comp").distinct(), "hubs")
+    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("comp != hub")).alias("rest"))
+    blocks = _blocks(hubs.join(sizes, "hub").join(reps, "id"))
+    left = scratch.keep(_with_partners(blocks, percent), "with-partners")
+    scratch.drop(members, placed, hubs)
+    needed = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    more = scratch.keep(_block_links(left.join(needed, "id").select(*left.columns, "t"), words, percent), "second-links")
+    scratch.drop(left)
 
     by = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
-    lifted = links2.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    lifted = more.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     tops = component_roots(lifted, scratch)
     final = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     final = final.unionByName(tops)  # the nodes of tops are roots or stand alone, so none is there twice

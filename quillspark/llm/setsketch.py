@@ -110,6 +110,6 @@ def likely_jaccard(above: np.ndarray, below: np.ndarray, size_a: np.ndarray, siz
     return (lo + hi) / 2
 
 
-def least_estimate(threshold: float, deviations: float = 5.0) -> float:
+def least_estimate(threshold: float, deviations: float = 4.5) -> float:
     """An estimate below this speaks against a similarity of ``threshold`` by so many standard deviations."""
     return threshold - deviations * (threshold * (1 - threshold) / REGISTERS) ** 0.5
