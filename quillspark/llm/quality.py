@@ -134,30 +134,27 @@ class Pooler:
 
 def context_vectors(texts: list[str], most: int, span: int = 2) -> dict[str, np.ndarray]:
     """Random indexing over the sample: each frequent term's sum of its neighbours' index vectors, to length one."""
-    lists = [text.split() for text in texts]
-    counts = Counter(t for tokens in lists for t in tokens)
-    terms_of = {token: shape_terms(token) for token in counts}
-    heavy = Counter()
-    for token, n in counts.items():
-        for term in terms_of[token]:
+    number: dict[str, int] = {}
+    lists = [np.array([number.setdefault(token, len(number)) for token in text.split()], np.int32) for text in texts]
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *lists]), minlength=len(number))
+    tokens = list(number)
+    heavy: Counter = Counter()
+    for token, n in zip(tokens, counts.tolist()):
+        for term in shape_terms(token):
             heavy[term] += n
     names = [t for t, n in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 2]
     place = {t: i for i, t in enumerate(names)}
-    tokens = sorted(counts)
-    number = {t: i for i, t in enumerate(tokens)}
-    first = index_vectors([terms_of[t][0] for t in tokens])
+    first = index_vectors([shape_terms(t)[0] for t in tokens])
     near = np.zeros((len(tokens), DIM), np.float32)
-    for found in lists:
-        at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+    for at in lists:
         for d in range(1, span + 1):
             np.add.at(near, at[d:], first[at[:-d]])
             np.add.at(near, at[:-d], first[at[d:]])
     out = np.zeros((len(names), DIM), np.float32)
-    for token in tokens:
-        for term in terms_of[token]:
-            i = place.get(term)
-            if i is not None:
-                out[i] += near[number[token]]
+    for i, token in enumerate(tokens):
+        for term in shape_terms(token):
+            if (row := place.get(term)) is not None:
+                out[row] += near[i]
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
     return dict(zip(names, out))
 
@@ -166,7 +163,7 @@ def train(texts: list[str], labels: list[int], terms: int = 20_000, hidden: int
     """Trains on four fifths of the texts and calibrates on the rest."""
     context = context_vectors(texts, terms)
     model = Model(context, (), 1.0)
-    x = Pooler(model.term_vectors)(texts)
+    x = Pooler(model.term_vectors, most=20_000)(texts)  # little memory: this runs on the driver
     y = np.array(labels, np.float64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -200,7 +197,7 @@ def train(texts: list[str], labels: list[int], terms: int = 20_000, hidden: int
     return model
 
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000) -> Model | None:
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2500) -> Model | None:
     """Trains on about ``sample`` labelled rows that ``learn_from`` (over the key) picks, chosen by a hash of the key."""
     known = labels.where(learn_from & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     n = known.count()
