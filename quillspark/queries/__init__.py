@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.queries import tables, verbs
+from quillspark.queries import documents, tables, verbs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
     return found
 
 
-FAMILIES = (verbs, tables)
+FAMILIES = (verbs, tables, documents)
