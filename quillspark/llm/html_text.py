@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import batches, slim_batches, texts_of
+from quillspark.llm.common import Scratch, batches, slim_batches, texts_of
 
 #: Elements by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -188,9 +188,8 @@ def occurrence_classes(pages: DataFrame, key: str = "page_id", url: str = "url",
     return tokens.groupBy("host", "path", "token").agg(F.sum("n").alias("pages"), F.sum("print").alias("print"), F.sum("chars").alias("chars"))
 
 
-def templates(pages: DataFrame, least_share: float = 0.5, least_pages: int = 3, **names) -> DataFrame:
-    """Per host: ``template``, an array of (path, token) of valid classes, and ``main``, the path of the main slot."""
-    tokens = occurrence_classes(pages, **names)
+def templates(tokens: DataFrame, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
+    """From :func:`occurrence_classes`, per host: ``template``, an array of (path, token) of valid classes, and ``main``, the path of the main slot."""
     hosts = tokens.where("path = '' and token = 0").select("host", F.col("pages").alias("all"))
     tokens = tokens.where("path != ''").join(hosts, "host")
     valid = (F.col("pages") >= F.lit(least_share) * F.col("all")) & (F.col("pages") >= least_pages)
@@ -214,27 +213,43 @@ def main_text(blocks: list[Block], template: set[tuple[str, int]], main: str | N
     return "\n".join(b.text for b in chosen)
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: key, url, ``text`` (blocks joined by one line end) and ``n_chars``."""
-    slim_batches(pages.sparkSession, 512)
+def _known(members: list[dict] | None, main: str | None) -> tuple[set[tuple[str, int]], str | None]:
+    return {(m["path"], m["token"]) for m in members or [] if m["token"]}, main
+
+
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_sent: int = 100_000) -> DataFrame:
+    """Per page: key, url, ``text`` (blocks joined by one line end) and ``n_chars``.
+
+    Templates of at most ``most_sent`` tokens in all are broadcast; more are joined to their hosts' pages.
+    """
+    spark = pages.sparkSession
+    slim_batches(spark, 512)
     pages = pages.select(key, url, html)
-    found = templates(pages, key=key, url=url, html=html)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.withColumn("_host", host).join(found.withColumnRenamed("host", "_host"), "_host", "left").select(key, url, html, "template", "main", "_host")
+    scratch = Scratch(spark, "templates")
+    tokens = scratch.keep(occurrence_classes(pages, key, url, html), "tokens")  # used three times, parsed once
+    found = scratch.keep(templates(tokens), "templates")
+    scratch.drop(tokens)
+    size = found.agg(F.sum(F.coalesce(F.size("template"), F.lit(0)) + 1)).first()[0] or 0
+    sent = None
+    if size <= most_sent:
+        sent = spark.sparkContext.broadcast({r.host: _known([m.asDict() for m in r.template or []], r.main) for r in found.toLocalIterator()})
+    else:
+        host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        pages = pages.withColumn("host", host).join(found, "host", "left").select(key, url, html, "template", "main")
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    none: tuple[set[tuple[str, int]], str | None] = (set(), None)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[tuple[str, int]], str | None]] = {}
+        known: dict[str, tuple[set[tuple[str, int]], str | None]] = sent.value if sent else {}
         for batch in batches(rows):
-            hosts = batch.column(5).to_pylist()
             texts = []
-            for i, page in enumerate(texts_of(batch.column(2))):
-                if hosts[i] not in known:
+            for i, (u, page) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch.column(2)))):
+                host = host_of(u)
+                if not sent and host not in known:
                     if len(known) >= 256:
                         known.clear()
-                    members = batch.column(3)[i].as_py() or []
-                    known[hosts[i]] = ({(m["path"], m["token"]) for m in members if m["token"]}, batch.column(4)[i].as_py())
-                texts.append(main_text(blocks_of(page), *known[hosts[i]]))
+                    known[host] = _known(batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
+                texts.append(main_text(blocks_of(page), *known.get(host, none)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
