@@ -93,10 +93,53 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, "id long, band byte, bucket long")
 
 
+#: Bits of the filter that picks texts before they are shuffled: 4 MB, whatever the table's size.
+_FILTER_BITS = 1 << 25
+
+
+def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = S.mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return h % np.uint64(_FILTER_BITS), (h >> np.uint64(32)) % np.uint64(_FILTER_BITS)
+
+
+def _texts(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, t`` of the rows whose key is among ``ids(id)``.
+
+    A Bloom filter of fixed size drops most other rows where they are read, so
+    that only texts that are needed are shuffled; the join then is exact.
+    """
+
+    def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            places = np.concatenate(_filter_places(np.asarray(batch.column(0))))
+            word, bit = (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+    found = ids.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(_FILTER_BITS // 64, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            known = batch.filter(batch.column(0).is_valid())
+            if not known.num_rows:
+                continue
+            hit = np.ones(known.num_rows, bool)
+            for places in _filter_places(np.asarray(known.column(0))):
+                hit &= (sent.value[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) == 1
+            if hit.any():
+                yield known.filter(pa.array(hit))
+
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(pick, "id long, t string").join(ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    texts = _texts(df, ids, key, text)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +329,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     blocks = _blocks(hubs.join(sizes, "hub").join(reps, "id"))
     left = scratch.keep(_with_partners(blocks, percent), "with-partners")
     scratch.drop(members, placed, hubs)
-    needed = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    needed = _texts(df, left.select("id").distinct(), key, text).dropDuplicates(["id"])
     more = scratch.keep(_block_links(left.join(needed, "id").select(*left.columns, "t"), words, percent), "second-links")
     scratch.drop(left)
 
