@@ -3,8 +3,8 @@
 No shuffle and no shared state: each worker loads the vocabulary file (its path
 is a parameter), encodes whole texts and decodes the ids again.  A null text is
 the empty text; it has no ids and decodes to the empty text.  Rows stay as they
-are, repeated or not; other columns are carried under their own names, and the
-new columns must not be among them (``ValueError`` names those that are).
+are, repeated or not; other columns are carried along, those that have the name of
+a new column under ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -16,19 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.llm.common import batches, slim_batches, texts_of
+from quillspark.llm.common import batches, make_room, slim_batches, texts_of
 from quillspark.llm.word_bpe import WordBpe
 
 
-def free_names(df: DataFrame, names: list[str]) -> None:
-    taken = {c.lower() for c in df.columns}
-    if both := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"columns {both} are already there; rename them first")
-
-
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Adds ``ids`` (array<int>) and, if named, ``decoded``: the ids' text."""
-    free_names(df, [ids, *([decoded] if decoded else [])])
+    df, text = make_room(df, [ids, *([decoded] if decoded else [])], text)
     slim_batches(df.sparkSession)
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])

@@ -75,6 +75,21 @@ def held_out(column: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(parts) == F.lit(part), F.lit(False))
 
 
+def make_room(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, str]:
+    """The rows with columns that have one of the names (in any case) renamed to ``<name>_in``; and what ``text`` is called then."""
+    new = {n.lower() for n in names}
+    taken = {c.lower() for c in df.columns} | new
+    renamed = {}
+    for c in df.columns:
+        if c.lower() in new:
+            to = f"{c}_in"
+            while to.lower() in taken:
+                to += "_in"
+            taken.add(to.lower())
+            renamed[c] = to
+    return (df.withColumnsRenamed(renamed) if renamed else df), renamed.get(text, text)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for words that come again; bounded."""
 

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe_codec import free_names
-from quillspark.llm.common import batches, bytes_of, slim_batches
+from quillspark.llm.common import batches, bytes_of, make_room, slim_batches
 
 #: Separators become spaces and A-Z become small; the rest, bytes from 0x80 on included, belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -128,6 +127,7 @@ class Shard:
         return items, np.cumsum(edges[:-1]) > 0, longest
 
 
+_OWN = ["_n_words", "_hits", "_items", "_longest"]
 _STATE = "_n_words long, _hits array<long>, _items array<string>, _longest struct<words: long, item_id: string, doc_word: long, item_word: long>"
 
 
@@ -187,8 +187,11 @@ def _pass(df: DataFrame, at: int, block: list[tuple[str, bytes]], window: int, s
 
 
 def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 4 << 20) -> DataFrame:
-    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``longest`` (the longest match and where it stands, or null)."""
-    free_names(df, ["n_words", "n_hit", "items", "longest"])
+    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``longest`` (the longest match and where it stands, or null).
+
+    Columns of these names that are there already are carried as ``<name>_in``.
+    """
+    df, text = make_room(df, ["n_words", "n_hit", "items", "longest", *_OWN], text)
     slim_batches(df.sparkSession)
     blocks: list[list[tuple[str, bytes]]] = [[]]
     size = 0
@@ -207,7 +210,9 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that hold no occurrence of any window; columns as they were."""
-    return find_overlaps(df, benchmark, **options).where("n_hit = 0").select(*df.columns)
+    found = find_overlaps(df, benchmark, **options).where("n_hit = 0")
+    # The columns of df come first, in order, whatever they had to be called meanwhile.
+    return found.select(*(F.col(c).alias(name) for c, name in zip(found.columns, df.columns)))
 
 
 def overlap_digests(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import batches, slim_batches
+from quillspark.llm.common import batches, make_room, slim_batches
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -180,10 +180,8 @@ def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "tex
 
 
 def identify(df: DataFrame, model: Trained, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its calibrated probability."""
-    from quillspark.llm.bpe_codec import free_names
-
-    free_names(df, list(names))
+    """Adds the predicted language and its calibrated probability; columns of these names are carried as ``<name>_in``."""
+    df, text = make_room(df, list(names), text)
     slim_batches(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -199,5 +197,5 @@ def identify(df: DataFrame, model: Trained, text: str = "text", names: tuple[str
 
 def accepted(df: DataFrame, model: Trained, text: str = "text") -> DataFrame:
     """The rows whose language is told with a score that is not rejected; columns as they were."""
-    found = identify(df, model, text, ("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= model.reject_below)).select(*df.columns)
+    found = identify(df, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.reject_below))
+    return found.select(*(F.col(c).alias(name) for c, name in zip(found.columns, df.columns)))

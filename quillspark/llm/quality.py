@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import batches, slim_batches
+from quillspark.llm.common import batches, make_room, slim_batches
 
 DIM, _ONES, _SHAPE = 96, 8, 5
 REPEAT = "\x00repeat"
@@ -213,10 +213,8 @@ def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the probability of a high quality, 0 to 1."""
-    from quillspark.llm.bpe_codec import free_names
-
-    free_names(df, [name])
+    """Adds the probability of a high quality, 0 to 1; a column of this name is carried as ``<name>_in``."""
+    df, text = make_room(df, [name], text)
     if model is None:
         return df.withColumn(name, F.lit(0.5))
     slim_batches(df.sparkSession)

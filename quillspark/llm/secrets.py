@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.llm.bpe_codec import free_names
-from quillspark.llm.common import batches, slim_batches, texts_of
+from quillspark.llm.common import batches, make_room, slim_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns.
@@ -126,8 +125,8 @@ class Scanner:
 
 
 def find_secrets(df: DataFrame, text: str = "text", name: str = "secrets", **options) -> DataFrame:
-    """Adds ``name``: array of structs kind, start, end."""
-    free_names(df, [name])
+    """Adds ``name``: array of structs kind, start, end; a column of this name is carried as ``<name>_in``."""
+    df, text = make_room(df, [name], text)
     slim_batches(df.sparkSession)
     at = df.columns.index(text)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
