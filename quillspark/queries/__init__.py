@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.queries import documents, tables, transforms, verbs
+from quillspark.queries import documents, formats, tables, transforms, verbs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
     return found
 
 
-FAMILIES = (transforms, verbs, tables, documents)
+FAMILIES = (transforms, verbs, tables, documents, formats)
