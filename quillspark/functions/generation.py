@@ -29,7 +29,7 @@ def uuid(seed=None):
     """Random; or from two hashes of a seed, with the bits of version 5 set."""
     if seed is None or seed.is_null:
         return text(F.uuid())
-    codes = F.transform(F.filter(F.split(S(seed), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint"))
+    codes = F.transform(F.filter(F.split(S(seed), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint"))
     a, b = _xor_hash(codes, 5381), _xor_hash(codes, 52711)
     octets = [_signed_shift(h, 4 * i) for h in (a, b) for i in range(8)]
     octets[6] = octets[6].bitwiseAND(F.lit(0x0F)).bitwiseOR(F.lit(0x50))

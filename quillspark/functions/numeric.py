@@ -162,7 +162,7 @@ def mulberry_column(seed):
 
 def text_seed(s, start: int, minus: bool):
     """A 32-bit hash of a text: each code point is added to 31 (or 33) times what there is."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint"))
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint"))
     factor = 31 if minus else 33
     return F.aggregate(codes, F.lit(start).cast("bigint"), lambda h, c: (h * factor + c).bitwiseAND(F.lit(_LOW)))
 
