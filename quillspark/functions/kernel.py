@@ -89,8 +89,8 @@ def lit(x) -> Value:
         return Value(F.lit(x), T.DateType(), x)
     if isinstance(x, (list, tuple)):
         items = [lit(i) for i in x]
-        kind = next((i.type for i in items if not i.is_null), STRING)
-        return Value(F.array(*(i.col.cast(kind) for i in items)) if items else F.array().cast(T.ArrayType(kind)), T.ArrayType(kind))
+        cols, kind = unify(*items)
+        return Value(F.array(*(c.cast(kind) for c in cols)) if items else F.array().cast(T.ArrayType(kind)), T.ArrayType(kind))
     raise TypeError(f"no literal of {type(x).__name__}")
 
 

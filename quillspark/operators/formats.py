@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def _like(pattern: str):
 
 def _valid_pattern(s: Column) -> Column:
     """Whether each text is a pattern; patterns are compiled in Python, as there is no expression for it."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def compiles(texts: pd.Series) -> pd.Series:
         def good(x) -> bool:
