@@ -93,7 +93,7 @@ def make_room(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, st
 class WordHashes(dict):
     """64-bit hash of each word, kept for words that come again; bounded."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 

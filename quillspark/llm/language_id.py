@@ -120,7 +120,7 @@ def train(texts: list[str], langs: list[str], bits: int = 15, dim: int = 16, epo
 class Scorer:
     """Scores texts; each word's sums are kept for words that come again, in bounded memory."""
 
-    def __init__(self, model: Trained, most: int = 400_000):
+    def __init__(self, model: Trained, most: int = 200_000):
         self.model, self.most = model, most
         self.clear()
 

@@ -93,7 +93,7 @@ class Model:
 class Pooler:
     """Means of term vectors over whole texts; tokens that come again are kept, in bounded memory."""
 
-    def __init__(self, vectors, most: int = 500_000):
+    def __init__(self, vectors, most: int = 250_000):
         self.vectors, self.most = vectors, most
         self.clear()
 

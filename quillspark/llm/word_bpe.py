@@ -126,7 +126,7 @@ class _Words(dict):
 class WordBpe:
     """Encoder and decoder of one vocabulary file (``.json``)."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 350_000):
         self.path, self.odd, self.library = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
