@@ -122,7 +122,8 @@ def field_violations(df: DataFrame, f: Field) -> list[tuple[Column, Column]]:
     good = ~null & _type_good(v, f.type)
     out.append((~null & ~_type_good(v, f.type), _violation(f.path, "V002", f.type, shown)))
     if f.places is not None:
-        places = F.when(shown.contains("."), F.length(F.substring_index(shown, ".", -1))).otherwise(F.lit(0))
+        raw = v.col.cast("string") if v.is_number else shown
+        places = F.lit(v.type.scale) if isinstance(v.type, T.DecimalType) else F.when(raw.contains("."), F.length(F.substring_index(raw, ".", -1))).otherwise(F.lit(0))
         out.append((good & (places != f.places), _violation(f.path, "V003", f.places, places)))
     if f.least is not None or f.most is not None:
         out.append((good & ~_bounds(v, f), _violation(f.path, "V003", f"min={f.least}, max={f.most}", shown)))

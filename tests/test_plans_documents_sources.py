@@ -179,3 +179,68 @@ def test_table_operators_on_nulls_and_ties(spark):
     with pytest.raises(TypeError):
         R.count_by(df.withColumn("o", F.struct("id")), "o")
     assert json.loads(writers.json_lines(df.where("id = 2"), ["g", "x"], nulls=False).first().line) == {"g": "a"}
+
+
+SCHEMA = """{$}
+version = "1"
+{@address}
+city = !
+zip = :/^\\d{5}$/
+{order}
+id = !## :(1..)
+status = (open, closed)
+subtotal = #$
+tax = #$.2
+total = !#$
+when = date
+closed_on = date :if status = closed
+mail = :format email
+:invariant total = subtotal + tax
+:one_of when, closed_on
+{order.ship}
+to = @address
+{lines[]} :(1..3) :unique
+sku = !:(2..5)
+"""
+
+
+def test_schema_text(spark):
+    from quillspark import api
+    from quillspark.plans.schema import SchemaError, parse_schema, resolve_imports, write_schema
+
+    doc = parse_schema(SCHEMA)
+    again = parse_schema(write_schema(doc))
+    assert again == doc
+    assert doc.arrays["lines"].least == 1 and doc.arrays["lines"].unique and doc.arrays["lines"].fields["sku"].most == 5
+    assert {p for p in doc.expanded() if "ship" in p} == {"order.ship.to.city", "order.ship.to.zip"}
+    kinds = {f.name: f.dataType.simpleString() for f in doc.struct("order").fields}
+    assert kinds["id"] == "bigint" and kinds["total"] == "decimal(38,2)" and kinds["when"] == "date" and kinds["ship"].startswith("struct<to:struct<city")
+    df = spark.sql(
+        "SELECT * FROM VALUES (1L, 'open', 10.00, 1.00, 11.00, date'2024-01-01', cast(null as date), 'a@b.c'), (0L, 'closed', 10.00, 1.00, 99.00, cast(null as date), cast(null as date), 'nobody')"
+        " AS t(id, status, subtotal, tax, total, `when`, closed_on, mail)"
+    )
+    small = api.parse_schema(SCHEMA.replace("{order.ship}\nto = @address\n", ""))
+    got = sorted((r.key, r.code, r.path) for r in api.validate(df, "id", small.rules("order")).collect())
+    assert got == [(0, "V003", "id"), (0, "V004", "mail"), (0, "V008", ""), (0, "V009", "when,closed_on"), (0, "V010", "closed_on")]
+    with pytest.raises(SchemaError, match="V017"):
+        parse_schema("{a}\nx = ## :(5..1)")
+    files = {"a": "@import b\n{@t}\nx = ##\n", "b": "{@u}\ny = ?\n"}
+    assert set(resolve_imports(parse_schema("@import a\n{z}\nf = @t\n"), files.__getitem__).types) == {"t", "u"}
+    with pytest.raises(SchemaError, match="I003"):
+        resolve_imports(parse_schema("@import a\n"), {"a": "@import b\n", "b": "@import a\n"}.__getitem__)
+    assert api.path("a", 0, "b") == "a[0].b"
+
+
+def test_layout(spark):
+    from quillspark.operators import layout
+
+    row = spark.range(1).select(layout.to_pixels(_v(2.54), _v("cm")).col.alias("px"), layout.from_pixels(_v(96), _v("inch")).col.alias("inch"), layout.contrast_ratio(_v("#000000"), _v("ffffff")).col.alias("c"), layout.contrast_ratio(_v("#12"), _v("ffffff")).col.alias("bad")).first()
+    assert (row.px, row.inch, round(row.c, 6), row.bad) == (96.0, 1.0, 21.0, None)
+    df = table(spark, [(1, [1, 2, 3, 4, 5]), (2, None)], "id int, xs array<int>")
+    assert rows_of(layout.pages(df, "xs", 2, 2).select("id", "page", "items"), "id", "page") == [(1, 0, [1, 2]), (1, 1, [3, 4]), (1, 2, [5]), (2, 0, None)]
+
+
+def _v(x):
+    from quillspark.functions import lit
+
+    return lit(x)
