@@ -24,6 +24,9 @@ from quillspark.functions.registry import call, null
 from quillspark.plans.ir import Call, Condition, Copy, Expression, Literal, Mapping, Object, Segment, Template, Transform
 
 DEEPEST, MOST_LOOPS = 32, 10
+RECORD = "_record_type"
+#: Under strict types these verbs take numbers only.
+NUMERIC = frozenset("abs round floor ceil trunc sign negate sqrt exp add subtract multiply divide mod pow log clamp".split())
 
 
 class PlanError(ValueError):
@@ -121,7 +124,12 @@ class _Compiler:
                 return found
             cols, kind = unify(found, default)
             return Value(F.coalesce(*cols), kind)
-        return call(e.verb, *(self.value(a, scope, depth + 1) for a in e.args))
+        args = [self.value(a, scope, depth + 1) for a in e.args]
+        if self.plan.strict and e.verb in NUMERIC:
+            for v in args:
+                if not v.is_number and not v.is_null:
+                    raise PlanError(f"T002: '{e.verb}' takes numbers, not {v.type.simpleString()}")
+        return call(e.verb, *args)
 
     def test(self, c: Condition, scope: _Scope) -> Column:
         v = self.value(c.left, scope)
@@ -273,6 +281,10 @@ class _Compiler:
         scope = _Scope(df, self.plan)
         scope.state, scope.source = dict(root.state), dict(root.source)
         rows = df.where(applies)
+        if seg.record is not None:
+            if RECORD not in df.columns:
+                raise PlanError(f"CONFIG_ERROR: '{seg.name}' is for records of a type; run it by run_records()")
+            rows = rows.where(F.col(RECORD) == seg.record)
         at: list[str] = []
         if len(seg.loops) > MOST_LOOPS:
             raise PlanError(f"T009: more than {MOST_LOOPS} loops in one another")
@@ -293,6 +305,9 @@ class _Compiler:
             scope.names["_index"], scope.names["_length"] = Value(F.col(place).cast("bigint"), T.LongType()), Value(F.col(f"_size{i}").cast("bigint"), T.LongType())
             if seg.counter:
                 scope.names[seg.counter] = scope.names["_index"]
+        if seg.literal is not None:
+            said = rows.select(key, *at, F.posexplode(F.split(S(self.value(seg.literal, scope)), "\n")).alias(f"_at{len(at)}", "line"))
+            return seg.name, said, None, [], True
         targets: dict[str, Value] = {}
         finals: list[tuple[str, Value]] = []
         problems: list[Column] = []
@@ -318,7 +333,8 @@ class _Compiler:
                 targets[m.target] = v
         values = [scope.outputs["_"]] if not targets and "_" in scope.outputs and not finals else None
         cols = [v.col.alias(n) for n, v in targets.items()] if values is None else [values[0].col.alias("value")]
-        made = rows.select(key, *at, *cols)
+        place = [F.lit(seg.index or 0).alias("_at0")] if seg.array and not at else []
+        made = rows.select(key, *at, *place, *cols)
         if problems:
             found = rows.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*problems))).alias("p"))
             self.errors.append(found.select("key", F.lit(seg.name).alias("segment"), "p.*"))
@@ -331,6 +347,34 @@ class _Compiler:
         return seg.name, made, last, [n for n, _ in finals], bool(at) or seg.array
 
 
+def run_records(plan: Transform, df: DataFrame, key: str, line: str) -> Result:
+    """Runs a plan over raw records, a line each, each segment over the records of its type.
+
+    The plan's ``source.discriminator`` tells the type: ``:pos 0 :len 2``, ``:field 0``,
+    or a path into JSON.  Segments see the record as ``_raw`` and ``_line``, and what
+    stands between its commas as ``0``, ``1`` and so on.  Records of no segment's type
+    are errors.
+    """
+    from quillspark.sources.readers import discriminator
+
+    how = plan.meta.get("source.discriminator", "")
+    number = lambda name: int(m[1]) if (m := re.search(rf":{name}\s+#*(\d+)", how)) else None
+    if number("field") is not None:
+        kind = discriminator(line, "field", index=number("field"))
+    elif number("pos") is not None:
+        kind = discriminator(line, "position", number("pos"), number("len") or 1)
+    else:
+        kind = discriminator(line, "path", path=how.strip("@\" "))
+    used = [int(n) for n in re.findall(r"Copy\(path='@?(\d+)'\)", repr(plan.segments))]
+    cells = {str(i): F.get(F.split(line, ","), F.lit(i)) for i in range(max(used, default=-1) + 1)}
+    records = df.withColumns({RECORD: kind, "_raw": F.col(line), "_line": F.col(line), **cells})
+    out = run(plan, records, key)
+    known = [s.record for s in plan.segments if s.record is not None]
+    lost = records.where(~F.col(RECORD).isin(*known) if known else F.lit(True)).select(F.col(key).alias("key"), F.lit("").alias("segment"), F.lit("").alias("path"), F.lit("UNKNOWN_RECORD_TYPE").alias("code"), F.concat(F.lit("no segment is for records of type "), RECORD).alias("message"))
+    out.errors = lost if out.errors is None else out.errors.unionByName(lost)
+    return out
+
+
 def _const(col: Column, last: bool) -> Column:
     """A document's own value beside aggregates: the same on all its rows."""
     return F.first(col) if last else col

@@ -70,7 +70,12 @@ class Mapping:
 
 @dataclass(frozen=True)
 class Segment:
-    """``branch`` is "", "if", "elif" or "else"; a name from ``_`` on is computed and not returned."""
+    """``branch`` is "", "if", "elif" or "else"; a name from ``_`` on is computed and not returned.
+
+    Segments of one name with an ``index`` are items of one array.  ``record`` is the
+    type of the records that a segment is for, where records are routed; ``literal``
+    is a block of text whose lines are the segment's rows.
+    """
 
     name: str
     mappings: Sequence[Mapping] = ()
@@ -80,6 +85,9 @@ class Segment:
     counter: str | None = None
     number: int | None = None
     array: bool = False
+    index: int | None = None
+    record: str | None = None
+    literal: Template | Literal | None = None
 
 
 @dataclass(frozen=True)
@@ -96,6 +104,7 @@ class Transform:
     accumulators: dict[str, Accumulator] = field(default_factory=dict)
     meta: dict[str, str] = field(default_factory=dict)
     confidential: str = ""  # "", "redact" or "mask"
+    strict: bool = False
 
     def ordered(self) -> list[Segment]:
         """Segments by pass: numbered passes going up, then those without one."""

@@ -11,7 +11,7 @@ from quillspark.operators import documents as D
 from quillspark.operators import relational as R
 from quillspark.operators import validation as V
 from quillspark.operators.formats import FORMATS, passes
-from quillspark.plans import parse_transform, run
+from quillspark.plans import parse_transform, run, run_records
 from quillspark.plans.compiler import PlanError
 from quillspark.plans.expr import ExpressionError, parse_expr
 from quillspark.plans.text import TransformError
@@ -55,6 +55,25 @@ def test_branches_lookups_and_earlier_outputs(spark):
         run(parse_transform(HEAD + "{a :else}\nx = ##1\n"), df, "id")
 
 
+def test_indexed_segments_are_one_array(spark):
+    df = table(spark, [(1, "x", "y")], "id int, a string, b string")
+    out = run(parse_transform(HEAD + "{v[1]}\nn = @b\n{v[0]}\nn = @a\n"), df, "id")
+    assert [r.n for r in out.documents(df, "id").first().v] == ["x", "y"]
+
+
+def test_literal_blocks_strict_types_and_records(spark, fleet):
+    plan = HEAD + '{text[]}\n:loop vehicles :as v\n:literal\n"""\nvin ${@v.vin}\n-\n"""\n'
+    out = run(parse_transform(plan), fleet, "id").segments["text"]
+    assert [r.line for r in out.orderBy("_at0", "_at1").collect()] == ["vin A", "-", "vin B", "-", "vin C", "-"]
+    with pytest.raises(PlanError, match="T002"):
+        run(parse_transform('{$}\nstrictTypes = true\n{o}\nx = %add "a" ##1\n'), fleet, "id")
+    lines = table(spark, [(1, "H,x"), (2, "D,7,y"), (3, "Z,0")], "n int, l string")
+    plan = '{$}\nsource.discriminator = ":field 0"\n{head}\n_type = "H"\nname = @1\n{rows[]}\n_type = "D"\nid = @1 :type integer\nraw = @_line :pos 4 :len 1\n'
+    found = run_records(parse_transform(plan), lines, "n", "l")
+    assert rows_of(found.segments["head"], "n") == [(1, "x")] and rows_of(found.segments["rows"].select("n", "id", "raw"), "n") == [(2, 7, "y")]
+    assert [(r.key, r.code) for r in found.errors.collect()] == [(3, "UNKNOWN_RECORD_TYPE")]
+
+
 def test_accumulators_in_passes(fleet):
     plan = HEAD + '{$accumulator}\nn = ##0\nn._persist = true\n{out}\nseen = "@$accumulator.n"\n{_count[]}\n_pass = ##1\n:loop vehicles :as v\n_ = %accumulate n "count" ##1\n'
     assert rows_of(run(parse_transform(plan), fleet, "id").segments["out"], "id") == [(1, 3.0), (2, 0.0)]
