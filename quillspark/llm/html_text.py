@@ -104,18 +104,24 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(path, text, article, gone))
 
     at, find = 0, _TOKEN.search
+    # An element that is no container but left out by its class is muted: up to its end or the next block.
+    muted, depth = "", 0
     while True:
         m = find(page, at)
+        if not muted and (m is None or m.start() > at):
+            held.append(page[at : m.start() if m else len(page)])
         if m is None:
-            held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
+        if name in BLOCKS or name in CONTAINERS:
+            muted = ""
+        elif name == muted:
+            depth += -1 if m[1] else 1
+            muted = muted if depth else ""
         if m[1]:
             if name in BLOCKS or name in CONTAINERS:
                 close_block()
@@ -141,6 +147,8 @@ def blocks_of(page: str) -> list[Block]:
             _, path, article, gone = stack[-1]
             inner = article or name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?(?:article|main)\b""", m[3], re.I) is not None
             stack.append((name, f"{path}/{_label(name, m[3])}", inner, gone or _left_out(name, m[3])))
+        elif not muted and _left_out(name, m[3]):
+            muted, depth = name, 1
     close_block()
     return out
 

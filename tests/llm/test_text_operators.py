@@ -117,6 +117,11 @@ def test_html_article(spark):
     assert got[98].text == "" and got[99].text == "bare text\nmore"
 
 
+def test_html_elements_left_out_by_class():
+    page = "<article><p>a <span class='advert'>x <span>y</span></span> b<p class=ad>gone<p>c <a class='share button'>s</a>d<ul class='menu'><li>m</ul><section role=navigation>n</section>e</article>"
+    assert [b.text for b in html_text.blocks_of(page) if not b.out] == ["a b", "c d", "e"]
+
+
 def test_html_template_without_article(spark):
     page = "<body><div class='top'>Same old line</div><div class='c'><p>Own text {0}</p></div><div class='x'>Same old end</div></body>"
     rows = [(i, "https://s.net/a", page.replace("{0}", f"{i} words")) for i in range(6)]
