@@ -8,8 +8,11 @@ greater of ``q * greatest`` and ``q * least`` bounds the score of any vector of
 block.  Blocks are taken in falling order of that bound and scored through the
 forward index until the bound falls below the k-th score so far.
 
-Queries are sent in blocks of at most ``query_block`` vectors; each task returns
-at most k candidates a query, and these are ranked in the end.  Vectors that are
+Queries are sent in blocks of at most ``query_block`` vectors, one block's result
+written before the next begins.  A first search over one row in ``SEEDS`` gives each
+query a score that its k-th is not below; with it, tasks pass over blocks at once and
+return only what may be among the best: some k times ``SEEDS`` rows a query, however
+many tasks there are, and these are ranked in the end.  Vectors that are
 null, hold null or non-finite components, or have another length than most, take
 no part; a query's own row is no candidate.  Ties go to smaller ids; of fewer than
 k candidates all are returned.
@@ -27,7 +30,8 @@ from pyspark.sql.window import Window
 
 from quillspark.llm.common import Scratch, batches
 
-BLOCK = 256
+BLOCK, SEEDS = 256, 64
+_LOWEST = -(1 << 62)
 
 
 def sound(vector: str):
@@ -68,24 +72,23 @@ class Blocks:
         """Queries by blocks: no vector of the block scores more."""
         return np.maximum(queries, 0) @ self.greatest.T + np.minimum(queries, 0) @ self.least.T
 
-    def best(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the range for one query: ids and scores, best first."""
+    def best(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int = _LOWEST) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the range for one query that score ``floor`` at least: ids and scores, best first."""
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in np.argsort(-bounds, kind="stable"):
-            if len(ids) == k and bounds[b] < scores[-1]:
+            least = max(floor, scores[-1]) if len(ids) == k else floor
+            if bounds[b] < least:
                 break
             found, vectors = self.blocks[b]
             more = vectors @ query
-            good = found != own
-            if len(ids) == k:
-                good &= more >= scores[-1]
+            good = (found != own) & (more >= least)
             ids, scores = np.concatenate([ids, found[good]]), np.concatenate([scores, more[good]])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
         return ids, scores
 
 
-def top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", query_block: int = 4096, range_rows: int = 65536) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", query_block: int = 16384, range_rows: int = 65536) -> DataFrame:
     """For each row that ``is_query`` (a column) picks: ``query_id``, ``rank`` (from 1), the candidate's key, ``score``."""
     spark = df.sparkSession
     scratch = Scratch(spark, "top-k")
@@ -95,35 +98,47 @@ def top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "v
     rows = known.where(F.size("v") == size)
     ranges = max(spark.sparkContext.defaultParallelism, -(-(common["count"] if common else 0) // range_rows))
     rows = scratch.keep(rows.repartitionByRange(ranges, "id"), "ranges")
-    partial = []
-    block: list = []
+    schema = "query_id long, id long, score long"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    results: list[DataFrame] = []
 
-    def search(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in block], np.int64), np.array([r.v for r in block], np.int64)))
+    def search(among: DataFrame, queries: tuple[np.ndarray, np.ndarray], floors: dict[int, int]) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast((*queries, np.array([floors.get(int(i), _LOWEST) for i in queries[0]], np.int64)))
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = list(batches(parts))
             if not found:
                 return
             index = Blocks(np.concatenate([np.asarray(b.column(0)) for b in found]), np.concatenate([_matrix(b.column(1)) for b in found]))
-            q_ids, queries = sent.value
+            q_ids, vectors, least = sent.value
             for lo in range(0, len(q_ids), 512):
-                bounds = index.bounds(queries[lo : lo + 512])
-                out = [(int(i), *index.best(int(i), q, row, k)) for i, q, row in zip(q_ids[lo : lo + 512], queries[lo : lo + 512], bounds)]
+                bounds = index.bounds(vectors[lo : lo + 512])
+                out = [(int(i), *index.best(int(i), q, row, k, int(f))) for i, q, row, f in zip(q_ids[lo : lo + 512], vectors[lo : lo + 512], bounds, least[lo : lo + 512])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(ids), i) for i, ids, _ in out]), pa.int64()), pa.array(np.concatenate([ids for _, ids, _ in out]), pa.int64()), pa.array(np.concatenate([s for *_, s in out]), pa.int64())], names=["query_id", "id", "score"])
 
-        return rows.select("id", "v").mapInArrow(run, "query_id long, id long, score long")
+        return among.select("id", "v").mapInArrow(run, schema), sent
+
+    def answer(block: list) -> None:
+        queries = np.array([r.id for r in block], np.int64), np.array([r.v for r in block], np.int64)
+        seeds, sent = search(rows.where(F.pmod(F.xxhash64("id"), F.lit(SEEDS)) == 0), queries, {})
+        kth = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
+        floors = {r.query_id: r.score for r in kth.collect()}  # a number for each query of the block
+        sent.unpersist()
+        found, sent = search(rows, queries, floors)
+        results.append(scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best"))
+        sent.unpersist()
 
+    block: list = []
     for row in rows.where("q").select("id", "v").toLocalIterator():
         block.append(row)
         if len(block) == query_block:
-            partial.append(search(block))
+            answer(block)
             block = []
-    if block or not partial:
-        partial.append(search(block)) if size and block else partial.append(spark.createDataFrame([], "query_id long, id long, score long"))
-    out = partial[0]
-    for more in partial[1:]:
-        out = out.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if block:
+        answer(block)
+    if not results:
+        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score long")
+    ranked = results[0]
+    for more in results[1:]:
+        ranked = ranked.unionByName(more)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
