@@ -12,8 +12,8 @@ words, but not none, is one window.  A document's word is hit if it stands insid
 an occurrence of any window.
 
 The test items are sent to the executors in blocks of at most ``block_bytes`` of
-text; a larger benchmark takes several passes in the same stage, each of which
-adds to what the last has found.  Null texts have no words; items with a null id
+text; a larger benchmark takes several passes, each of which adds to what the last
+has found (four in a stage, after which the rows are written and read again).  Null texts have no words; items with a null id
 take no part; items that share an id count as one.  Repeated documents are
 judged row by row.
 """
@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batches, bytes_of, make_room, slim_batches
+from quillspark.llm.common import Scratch, batches, bytes_of, make_room, slim_batches
 
 #: Separators become spaces and A-Z become small; the rest, bytes from 0x80 on included, belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _DEPTH = 16
+#: Passes in one stage: each has a Python worker of its own.
+_PASSES = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -203,7 +205,10 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
         blocks[-1].append((name, data))
         size += len(data)
     out, at = df, df.columns.index(text)
+    scratch = Scratch(df.sparkSession, "overlaps") if len(blocks) > _PASSES else None
     for k, block in enumerate(blocks):
+        if k and k % _PASSES == 0:
+            out = scratch.keep(out, "passes")
         out = _pass(out, at, block, window, shard_words, k == 0)
     return out.select(*df.columns, F.col("_n_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.col("_items").alias("items"), F.col("_longest").alias("longest"))
 
