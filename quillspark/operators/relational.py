@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.arrays import order_key, value_key
 from quillspark.functions.kernel import N, S, Value, Z, lit, of, predicate, truth
+from quillspark.session import checkpointed
 
 Names = Sequence[str]
 
@@ -304,8 +305,10 @@ def numbered(df: DataFrame, order: Names, name: str = "_n", start: int = 1) -> D
 
     Rows are dealt by ranges of the order and numbered within their range; a table of
     one row a range, whose count is the session's partitions, holds where each begins.
+    Ranges come from a sample, which differs from run to run: they are written down
+    before they are counted, so that counts and rows speak of the same ranges.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")

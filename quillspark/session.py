@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the verbs and plans assume; all may be set on a running session.
 SETTINGS = {
@@ -20,3 +22,16 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that ``spark.checkpoint.dir`` names, so that later uses see the very same ones.
+
+    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
