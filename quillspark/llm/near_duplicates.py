@@ -43,6 +43,7 @@ from quillspark.llm.common import Scratch, WordHashes, batches, bytes_of, slim_b
 from quillspark.llm.components import component_roots
 
 _S_BLOCK, _A_BLOCK = 256, 1024
+_SALTS = 16
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -306,7 +307,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     found = scratch.keep(_sketches(df, key, text, words), "sketches")
 
     copies = found.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("set_key", "rep")
-    rows = found.join(copies, "set_key", "left").select("id", "n", "regs", F.coalesce("rep", "id").alias("rep"))
+    # One set may be that of a third of all rows: its rows are dealt over salts, each of which has the representative.
+    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["set_key", "salt"], "left").select("id", "n", "regs", F.coalesce("rep", "id").alias("rep"))
     rows = scratch.keep(rows.select("id", "n", "rep", F.when(F.expr("id = rep"), F.col("regs")).alias("regs")), "rows")
     scratch.drop(found)
     reps = rows.where("regs is not null").dropDuplicates(["id"]).select("id", "n", "regs") if _repeats(rows) else rows.where("regs is not null").select("id", "n", "regs")
@@ -319,6 +322,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     tried = scratch.keep(members.where("low < id").groupBy("id").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("id").alias("b")), "first-pairs")
     links = scratch.keep(_confirmed(tried, df, key, text, words, percent), "first-links")
     roots = component_roots(links, scratch)
+    scratch.drop(tried, links)
 
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("comp"))
     placed = scratch.keep(placed, "placed")
@@ -336,6 +340,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     by = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
     lifted = more.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     tops = component_roots(lifted, scratch)
+    scratch.drop(more)
     final = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     final = final.unionByName(tops)  # the nodes of tops are roots or stand alone, so none is there twice
     out = rows.select("id", "n", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
