@@ -103,7 +103,7 @@ class _Lengths(dict):
         return out
 
 
-def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048, table_size: int = 16384, cache: int = 350_000) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048, table_size: int = 16384, cache: int = 700_000) -> DataFrame:
     """Per row: key, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
     A null text counts as empty (0 bytes, 0 tokens).  Each row gives one row, in
