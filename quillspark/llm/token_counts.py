@@ -83,7 +83,7 @@ def frequent_pre_tokens(df: DataFrame, path: str, text: str, table_size: int) ->
         n = -(-n // 32)
         packed = packed.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(merge, schema)
     summary = Summary(table_size)
-    for row in packed.toLocalIterator():
+    for row in packed.collect():  # 32 at most; one by one, their tasks would run one after the other
         summary.add(Summary.unpack(bytes(row.packed)))
     return list(Summary.unpack(summary.pack()))
 
