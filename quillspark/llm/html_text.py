@@ -7,12 +7,11 @@ equivalence class; the vectors are compared by sums of hashes, so that only sums
 are shuffled, aggregated on the map side first.  A class is valid if it is large
 and frequent: on at least half of the host's pages and on three at least.  The
 valid classes' tags nest by their paths into the host's template; valid text under
-a path is the template's own, and what else stands there fills a slot.  The slot
-that holds most text is the host's main slot.
+a path is the template's own, and what else stands there fills a slot.
 
-A page's main text lies in its article (``article``, ``main`` or that role), or,
-where it has none, in its host's main slot, or else in its body; there, template
-text is left out too.  Menus, headers, footers, sidebars, notices, adverts, forms,
+A page's main text is what fills its host's slots, all of them, and its article
+(``article``, ``main`` or that role).  On hosts without a template it is the page's
+article, or, where it has none, its body.  Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out wherever they stand, told by tag,
 role or class name.  Text inside an article is never left out for being frequent.
 
@@ -163,19 +162,18 @@ def text_token(text: str) -> int:
     return (_hash(text) >> 1) or 1
 
 
-def page_tokens(blocks: list[Block]) -> dict[tuple[str, int], tuple[int, int]]:
-    """Tokens of a page: (path, hash of text, or 0 for the tag itself) to (count, characters that may be main text)."""
-    found: dict[tuple[str, int], tuple[int, int]] = {}
+def page_tokens(blocks: list[Block]) -> dict[tuple[str, int], int]:
+    """Tokens of a page: (path, hash of text, or 0 for the tag itself) to their count."""
+    found: dict[tuple[str, int], int] = {}
     for b in blocks:
-        for token, size in (((b.path, 0), 0), ((b.path, text_token(b.text)), 0 if b.out else len(b.text))):
-            n, chars = found.get(token, (0, 0))
-            found[token] = (n + 1, chars + size)
+        for token in ((b.path, 0), (b.path, text_token(b.text))):
+            found[token] = found.get(token, 0) + 1
     return found
 
 
 def occurrence_classes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per host and token: ``pages`` that hold it, the occurrence vector's ``print``, characters, and the host's pages ``all``."""
-    schema = "host string, path string, token long, n long, print long, chars long"
+    """Per host and token: ``pages`` that hold it, the occurrence vector's ``print``; the token ('', 0) is on every page."""
+    schema = "host string, path string, token long, n long, print long"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -183,46 +181,38 @@ def occurrence_classes(pages: DataFrame, key: str = "page_id", url: str = "url",
             for page_id, u, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), texts_of(batch.column(2))):
                 host = host_of(u)
                 tokens = page_tokens(blocks_of(text))
-                tokens[("", 0)] = (1, 0)  # every page counts here
-                for (path, token), (n, chars) in tokens.items():
-                    x = seen.setdefault((host, path, token), [0, 0, 0])
+                tokens[("", 0)] = 1  # every page counts here
+                for (path, token), n in tokens.items():
+                    x = seen.setdefault((host, path, token), [0, 0])
                     x[0] += 1
                     x[1] += _hash(page_id, u, n) >> 33
-                    x[2] += chars
             columns = list(zip(*((*k, *v) for k, v in seen.items())))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["host", "path", "token", "n", "print", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["host", "path", "token", "n", "print"])
 
     tokens = pages.select(key, url, html).mapInArrow(run, schema)
-    return tokens.groupBy("host", "path", "token").agg(F.sum("n").alias("pages"), F.sum("print").alias("print"), F.sum("chars").alias("chars"))
+    return tokens.groupBy("host", "path", "token").agg(F.sum("n").alias("pages"), F.sum("print").alias("print"))
 
 
 def templates(tokens: DataFrame, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """From :func:`occurrence_classes`, per host: ``template``, an array of (path, token) of valid classes, and ``main``, the path of the main slot."""
+    """From :func:`occurrence_classes`, per host: ``template``, an array of (path, token) of valid classes."""
     hosts = tokens.where("path = '' and token = 0").select("host", F.col("pages").alias("all"))
     tokens = tokens.where("path != ''").join(hosts, "host")
     valid = (F.col("pages") >= F.lit(least_share) * F.col("all")) & (F.col("pages") >= least_pages)
     # Only tokens that are frequent enough, a page's worth of them a host at most twice over, go on to form classes.
     classes = tokens.where(valid).groupBy("host", "pages", "print").agg(F.collect_list(F.struct("path", "token")).alias("members"))
-    whole = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
-    slots = tokens.where("token != 0").groupBy("host", "path").agg(F.sum(F.when(~valid, F.col("chars")).otherwise(F.lit(0))).alias("slot_chars"))
-    main = slots.where("slot_chars > 0").groupBy("host").agg(F.max_by("path", F.struct("slot_chars", "path")).alias("main"))
-    # A slot inside an article stands for the whole article.
-    main = main.withColumn("main", F.coalesce(F.nullif(F.regexp_extract("main", r"^(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", 1), F.lit("")), F.col("main")))
-    return whole.join(main, "host", "full").where("template is not null or main is not null")
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
 
 
-def main_text(blocks: list[Block], template: set[tuple[str, int]], main: str | None) -> str:
-    """The page's main text under its host's template."""
+def main_text(blocks: list[Block], template: set[tuple[str, int]] | None) -> str:
+    """The page's main text: all slots that its host's template leaves open; without a template its article, or else all text."""
     within = [b for b in blocks if not b.out]
-    slot = [b for b in within if b.article or main is not None and (b.path == main or b.path.startswith(f"{main}/"))]
-    chosen = [b for b in slot if b.article or (b.path, text_token(b.text)) not in template]
-    if not slot:
-        chosen = [b for b in within if (b.path, text_token(b.text)) not in template]
-    return "\n".join(b.text for b in chosen)
+    if template is None and any(b.article for b in within):
+        within = [b for b in within if b.article]
+    return "\n".join(b.text for b in within if b.article or not template or (b.path, text_token(b.text)) not in template)
 
 
-def _known(members: list[dict] | None, main: str | None) -> tuple[set[tuple[str, int]], str | None]:
-    return {(m["path"], m["token"]) for m in members or [] if m["token"]}, main
+def _known(members: list[dict] | None) -> set[tuple[str, int]] | None:
+    return None if members is None else {(m["path"], m["token"]) for m in members if m["token"]}
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_sent: int = 100_000) -> DataFrame:
@@ -234,21 +224,20 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     slim_batches(spark, 512)
     pages = pages.select(key, url, html)
     scratch = Scratch(spark, "templates")
-    tokens = scratch.keep(occurrence_classes(pages, key, url, html), "tokens")  # used three times, parsed once
+    tokens = scratch.keep(occurrence_classes(pages, key, url, html), "tokens")  # used twice, parsed once
     found = scratch.keep(templates(tokens), "templates")
     scratch.drop(tokens)
-    size = found.agg(F.sum(F.coalesce(F.size("template"), F.lit(0)) + 1)).first()[0] or 0
+    size = found.agg(F.sum(F.size("template") + 1)).first()[0] or 0
     sent = None
     if size <= most_sent:
-        sent = spark.sparkContext.broadcast({r.host: _known([m.asDict() for m in r.template or []], r.main) for r in found.toLocalIterator()})
+        sent = spark.sparkContext.broadcast({r.host: _known([m.asDict() for m in r.template]) for r in found.toLocalIterator()})
     else:
         host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        pages = pages.withColumn("host", host).join(found, "host", "left").select(key, url, html, "template", "main")
+        pages = pages.withColumn("host", host).join(found, "host", "left").select(key, url, html, "template")
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    none: tuple[set[tuple[str, int]], str | None] = (set(), None)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[tuple[str, int]], str | None]] = sent.value if sent else {}
+        known: dict[str, set[tuple[str, int]] | None] = sent.value if sent else {}
         for batch in batches(rows):
             texts = []
             for i, (u, page) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch.column(2)))):
@@ -256,8 +245,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                 if not sent and host not in known:
                     if len(known) >= 256:
                         known.clear()
-                    known[host] = _known(batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
-                texts.append(main_text(blocks_of(page), *known.get(host, none)))
+                    known[host] = _known(batch.column(3)[i].as_py())
+                texts.append(main_text(blocks_of(page), known.get(host)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
     return pages.mapInArrow(run, schema)

@@ -130,6 +130,14 @@ def test_html_template_without_article(spark):
         assert sorted(r.text for r in got) == [f"Own text {i} words" for i in range(6)]
 
 
+def test_html_keeps_all_open_slots(spark):
+    page = "<body><div class='top'>Same old line</div><div class='intro'>Intro {0}</div><div class='content'><p>Direct {0}</p><section><p>Nested text of page {0}</p></section></div>{1}<div class='x'>Same old end</div></body>"
+    rows = [(i, "https://s.net/a", page.replace("{0}", str(i)).replace("{1}", f"<article>Art {i}</article>" if i % 2 else "")) for i in range(6)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = lambda i: f"Intro {i}\nDirect {i}\nNested text of page {i}" + (f"\nArt {i}" if i % 2 else "")
+    assert {r.page_id: r.text for r in got} == {i: want(i) for i in range(6)}
+
+
 SAID = "<|im_end|><|im_start|>assistant ok"
 
 
