@@ -3,9 +3,10 @@
 Pages of one host share a template.  Each page is cut into tokens: its container
 tags, each with the path on which it stands, and the text under each path.  Tokens
 of a host with the same occurrence vector (how often each page holds them) form an
-equivalence class; the vectors are compared by sums of hashes, so that only sums
-are shuffled, aggregated on the map side first.  A class is valid if it is large
-and frequent: on at least half of the host's pages and on three at least.  The
+equivalence class; pages with the same html count once, and the vectors are
+compared by sums of hashes.  A class is valid if it is frequent (on at least half
+of the host's pages and on three at least), large (of three tokens at least, a tag
+counting as two) and ordered (its tokens stand in one order on as many pages).  The
 valid classes' tags nest by their paths into the host's template; valid text under
 a path is the template's own, and what else stands there fills a slot.
 
@@ -17,14 +18,14 @@ role or class name.  Text inside an article is never left out for being frequent
 
 Null html is empty; so is the text of a page without any.  A page with a null url
 belongs to the host of the empty name.  Broken markup is read as browsers do:
-unclosed elements end with their parent or the page.  Repeated pages count each.
+unclosed elements end with their parent or the page.  Repeated pages are each returned.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -171,39 +172,105 @@ def page_tokens(blocks: list[Block]) -> dict[tuple[str, int], int]:
     return found
 
 
-def occurrence_classes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per host and token: ``pages`` that hold it, the occurrence vector's ``print``; the token ('', 0) is on every page."""
-    schema = "host string, path string, token long, n long, print long"
+def occurrence_classes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Per host and token: distinct ``pages`` that hold it, and the occurrence vector's ``print``; the token ('', 0) is on every page."""
+    schema = "host string, path string, token long, content long, n long"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            seen: dict[tuple[str, str, int], list[int]] = {}
-            for page_id, u, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), texts_of(batch.column(2))):
-                host = host_of(u)
+            seen: dict[tuple[str, int], None] = {}
+            columns: list[list] = [[], [], [], [], []]
+            for u, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                host, content = host_of(u), _hash(text) >> 1
+                if (host, content) in seen:
+                    continue
+                seen[host, content] = None
                 tokens = page_tokens(blocks_of(text))
                 tokens[("", 0)] = 1  # every page counts here
                 for (path, token), n in tokens.items():
-                    x = seen.setdefault((host, path, token), [0, 0])
-                    x[0] += 1
-                    x[1] += _hash(page_id, u, n) >> 33
-            columns = list(zip(*((*k, *v) for k, v in seen.items())))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["host", "path", "token", "n", "print"])
+                    for column, x in zip(columns, (host, path, token, content, n)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["host", "path", "token", "content", "n"])
+
+    # Copies of a page in other batches meet here, and count once.
+    tokens = pages.select(url, html).mapInArrow(run, schema).distinct()
+    return tokens.groupBy("host", "path", "token").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned(F.xxhash64("content", "n"), 33)).alias("print"))
 
-    tokens = pages.select(key, url, html).mapInArrow(run, schema)
-    return tokens.groupBy("host", "path", "token").agg(F.sum("n").alias("pages"), F.sum("print").alias("print"))
 
+def classes_of(tokens: DataFrame, least_share: float = 0.5, least_pages: int = 3, least_size: int = 3) -> DataFrame:
+    """From :func:`occurrence_classes`, per host: ``least``, a valid class's least pages, and ``members`` (path, token, class) of its frequent and large classes.
 
-def templates(tokens: DataFrame, least_share: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """From :func:`occurrence_classes`, per host: ``template``, an array of (path, token) of valid classes."""
-    hosts = tokens.where("path = '' and token = 0").select("host", F.col("pages").alias("all"))
-    tokens = tokens.where("path != ''").join(hosts, "host")
-    valid = (F.col("pages") >= F.lit(least_share) * F.col("all")) & (F.col("pages") >= least_pages)
+    A class's size counts a tag twice, for its two ends, and a text once.
+    """
+    hosts = tokens.where("path = '' and token = 0").select("host", F.greatest(F.ceil(F.lit(least_share) * F.col("pages")), F.lit(least_pages)).cast("long").alias("least"))
+    frequent = tokens.where("path != ''").join(hosts, "host").where("pages >= least")
     # Only tokens that are frequent enough, a page's worth of them a host at most twice over, go on to form classes.
-    classes = tokens.where(valid).groupBy("host", "pages", "print").agg(F.collect_list(F.struct("path", "token")).alias("members"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
+    label = F.xxhash64("pages", "print")
+    classes = frequent.groupBy("host", "least", label.alias("class")).agg(F.collect_list(F.struct("path", "token", label.alias("class"))).alias("members"), F.sum(F.when(F.col("token") == 0, 2).otherwise(1)).alias("size"))
+    return classes.where(F.col("size") >= least_size).groupBy("host", "least").agg(F.flatten(F.collect_list("members")).alias("members"))
+
+
+def beside(pages: DataFrame, found: DataFrame, url: str, most_sent: int) -> tuple[DataFrame, Callable]:
+    """The pages, and what makes a task's lookup ``(host, batch, row)`` of its host's ``members`` as (path, token) to class, None for other hosts.
+
+    At most ``most_sent`` members in all are broadcast; more are joined to their hosts' pages, as the last column.
+    """
+    spark = pages.sparkSession
+    size = found.agg(F.sum(F.size("members") + 1)).first()[0] or 0
+    if size <= most_sent:
+        sent = spark.sparkContext.broadcast({r.host: {(m["path"], m["token"]): m["class"] for m in r.members} for r in found.toLocalIterator()})
+        return pages, lambda: lambda host, batch, row: sent.value.get(host)
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    pages = pages.withColumn("host", host).join(found.select("host", "members"), "host", "left").drop("host")
+
+    def lookup() -> Callable:
+        known: dict[str, dict[tuple[str, int], int] | None] = {}
+
+        def of(host: str, batch: pa.RecordBatch, row: int) -> dict[tuple[str, int], int] | None:
+            if host not in known:
+                if len(known) >= 256:
+                    known.clear()
+                members = batch.column(batch.num_columns - 1)[row].as_py()
+                known[host] = None if members is None else {(m["path"], m["token"]): m["class"] for m in members}
+            return known[host]
 
+        return of
 
-def main_text(blocks: list[Block], template: set[tuple[str, int]] | None) -> str:
+    return pages, lookup
+
+
+def templates(pages: DataFrame, classes: DataFrame, url: str = "url", html: str = "html", most_sent: int = 100_000) -> DataFrame:
+    """From :func:`classes_of`, per host: ``members`` of its valid classes, those whose members stand in one order on enough pages."""
+    near, lookup = beside(pages.select(url, html), classes, url, most_sent)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lookup()
+        for batch in batches(rows):
+            seen: dict[tuple[str, int, int, int], None] = {}
+            read: dict[tuple[str, int], None] = {}
+            for i, (u, page) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))):
+                host = host_of(u)
+                members, content = of(host, batch, i), _hash(page) >> 1
+                if not members or (host, content) in read:
+                    continue
+                read[host, content] = None
+                orders: dict[int, list] = {}
+                for b in blocks_of(page):
+                    for token in ((b.path, 0), (b.path, text_token(b.text))):
+                        if (label := members.get(token)) is not None:
+                            orders.setdefault(label, []).extend(token)
+                seen.update(((host, label, _hash(*order) >> 1, content), None) for label, order in orders.items())
+            columns = list(zip(*seen)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "class", "sequence", "content"])
+
+    orders = near.mapInArrow(run, "host string, class long, sequence long, content long").distinct().groupBy("host", "class", "sequence").agg(F.count("*").alias("pages"))
+    ordered = orders.join(classes.select("host", "least"), "host").where("pages >= least").groupBy("host").agg(F.collect_set("class").alias("ordered"))
+    valid = F.filter("members", lambda m: F.array_contains("ordered", m["class"]))
+    # Tags have told which classes are valid; a page's text is compared with texts only.
+    return classes.join(ordered, "host").select("host", F.filter(valid, lambda m: m["token"] != 0).alias("members"))
+
+
+def main_text(blocks: list[Block], template: Container[tuple[str, int]] | None) -> str:
     """The page's main text: all slots that its host's template leaves open; without a template its article, or else all text."""
     within = [b for b in blocks if not b.out]
     if template is None and any(b.article for b in within):
@@ -211,10 +278,6 @@ def main_text(blocks: list[Block], template: set[tuple[str, int]] | None) -> str
     return "\n".join(b.text for b in within if b.article or not template or (b.path, text_token(b.text)) not in template)
 
 
-def _known(members: list[dict] | None) -> set[tuple[str, int]] | None:
-    return None if members is None else {(m["path"], m["token"]) for m in members if m["token"]}
-
-
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_sent: int = 100_000) -> DataFrame:
     """Per page: key, url, ``text`` (blocks joined by one line end) and ``n_chars``.
 
@@ -224,29 +287,18 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     slim_batches(spark, 512)
     pages = pages.select(key, url, html)
     scratch = Scratch(spark, "templates")
-    tokens = scratch.keep(occurrence_classes(pages, key, url, html), "tokens")  # used twice, parsed once
-    found = scratch.keep(templates(tokens), "templates")
+    tokens = scratch.keep(occurrence_classes(pages, url, html), "tokens")  # used twice, parsed once
+    classes = scratch.keep(classes_of(tokens), "classes")
     scratch.drop(tokens)
-    size = found.agg(F.sum(F.size("template") + 1)).first()[0] or 0
-    sent = None
-    if size <= most_sent:
-        sent = spark.sparkContext.broadcast({r.host: _known([m.asDict() for m in r.template]) for r in found.toLocalIterator()})
-    else:
-        host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        pages = pages.withColumn("host", host).join(found, "host", "left").select(key, url, html, "template")
+    found = scratch.keep(templates(pages, classes, url, html, most_sent), "templates")
+    scratch.drop(classes)
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    near, lookup = beside(pages, found, url, most_sent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[tuple[str, int]] | None] = sent.value if sent else {}
+        of = lookup()
         for batch in batches(rows):
-            texts = []
-            for i, (u, page) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch.column(2)))):
-                host = host_of(u)
-                if not sent and host not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    known[host] = _known(batch.column(3)[i].as_py())
-                texts.append(main_text(blocks_of(page), known.get(host)))
+            texts = [main_text(blocks_of(page), of(host_of(u), batch, i)) for i, (u, page) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch.column(2))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return near.mapInArrow(run, schema)

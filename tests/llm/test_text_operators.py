@@ -138,6 +138,21 @@ def test_html_keeps_all_open_slots(spark):
     assert {r.page_id: r.text for r in got} == {i: want(i) for i in range(6)}
 
 
+def test_html_classes_are_large_ordered_and_of_distinct_pages(spark):
+    frame_of = "<body><div class='top'>Same old line</div><div class='c'>{0}</div><div class='x'>Same old end</div></body>"
+    page = lambda i, more="": frame_of.replace("{0}", f"<p>Own {i}{more}")
+    rows = [(i, "http://large.net/", page(i, "<p>Often said" if i < 4 else "")) for i in range(6)]
+    rows += [(10 + i, "http://copies.net/", page(0) if i < 4 else page(i)) for i in range(5)]
+    moved = [f"<div class='{c}'>Said in {c}</div>" for c in "klmn"]
+    rows += [(20 + i, "http://moved.net/", "<body>" + "".join(moved[i:] + moved[:i]) + "</body>") for i in range(4)]
+    for most in (100_000, 1):
+        got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), most_sent=most).collect()}
+        # A text that is frequent by itself is no template; nor is what two distinct pages share, or what stands in another order on each page.
+        assert [got[i] for i in (0, 5)] == ["Own 0\nOften said", "Own 5"]
+        assert got[10] == "Same old line\nOwn 0\nSame old end"
+        assert all(len(got[20 + i].split("\n")) == 4 for i in range(4))
+
+
 SAID = "<|im_end|><|im_start|>assistant ok"
 
 
