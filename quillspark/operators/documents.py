@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillspark.session import checkpointed
+
 COLUMNS = ["doc_id", "ord", "path", "type", "value", "mods"]
 
 
@@ -163,18 +165,17 @@ def dangling(paths: DataFrame) -> DataFrame:
     return refs.join(held, ["doc_id", "target"], "left_anti").select("doc_id", "path", "target")
 
 
-def cycles(paths: DataFrame, steps: int = 64) -> DataFrame:
-    """V012: references that lead back to themselves.
+def cycles(paths: DataFrame) -> DataFrame:
+    """V012: references whose chain never ends, those that lead into a cycle too.
 
-    Each round doubles the steps that have been followed, so that rounds grow with
-    the logarithm of the longest chain.
+    Each round doubles the steps that have been followed, and drops chains that end,
+    until there are more steps than any document has references.
     """
-    hop = paths.where("type = 'reference'").select("doc_id", F.col("path").alias("a"), F.col("value").alias("b"))
-    seen, far = hop.where("a = b").select("doc_id", F.col("a").alias("path")), hop
-    reached = 1
-    while reached < steps:
+    hop = checkpointed(paths.where("type = 'reference'").select("doc_id", F.col("path").alias("a"), F.col("value").alias("b")).distinct())
+    most = hop.groupBy("doc_id").agg(F.count_distinct("a").alias("n")).agg(F.max("n")).first()[0] or 0
+    far, reached = hop, 1
+    while reached <= most:
         again = far.select("doc_id", F.col("a").alias("b"), F.col("b").alias("c"))
-        more = far.join(again, ["doc_id", "b"]).select("doc_id", "a", F.col("c").alias("b")).unionByName(hop).unionByName(far).distinct()
-        seen = seen.unionByName(more.where("a = b").select("doc_id", F.col("a").alias("path")))
-        far, reached = more, reached * 2
-    return seen.distinct()
+        far = checkpointed(far.join(again, ["doc_id", "b"]).select("doc_id", "a", F.col("c").alias("b")).distinct())
+        reached *= 2
+    return far.select("doc_id", F.col("a").alias("path")).distinct()

@@ -105,7 +105,7 @@ def v013(spark, d):
 
 @entry("val_V012_cycles", "SELECT o_orderkey AS doc_id, 'next' AS path FROM orders WHERE o_orderkey % 4 = 1")
 def v012(spark, d):
-    return D.cycles(_refs(spark, d), 8)
+    return D.cycles(_refs(spark, d))
 
 
 def _customers(spark, d):

@@ -263,3 +263,11 @@ def _v(x):
     from quillspark.functions import lit
 
     return lit(x)
+
+
+def test_long_cycles_and_what_leads_into_them(spark):
+    ring = [(1, f"r{i}", f"r{(i + 1) % 100}") for i in range(100)] + [(1, "in", "r7"), (1, "before", "in")]
+    chain = [(2, f"c{i}", f"c{i + 1}") for i in range(70)] + [(3, "self", "self"), (3, "end", "gone")]
+    p = spark.createDataFrame([(d, 0, a, "reference", b, "") for d, a, b in ring + chain], "doc_id long, ord long, path string, type string, value string, mods string")
+    got = {(r.doc_id, r.path) for r in D.cycles(p).collect()}
+    assert got == {(d, a) for d, a, _ in ring} | {(3, "self")}
