@@ -164,16 +164,17 @@ class Scorer:
 
 
 def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2000) -> Trained:
-    """Trains on at most ``sample`` rows of those that ``learn_from`` picks, evenly over languages."""
+    """Trains on at most ``sample`` rows of those that ``learn_from`` picks, evenly over all languages; on one each, where there are more languages."""
     known = df.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(256).collect()}
-    if not counts:
+    counts = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    n_langs = counts.count()
+    if not n_langs:
         return Trained([], np.zeros((1, 0), np.float32), np.zeros(0, np.float32), 1)
-    each = max(1, sample // len(counts))
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, 1.5 * each / n) * (1 << 32)).cast("long")).otherwise(share)
-    near = known.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) < share).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    each = max(1, sample // n_langs)
+    # A row for each language, as the model has; so few are sent to the rows.
+    shares = counts.select("_lang", (F.least(F.lit(1.0), F.lit(1.5 * each) / F.col("_n")) * (1 << 32)).cast("long").alias("_share"))
+    sampled = known.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(shares), F.col("l") == F.col("_lang"))
+    near = sampled.where(F.pmod(F.xxhash64("k"), F.lit(1 << 32)) < F.col("_share")).select("k", "t", "l")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", F.xxhash64("t")))).where(F.col("r") <= each)
     rows = sorted(ranked.select("k", "t", "l").collect())
     return train([r.t for r in rows], [r.l for r in rows])

@@ -34,6 +34,11 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark):
+    df = spark.createDataFrame([(i, f"word{i % 300} said{i % 300}", f"l{i % 300}") for i in range(600)], "doc_id long, text string, lang string")
+    assert sorted(language_id.fit(df, F.lit(True)).langs) == sorted(f"l{i}" for i in range(300))
+
+
 def test_quality_accuracy(spark):
     got = queries.op1_quality(spark, DATA)
     rows = got.join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
