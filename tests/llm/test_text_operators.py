@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import time
+from collections import Counter
 
 import pytest
 from tokenizers import Tokenizer
@@ -123,9 +126,88 @@ def test_html_article(spark):
     assert got[98].text == "" and got[99].text == "bare text\nmore"
 
 
-def test_html_elements_left_out_by_class():
-    page = "<article><p>a <span class='advert'>x <span>y</span></span> b<p class=ad>gone<p>c <a class='share button'>s</a>d<ul class='menu'><li>m</ul><section role=navigation>n</section>e</article>"
-    assert [b.text for b in html_text.blocks_of(page) if not b.out] == ["a b", "c d", "e"]
+def by_literal_template(rows, text_share=0.5, tag_share=0.05, least_pages=3, least_size=3):
+    """Each page's text by whole occurrence vectors, host by host."""
+    hosts, out = {}, {}
+    for i, url, page in rows:
+        hosts.setdefault(url.split("/")[2].lower(), []).append((i, page or ""))
+    for pages in hosts.values():
+        found = [html_text.page_tokens(html_text.parse(p)) for p in dict.fromkeys(p for _, p in pages)]
+        classes, template, any_valid = {}, set(), False
+        for token in {t for page in found for t in page}:
+            vector = tuple(page.get(token, [0])[0] for page in found)
+            least = max(math.ceil((text_share if token[1] > 0 else tag_share) * len(found)), least_pages)
+            if sum(n > 0 for n in vector) >= least:
+                classes.setdefault(vector, []).append((token, least))
+        for vector, members in classes.items():
+            size = sum(1 if t[1] > 0 else 3 if t[1] < 0 else 2 for t, _ in members)
+            orders = Counter()
+            for page in found:
+                first, last = ([t for _, t in sorted((page[t][k], t) for t, _ in members if t in page)] for k in (1, 2))
+                if first and first == last:
+                    orders[tuple(first)] += 1
+            if size >= least_size and max(orders.values(), default=0) >= max(n for _, n in members):
+                any_valid = True
+                template |= {t for t, _ in members if t[1] != html_text.TAG}
+        for i, page in pages:
+            out[i] = html_text.main_text(html_text.parse(page), frozenset(template) if any_valid else None)
+    return out
+
+
+def random_pages():
+    rng, rows = random.Random(8), []
+    for host in range(14):
+        marks = rng.sample(["div class=ad", "section class='top menu'", "div id=sidebar", "ul class=share", "div class=c1", "div class=body"], 4)
+        for i in range(rng.choice([1, 2, 3, 5, 9, 30])):
+            parts = [f"<{m}>{rng.choice(['Same', f'Own {host} {i}', f'Now and then {rng.randint(0, 2)}'])}</{m.split()[0]}>" for m in marks if rng.random() < 0.8]
+            if host % 3 == 0:
+                rng.shuffle(parts)
+            if host % 2:
+                parts.insert(rng.randint(0, len(parts)), f"<article><header>Head {rng.randint(0, 3)}</header><p class=social>Said {i}<div class=comments>No {i}</div></article>")
+            rows.append((100 * host + i, f"https://Hö{host}.example/{i}", "<body>" + "".join(parts)))
+    return rows + [(9000 + i, "https://hot.example/", f"<body><div class=ad>Buy {i}</div><div class=body>Text {i}</div>") for i in range(60)]
+
+
+def test_html_equals_literal_templates(spark):
+    rows = random_pages()
+    want = by_literal_template(rows)
+    for most in (100_000, 1):
+        got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), most_sent=most).collect()
+        assert {r.page_id: r.text for r in got} == want
+    assert want[9000] == "Text 0"
+
+
+def test_html_template_decides(spark):
+    df = spark.createDataFrame(random_pages(), "page_id long, url string, html string")
+    empty = df.selectExpr("lower(split(url, '/')[2]) AS host").distinct().selectExpr("host", "cast(array() as array<struct<path: bigint, token: bigint>>) AS members")
+    with_, without = ({r.page_id: r.text for r in html_text.extract_text(df, found=f).collect()} for f in (None, empty))
+    assert with_[9007] == "Text 7" and without[9007] == "Buy 7\nText 7"
+    assert sum(with_[i] != without[i] for i in with_) > len(with_) / 2
+
+
+def test_html_marks_close_only_in_the_template(spark):
+    page = "<body><div class=top>Top {0}</div><article><header><h1>Title {0}</h1></header><p class=social>Of social life {0}<p>a <span class='advert'>b</span>{1}</article><div class=ad>Ad {0}</div>"
+    rows = [(i, "http://a.org/", page.replace("{0}", str(i)).replace("{1}", "<div class=notice>A notice</div>" if i == 3 else "")) for i in range(70)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Top 5\nTitle 5\nOf social life 5\na b"
+    assert got[3] == "Top 3\nTitle 3\nOf social life 3\na b\nA notice"  # one page's own mark closes nothing
+
+
+def test_html_of_few_and_odd_rows(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<body><div class=c>" + "word " * 300_000 + "</div><div class=ad>x</div>"
+    rows = [(i % 2, None if i else "http://l.org", long) for i in range(6)] + [(None, "http://l.org", ""), (7, "no url", "a < b &lt; c <!-- x")]
+    got = html_text.extract_text(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.n_chars) for r in got) == [(False, 0, 1_499_999)] * 3 + [(False, 1, 1_499_999)] * 3 + [(False, 7, 9), (True, 0, 0)]
+    assert [r.text for r in got if r.page_id == 7] == ["a < b < c"]
+
+
+@pytest.mark.parametrize("odd", ["<a ", "<div>", "<script></script ", "<a b='", '<p x="y>', "</div ", "<a =  ", "<!--", "<div class=ad>x</nav>"])
+def test_html_of_broken_markup_takes_linear_time(odd):
+    began = time.time()
+    html_text.main_text(html_text.parse(odd * 100_000), None)
+    assert time.time() - began < 10
 
 
 def test_html_template_without_article(spark):
