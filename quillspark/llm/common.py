@@ -14,17 +14,25 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it.  Only where that is unset
-    (tests, one machine) a temporary folder is made and set.
+    The session's ``spark.checkpoint.dir`` names it.  Where that is unset a temporary
+    folder is made and set, if driver and executors are one process (``local``); a
+    cluster without the setting is refused, as its machines share no such folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Bytes of a row group that a task holds while it writes.
+_ROW_GROUP = 16 << 20
+
+
 class Scratch:
     """Tables that cut lineage, written as Parquet in the shared folder.
 
@@ -40,7 +48,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         #: For :meth:`drop`.
         out._quill_path = path
@@ -54,7 +62,7 @@ class Scratch:
 
 
 def slim_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch of texts holds; batches of more rows are cut."""
+    """Bound what one Arrow batch of texts holds, for this session from here on: the setting is lowered, never raised."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

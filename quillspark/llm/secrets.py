@@ -2,12 +2,12 @@
 
 Three patterns give the base spans: assignments to a telling name, access keys and
 long hex strings.  Beyond them, strings of eight characters or more that follow a
-sensitive word on its line or the next are measured: how many bytes more does zstandard need for the surrounding
-text with the string in its place than without, when it is primed with a
-dictionary of common identifiers?  A string that takes about as many bytes as
-chance would (``novelty`` bytes a character, and no less than :func:`bar` has for its
-length) is reported as ``novel``; names, words and repeats of what stands around it
-compress and are not.
+sensitive word on its line or the next are measured: how many bytes more does
+zstandard need for the surrounding text with the string in its place than without,
+when it is primed with a dictionary of common identifiers?  A string is reported as
+``novel`` if it takes about as many bytes as random strings of its length and kinds
+of characters do in its place, or a byte a character (:meth:`Scanner.is_novel`); names,
+words and repeats of what stands around it compress and are not.
 
 Spans count code points, ends exclusive, and are ordered by start, then kind.
 ``novel`` spans never overlap base spans.  A null or empty text has no span; texts
@@ -17,8 +17,11 @@ are read whole; each row is judged by itself.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +48,16 @@ plugin port prefix private production profile project property protected public
 return schema secret security select server service session setting signature size source status string struct subnet suffix table target template
 testing text thread timeout timestamp token true type undefined update upload url user_id username utf-8 value variable vector version void warning"""
 
+#: Common words and parts of words.
+WORDS = b"""about above across after again against already also although always among another around because become before being between both called came certain change
+children come could country different does during each early enough every example family father first following found from general given good government great group have
+head hear help here high himself home house however important inside into just keep kind know large last learn least leave life light like little living long look made make
+many means might more mother most move much must name near need never next night often only open order other over part people perhaps place point possible present problem
+question rather right same school second should side since small social some something still story study system take than that their them then there these they thing think
+this those though three through time together tonight toward under until upon very want water weather were what when where which while white whole whose will with within
+without woman word work world would write year young able ation ative ement ence ential ership fully graph ible ical ification ility ingly ionally ious ition ization izing
+less ment ness ology ously pre sion tation ther tional tionally tions tive ture ward wise inter intern super trans under anti auto counter micro multi over post semi """
+
 _SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
 _CONTEXT = re.compile("(?ai:" + "|".join(re.escape(w).replace(r"\ ", "[ _-]?") for w in SENSITIVE) + ")")
 _SENSITIVE_CORES = tuple({w.split(b" ")[-1] if w.split(b" ")[-1] not in (b"key", b"id") else w.split(b" ")[0] for w in _SENSITIVE_BYTES})
@@ -54,30 +67,37 @@ _STRING = re.compile(r"[A-Za-z0-9+/_=~-]{8,}")
 FILLER = """We walked along the quiet river until evening, when a just few boats had come home and Jack's lazy fox jumped over his brown dog. Nobody knew why it was so cold;
 the weather men from the north gave us no reasons, but our old friends liked to guess: 'Maybe,' they would add, 'winter begins early this year.'
 """
-_DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
 
-def bar(word: str, novelty: float = 0.7) -> float:
-    """The bytes from which on a string is novel.
+#: Strings beyond this length are not compared with random ones, but with their own length.
+LONG = 256
+
+
+def least_bytes(word: str) -> float:
+    """No string is novel that adds fewer bytes: dates and amounts have no letters and add up to 16, words up to 10."""
+    return 10.0 if _LETTER.search(word) else 17.0
+
+
+@lru_cache(4096)
+def _chance(kinds: str, length: int) -> tuple[str, ...]:
+    rng = random.Random(f"{length} {kinds}")
+    return tuple("".join(rng.choices(kinds, k=length)) for _ in range(6))
+
 
-    In 3,000 documents, words of 8 to 24 letters take up to 13 bytes in 99 of 100 cases,
-    whatever their length, so 17 are asked of strings of letters or of digits only, and
-    more of long ones.  Words don't have both, so a string with both has a lower bar.
-    """
-    if _DIGIT.search(word) and _LETTER.search(word):
-        return novelty * len(word) if len(word) >= 16 else max(novelty * len(word), 12.0)
-    return max(novelty * len(word) * 13 / 14, 17.0)
+def chance_strings(word: str) -> tuple[str, ...]:
+    """Random strings of the word's length over the kinds of characters that it has; the same ones for all such words."""
+    return _chance("".join(k for k in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789") if not set(word).isdisjoint(k)) or "+-/=_~", len(word))
 
 
 class Scanner:
     """Finds spans in texts; holds the primed compressor."""
 
-    def __init__(self, novelty: float = 0.7, reach: int = 80, around: int = 256):
+    def __init__(self, novelty: float = 0.9, reach: int = 80, around: int = 256):
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pack = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False).compress
+        primed = zstandard.ZstdCompressionDict(WORDS + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.pack = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress
         self.novelty, self.reach, self.around = novelty, reach, around
 
     def base(self, text: str) -> list[tuple[int, int, int, int, int]]:
@@ -93,31 +113,57 @@ class Scanner:
             out += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
         return sorted(out)
 
-    def marginal(self, text: str, start: int, end: int) -> int:
-        """Bytes that the string adds to its surroundings when compressed."""
+    def marginal(self, text: str, start: int, end: int, *others: str) -> list[int]:
+        """Bytes that the string, and each of the others in its place, adds to its surroundings when compressed."""
         before, after = text[max(0, start - self.around) : start], text[end : end + self.around]
         before = FILLER[len(before) :] + before
-        without = len(self.pack((before + after).encode("utf-8", "replace")))
-        return len(self.pack((before + text[start:end] + after).encode("utf-8", "replace"))) - without
+        without, *sizes = (len(self.pack((before + x + after).encode("utf-8", "replace"))) for x in ("", text[start:end], *others))
+        return [n - without for n in sizes]
+
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        """Whether the string adds about as many bytes as chance would, or a byte for about every character.
+
+        Of 16 characters and more, ``novelty`` of either is enough.
+        """
+        word = text[start:end]
+        own = self.marginal(text, start, end)[0]
+        if own < least_bytes(word):
+            return False
+        if len(word) >= 16 and own >= (0.7 if len(word) > LONG else self.novelty) * len(word):
+            return True
+        if len(word) > LONG:
+            return False
+        own, *chance = self.marginal(text, start, end, *chance_strings(word))
+        return own >= (self.novelty if len(word) >= 16 else 1.0) * sum(chance) / len(chance)
 
     def novel(self, text: str, known: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Novel strings outside of ``known`` spans; each string is measured once, whatever number of sensitive words precede it."""
         small = text.lower()
         if not any(w.decode() in small for w in _SENSITIVE_CORES):
             return []
-        out, taken = [], [(s, e) for s, _, e, *_ in known]
-        last = -1
+        taken: list[list[int]] = []  # the known spans' union, in order
+        for s, _, e, *_ in known:
+            if taken and s <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], e)
+            else:
+                taken.append([s, e])
+        begins = [s for s, _ in taken]
+        out, done, find = [], 0, _STRING.search
         for m in _CONTEXT.finditer(text):
-            line_end = text.find("\n", m.end())
-            line_end = text.find("\n", line_end + 1) if line_end >= 0 else line_end  # the next line too
-            stop = min(m.end() + self.reach, len(text) if line_end < 0 else line_end)
-            at = m.end()
-            while (c := _STRING.search(text, at)) and c.start() < stop:
-                at, word = c.end(), c[0]
-                if c.start() < last or c.start() < m.end() or any(s < c.end() and c.start() < e for s, e in taken):
-                    continue
-                if self.marginal(text, c.start(), c.end()) >= bar(word, self.novelty):
+            stop, at = m.end() + self.reach, max(m.end(), done)
+            # A string that begins before ``stop`` has its first eight characters within this end.
+            if at >= stop or (c := find(text, at, stop + 7)) is None:
+                continue
+            line_end = text.find("\n", m.end(), stop)
+            line_end = text.find("\n", line_end + 1, stop) if line_end >= 0 else line_end  # the next line too
+            stop = stop if line_end < 0 else line_end
+            while c is not None and c.start() < stop:
+                c = _STRING.match(text, c.start())
+                at = done = c.end()
+                near = bisect_right(begins, c.end() - 1) - 1
+                if (near < 0 or taken[near][1] <= c.start()) and self.is_novel(text, c.start(), c.end()):
                     out.append((c.start(), 3, c.end(), c.start(), c.end()))
-                    last = c.end()
+                c = find(text, at, stop + 7)
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, int, int, int]]:
