@@ -1,28 +1,29 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Each task cuts its documents into shards of about ``shard_words`` words (a longer
-document is a shard of its own) and builds a suffix array of each: the places
-where a test suffix could begin, ordered by the words that follow.  Every test
-suffix that is long enough is then searched by bisection; the places found are
-extended to the longest verbatim match.  Nothing is shuffled.
+Each task packs its documents into shards of about ``shard_words`` words (a longer
+document is a shard of its own) and builds a suffix array of each: all places of the
+shard in the order of the words that follow, as many as the longest test item has.
+Words are numbered by the shard, so that the array does not depend on the tests.
+All test suffixes are then searched side by side by bisection, one word deeper at a
+time, which gives the places of each suffix's window and its longest verbatim match.
+Nothing is shuffled.
 
 A word is a run of digits, letters a-z (A-Z become small) and characters beyond
 ASCII.  A window is ``window`` consecutive words of an item; an item of fewer
 words, but not none, is one window.  A document's word is hit if it stands inside
 an occurrence of any window.
 
-The test items are sent to the executors in blocks of at most ``block_bytes`` of
-text; a larger benchmark takes several passes, each of which adds to what the last
-has found (four in a stage, after which the rows are written and read again).  Null texts have no words; items with a null id
-take no part; items that share an id count as one.  Repeated documents are
-judged row by row.
+The test items are read and sent to the executors in blocks of at most
+``block_bytes`` of text (one item, if that is longer); a larger benchmark takes
+several passes, each of which adds to what the last has found and is written down,
+after which its block is released.  Null texts have no words.  Items that share an id
+count as one, those with a null id too: the list of items has a null for them.
+Repeated documents are judged row by row; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,184 +34,314 @@ from quillspark.llm.common import Scratch, batches, bytes_of, make_room, slim_ba
 
 #: Separators become spaces and A-Z become small; the rest, bytes from 0x80 on included, belongs to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_DEPTH = 16
-#: Passes in one stage: each has a Python worker of its own.
-_PASSES = 4
+#: Bytes of text that a task holds before it closes a shard.
+_SHARD_BYTES = 32 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class TestSuffixes:
-    """The windows of a block of test items, as word numbers from 1 on."""
+class _Numbers(dict):
+    """Words numbered from 1 on, as they come."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window, self.number = window, {}
-        self.items: list[tuple[str, np.ndarray]] = []
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
+class Tests:
+    """The suffixes of a block of test items, over the block's own vocabulary."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        numbers, texts = _Numbers(), []
         for name, text in items:
-            found = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            if found:
-                self.items.append((name, np.array(found, np.int64)))
-        self.suffixes = [(name, ids, at, min(window, len(ids))) for name, ids in self.items for at in range(max(1, len(ids) - window + 1))]
-        self.least = min((w for *_, w in self.suffixes), default=1)
-        # What a suffix may begin with: node numbers of a prefix tree, level by level.
-        self.levels, base = [], len(self.number) + 1
-        self.base = base
-        nodes = np.zeros(len(self.suffixes), np.int64)
-        for level in range(min(4, self.least)):
-            codes = nodes * base + np.array([ids[at + level] for _, ids, at, _ in self.suffixes], np.int64)
-            known, nodes = np.unique(codes, return_inverse=True)
-            self.levels.append(known)
-
-    def starts(self, ids: np.ndarray) -> np.ndarray:
-        """Places where some test suffix could begin."""
-        first = np.zeros(self.base, bool)
-        first[self.levels[0]] = True
-        at = np.flatnonzero(first[ids])
-        nodes = np.searchsorted(self.levels[0], ids[at])
-        for level, known in enumerate(self.levels[1:], 1):
-            inside = at + level < len(ids)
-            at, nodes = at[inside], nodes[inside]
-            codes = nodes * self.base + ids[at + level]
-            nodes = np.searchsorted(known, codes)
-            good = nodes < len(known)
-            good[good] = known[nodes[good]] == codes[good]
-            at, nodes = at[good], nodes[good]
-        return at
+            if found := words_of(text):
+                texts.append((name, np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
+        self.words = list(numbers)
+        self.names = sorted({n for n, _ in texts}, key=lambda n: (n is None, n or ""))
+        place = {n: i for i, n in enumerate(self.names)}
+        gap = np.zeros(1, np.int64)
+        #: All items, each followed by 0.
+        self.flat = np.concatenate([gap[:0], *(x for _, ids in texts for x in (ids, gap))])
+        sizes = np.array([len(ids) for _, ids in texts], np.int64)
+        needs = np.minimum(sizes, window)
+        counts = sizes - needs + 1
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        #: Of each suffix with a window: its place in ``flat``, its window's words, its item, its words, and its place in the item.
+        self.at, self.need = np.repeat(begins, counts) + inside, np.repeat(needs, counts)
+        self.item = np.repeat(np.array([place[n] for n, _ in texts], np.int64), counts)
+        self.size, self.inside = np.repeat(sizes, counts) - inside, inside
+        self.window, self.longest = window, int(sizes.max(initial=0))
+
+
+def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
+    """All places of ``ids`` (from 0 on) in the order of the ``depth`` numbers, or more, that begin there."""
+    n = len(ids)
+    rank, done, order = ids, 1, None
+    tied = np.arange(n)
+    while len(tied):
+        bits = max(1, int(rank.max())).bit_length()
+        parts = max(2, 63 // bits)
+        places = tied if order is None else order[tied]
+        key = rank[places]
+        for j in range(1, parts):
+            ahead = places + j * done
+            key = key << bits | np.where(ahead < n, rank[np.minimum(ahead, n - 1)], 0)
+        by = np.argsort(key)
+        key, places = key[by], places[by]
+        if order is None:
+            order = places
+        else:
+            order[tied] = places
+        # A place's rank is where its group of equals begins; groups keep their stretch of the order.
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        heads = np.maximum.accumulate(np.where(begins, tied, 0))
+        if rank is ids:
+            rank = np.empty(n, np.int64)
+        rank[places] = heads + 1
+        done *= parts
+        if done >= depth:
+            break
+        alone = begins & np.append(begins[1:], True)
+        tied = tied[~alone]
+    return np.arange(0) if order is None else order
 
 
 class Shard:
-    """Suffix array over the words of some documents, ordered by the first words of each suffix."""
+    """Suffix array over the words of some documents; test suffixes are searched in it."""
 
-    def __init__(self, docs: list[np.ndarray], tests: TestSuffixes):
-        gap = np.zeros(1, np.int64)  # 0 is no test word, so that no match runs over a document's end
-        self.ids = np.concatenate([x for d in docs for x in (d, gap)])
+    def __init__(self, docs: list[list[bytes]], depth: int):
+        numbers = _Numbers()
+        gap = np.zeros(1, np.int64)  # 0 is no word, so that no match runs over a document's end
+        self.ids = np.concatenate([gap[:0], *(x for d in docs for x in (np.fromiter(map(numbers.__getitem__, d), np.int64, len(d)), gap))])
         self.begins = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])[:-1]])
-        self.tests = tests
-        data = self.ids.astype(">u4").tobytes()
-        size = 4 * max(_DEPTH, tests.window)
-        keyed = sorted((data[4 * p : 4 * p + size], p) for p in tests.starts(self.ids).tolist())
-        self.keys = [k for k, _ in keyed]
-        self.places = np.array([p for _, p in keyed], np.int64)
-
-    def matches(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-        """For each test suffix that occurs: item, place in the item, places in the shard, lengths of the longest matches."""
-        for name, ids, at, need in self.tests.suffixes:
-            begin = ids[at : at + need].astype(">u4").tobytes()
-            lo = bisect_left(self.keys, begin)
-            if lo == len(self.keys) or not self.keys[lo].startswith(begin):
-                continue
-            found = self.places[lo : bisect_left(self.keys, begin + b"\xff\xff\xff\xff", lo)]
-            length = np.full(len(found), need, np.int64)
-            going, step = np.arange(len(found)), need
-            while len(going) and at + step < len(ids):
-                ends = found[going] + step
-                same = ends < len(self.ids)
-                same[same] = self.ids[ends[same]] == ids[at + step]
-                going = going[same]
-                step += 1
-                length[going] = step
-            yield name, at, found, length
-
-    def hits(self) -> tuple[dict[int, set[str]], np.ndarray, dict[int, tuple[int, str, int, int]]]:
+        self.numbers = numbers
+        self.order = suffix_order(self.ids, depth)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=len(numbers) + 1))])
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray, after: bool) -> np.ndarray:
+        lo, hi = lo.copy(), hi.copy()
+        going = np.flatnonzero(lo < hi)
+        while len(going):
+            mid = (lo[going] + hi[going]) >> 1
+            found = self.ids[np.minimum(self.order[mid] + depth, len(self.ids) - 1)]
+            right = found <= word[going] if after else found < word[going]
+            lo[going[right]] = mid[right] + 1
+            hi[going[~right]] = mid[~right]
+            going = going[lo[going] < hi[going]]
+        return lo
+
+    def _deeper(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of stretches of the order that agree up to ``depth``, the parts whose next word is ``word``."""
+        lo = self._bound(lo, hi, depth, word, False)
+        return lo, self._bound(lo, hi, depth, word, True)
+
+    def _places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all stretches, and the stretch of each."""
+        sizes = hi - lo
+        owner = np.repeat(np.arange(len(lo)), sizes)
+        return self.order[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)], owner
+
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, places, "right") - 1
+
+    def search(self, tests: Tests) -> tuple[dict[int, list[int]], np.ndarray, dict[int, tuple[int, int, int, int]]]:
         """Per document its items; whether each word is hit; per document its longest match (length, item, word of the document, word of the item)."""
-        edges = np.zeros(len(self.ids) + 1, np.int64)
-        items: dict[int, set[str]] = {}
-        longest: dict[int, tuple[int, str, int, int]] = {}
-        for name, at, found, length in self.matches():
-            np.add.at(edges, found, 1)
-            np.add.at(edges, found + length, -1)
-            docs = np.searchsorted(self.begins, found, "right") - 1
-            for d, p, n in zip(docs.tolist(), found.tolist(), length.tolist()):
-                items.setdefault(d, set()).add(name)
-                if n > longest.get(d, (0,))[0]:
-                    longest[d] = (n, name, p - int(self.begins[d]), at)
-        return items, np.cumsum(edges[:-1]) > 0, longest
-
-
-_OWN = ["_n_words", "_hits", "_items", "_longest"]
-_STATE = "_n_words long, _hits array<long>, _items array<string>, _longest struct<words: long, item_id: string, doc_word: long, item_word: long>"
+        hit = np.zeros(len(self.ids), bool)
+        get = self.numbers.get
+        known = np.array([-1, *(get(w, -1) for w in tests.words)], np.int64)
+        words = known[tests.flat]
+        words[tests.flat == 0] = -1
+        live = np.flatnonzero(words[tests.at] > 0)
+        lo, hi = self.first[words[tests.at[live]]], self.first[words[tests.at[live]] + 1]
+        whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for depth in range(1, tests.window + 1):
+            full = tests.need[live] == depth
+            if full.any():
+                whole.append((live[full], lo[full], hi[full]))
+            live, lo, hi = live[~full], lo[~full], hi[~full]
+            if not len(live):
+                break
+            lo, hi = self._deeper(lo, hi, depth, words[tests.at[live] + depth])
+            good = lo < hi
+            live, lo, hi = live[good], lo[good], hi[good]
+        if not whole:
+            return {}, hit, {}
+        suffix, lo, hi = (np.concatenate(c) for c in zip(*whole))
+        need = tests.need[suffix]
+        # Windows that occur, each once: equal ones have the same stretch.
+        _, one, window = np.unique(lo * (tests.window + 1) + need, return_index=True, return_inverse=True)
+        places, owner = self._places(lo[one], hi[one])
+        edges = np.bincount(places, minlength=len(hit) + 1)[: len(hit) + 1] - np.bincount(places + need[one][owner], minlength=len(hit) + 1)[: len(hit) + 1]
+        hit = np.cumsum(edges[:-1]) > 0
+        docs = self.doc_of(places)
+        pairs = np.unique(docs * len(one) + owner)
+        # Items of each window, then items of each document.
+        has = np.unique(window * len(tests.names) + tests.item[suffix])
+        starts = np.searchsorted(has // len(tests.names), np.arange(len(one) + 1))
+        doc, w = pairs // len(one), pairs % len(one)
+        n = starts[w + 1] - starts[w]
+        item = has[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[w], n)] % len(tests.names)
+        items: dict[int, list[int]] = {}
+        for x in np.unique(np.repeat(doc, n) * len(tests.names) + item).tolist():
+            items.setdefault(x // len(tests.names), []).append(x % len(tests.names))
+        return items, hit, self._longest(tests, words, suffix, lo, hi, need)
+
+    def _longest(self, tests: Tests, words: np.ndarray, suffix: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+        best: dict[int, tuple[int, int, int, int]] = {}
+
+        def note(length: int, suffix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            _, one = np.unique(lo, return_index=True)
+            places, owner = self._places(lo[one], hi[one])
+            by = np.argsort(places)
+            docs, first = np.unique(self.doc_of(places[by]), return_index=True)
+            for d, at in zip(docs.tolist(), by[first].tolist()):
+                s = suffix[one[owner[at]]]
+                best[d] = (length, int(tests.item[s]), int(places[at] - self.begins[d]), int(tests.inside[s]))
+
+        for depth in np.unique(need).tolist():
+            here = need == depth
+            note(depth, suffix[here], lo[here], hi[here])
+        here = (need == tests.window) & (tests.size[suffix] > tests.window)
+        live, lo, hi, depth = suffix[here], lo[here], hi[here], tests.window
+        sizes = np.zeros(len(tests.at), np.int64)
+        sizes[live] = hi - lo
+        while len(live):
+            lo, hi = self._deeper(lo, hi, depth, words[tests.at[live] + depth])
+            good = lo < hi
+            live, lo, hi = live[good], lo[good], hi[good]
+            depth += 1
+            if not len(live):
+                break
+            if depth == tests.window + 1:
+                # A window all of whose places continue the suffix before it has no longest match of its own.
+                longer = np.zeros(len(tests.at) + 1, np.int64)
+                longer[live + 1] = hi - lo
+                own = (longer[live] != sizes[live]) | (tests.inside[live] == 0)
+                live, lo, hi = live[own], lo[own], hi[own]
+            note(depth, live, lo, hi)
+            more = tests.size[live] > depth
+            live, lo, hi = live[more], lo[more], hi[more]
+        return best
+
+
+_OWN = ["_n_words", "_n_hit", "_hits", "_items", "_longest"]
+_STATE = "_n_words long, _n_hit long, _hits binary, _items array<string>, _longest struct<words: long, item_id: string, doc_word: long, item_word: long>"
+_ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.struct([("words", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64())])]
+
+
+def _either(a: bytes | None, b: bytes | None) -> bytes | None:
+    if a is None or b is None:
+        return a or b
+    return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
+
+
+def _judged(texts: list[bytes], tests: Tests, shard_words: int) -> list[list]:
+    """Of each text: number of words, of words hit, bits of words hit (None: none), names of items, longest match."""
+    out = n_words, n_hit, hits, items, longest = [], [], [], [], []
+    docs: list[list[bytes]] = []
+
+    def flush() -> None:
+        shard = Shard(docs, tests.longest)
+        found, hit, best = shard.search(tests)
+        for d, (words, at) in enumerate(zip(docs, shard.begins.tolist())):
+            n_words.append(len(words))
+            n_hit.append(int(hit[at : at + len(words)].sum()) if d in found else 0)
+            hits.append(np.packbits(hit[at : at + len(words)]).tobytes() if d in found else None)
+            items.append([tests.names[i] for i in found.get(d, ())])
+            x = best.get(d)
+            longest.append(x and {"words": x[0], "item_id": tests.names[x[1]], "doc_word": x[2], "item_word": x[3]})
+        docs.clear()
+
+    held = 0
+    for text in texts:
+        found = words_of(text)
+        if docs and held + len(found) > shard_words:
+            flush()
+            held = 0
+        docs.append(found)
+        held += len(found) + 1
+    if docs:
+        flush()
+    return out
 
 
-def _pass(df: DataFrame, at: int, block: list[tuple[str, bytes]], window: int, shard_words: int, first: bool) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(block)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) if not first else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), _STATE])
-    longest_type = pa.struct([("words", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64())])
+def _pass(df: DataFrame, at: int, tests: Tests, shard_words: int, first: bool):
+    """The rows with the columns :data:`_STATE`; and the broadcast that they need."""
+    sent = df.sparkSession.sparkContext.broadcast(tests)
+    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    schema = ", ".join([*before, _STATE] if first else before)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(sent.value, window)
-        get = tests.number.get
-
-        def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, hit_words, item_lists, longest_of = [], [], [], []
-            docs: list[np.ndarray] = []
-
-            def flush() -> None:
-                if not docs:
-                    return
-                if tests.suffixes:
-                    items, hit, longest = Shard(docs, tests).hits()
-                else:
-                    items, hit, longest = {}, np.zeros(0, bool), {}
-                at = 0
-                for d, ids in enumerate(docs):
-                    n_words.append(len(ids))
-                    hit_words.append(np.flatnonzero(hit[at : at + len(ids)]).tolist() if d in items else [])
-                    item_lists.append(sorted(items.get(d, ())))
-                    x = longest.get(d)
-                    longest_of.append(x and {"words": x[0], "item_id": x[1], "doc_word": x[2], "item_word": x[3]})
-                    at += len(ids) + 1
-                docs.clear()
-
-            held = 0
-            for text in bytes_of(batch.column(at)):
-                found = words_of(text)
-                docs.append(np.fromiter(map(get, found, repeat(0)), np.int64, len(found)))
-                held += len(found)
-                if held >= shard_words:
-                    flush()
-                    held = 0
-            flush()
-            columns = list(batch.columns)
-            if not first:
-                before = [c.to_pylist() for c in columns[-4:]]
-                columns = columns[:-4]
-                hit_words = [sorted({*a, *b}) for a, b in zip(before[1], hit_words)]
-                item_lists = [sorted({*a, *b}) for a, b in zip(before[2], item_lists)]
-                longest_of = [b if a is None or b is not None and b["words"] > a["words"] else a for a, b in zip(before[3], longest_of)]
-            columns += [pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int64())), pa.array(item_lists, pa.list_(pa.string())), pa.array(longest_of, longest_type)]
-            return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(columns) - 4], "_n_words", "_hits", "_items", "_longest"])
+        tests = sent.value
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = [t for b in held for t in bytes_of(b.column(at))]
+            state = _judged(texts, tests, shard_words)
+            lo = 0
+            for batch in held:
+                found = [c[lo : lo + batch.num_rows] for c in state]
+                lo += batch.num_rows
+                columns = list(batch.columns)
+                if not first:
+                    old = [c.to_pylist() for c in columns[-5:]]
+                    columns = columns[:-5]
+                    found[2] = [_either(a, b) for a, b in zip(old[2], found[2])]
+                    found[1] = [int.from_bytes(x or b"").bit_count() for x in found[2]]
+                    found[3] = [sorted({*a, *b}, key=lambda n: (n is None, n or "")) for a, b in zip(old[3], found[3])]
+                    found[4] = [b if a is None or b is not None and b["words"] > a["words"] else a for a, b in zip(old[4], found[4])]
+                columns += [pa.array(c, kind) for c, kind in zip(found, _ARROW)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(columns) - 5], *_OWN])
+            held.clear()
 
         for batch in batches(rows):
-            yield judged(batch)
-
-    return df.mapInArrow(run, schema)
+            held.append(batch)
+            size += batch.column(at).nbytes + batch.num_rows
+            # About six bytes a word: one shard's worth.
+            if size >= min(6 * shard_words, _SHARD_BYTES):
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    return df.mapInArrow(run, schema), sent
+
+
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, window: int, block_bytes: int) -> Iterator[Tests]:
+    """The test items, one block after the other; at least one block."""
+    block: list[tuple[str | None, bytes]] = []
+    size = n = 0
+    for name, body in benchmark.select(F.col(item_key).cast("string"), F.col(item_text).cast("string")).toLocalIterator():
+        data = (body or "").encode()
+        if block and size + len(data) > block_bytes:
+            yield Tests(block, window)
+            block, size, n = [], 0, n + 1
+        block.append((name, data))
+        size += len(data)
+    if block or not n:
+        yield Tests(block, window)
 
 
 def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 4 << 20) -> DataFrame:
-    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``longest`` (the longest match and where it stands, or null).
+    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids as strings, null last) and ``longest`` (a longest match and where it stands, or null).
 
     Columns of these names that are there already are carried as ``<name>_in``.
     """
     df, text = make_room(df, ["n_words", "n_hit", "items", "longest", *_OWN], text)
     slim_batches(df.sparkSession)
-    blocks: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for name, body in benchmark.select(F.col(item_key).cast("string"), F.col(item_text).cast("string")).where(F.col(item_key).isNotNull()).toLocalIterator():
-        data = (body or "").encode()
-        if blocks[-1] and size + len(data) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((name, data))
-        size += len(data)
-    out, at = df, df.columns.index(text)
-    scratch = Scratch(df.sparkSession, "overlaps") if len(blocks) > _PASSES else None
-    for k, block in enumerate(blocks):
-        if k and k % _PASSES == 0:
-            out = scratch.keep(out, "passes")
-        out = _pass(out, at, block, window, shard_words, k == 0)
-    return out.select(*df.columns, F.col("_n_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.col("_items").alias("items"), F.col("_longest").alias("longest"))
+    at = df.columns.index(text)
+    scratch = Scratch(df.sparkSession, "overlaps")
+    blocks = _blocks(benchmark, item_key, item_text, window, block_bytes)
+    out, sent = _pass(df, at, next(blocks), shard_words, True)
+    for tests in blocks:
+        done = scratch.keep(out, "passes")
+        sent.unpersist()
+        out, sent = _pass(done, at, tests, shard_words, False)
+    return out.select(*df.columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_items").alias("items"), F.col("_longest").alias("longest"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -221,6 +352,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def overlap_digests(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per document: key, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``longest``."""
+    """Per document: key, ``n_words``, ``n_hit``, ``n_items`` (null counts as one), ``items_sha256`` (null left out), ``contaminated``, ``longest``."""
     found = find_overlaps(df.select(key, text), benchmark, text=text, **options)
     return found.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")

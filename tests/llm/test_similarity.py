@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -102,11 +104,22 @@ def windows(text: str | None, n: int = 10):
     return [tuple(w[i : i + min(n, len(w))]) for i in range(max(1, len(w) - n + 1))] if w else []
 
 
-@pytest.mark.parametrize("block,shard", [(1 << 20, 1 << 20), (60, 50)])
+@pytest.mark.parametrize("values,depth", [(3, 1), (3, 4), (1, 50), (2, 1000), (500, 7)])
+def test_suffix_order(values, depth):
+    rng = np.random.default_rng(depth)
+    for n in (0, 1, 2, 300):
+        ids = rng.integers(0, values, n)
+        order = decontaminate.suffix_order(ids, depth).tolist()
+        assert sorted(order) == list(range(n))
+        heads = [(*ids[p : p + depth].tolist(), *[0] * (p + depth - n)) for p in order]
+        assert heads == sorted(heads)
+
+
+@pytest.mark.parametrize("block,shard", [(1 << 20, 1 << 20), (60, 50), (1 << 20, 7)])
 def test_decontamination(spark, block, shard):
     rng = random.Random(5)
     words = [f"v{i}" for i in range(30)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 9, 10, 11, 25])))) for i in range(12)] + [(50, ""), (51, None), (None, "v1"), (3, "zz yy xx")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 9, 10, 11, 25])))) for i in range(12)] + [(50, ""), (51, None), (None, "v1 v2 v3"), (None, "v4 v4"), (3, "zz yy xx"), (60, "a " * 30), (61, "b a " * 9)]
     docs = []
     for i in range(60):
         w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
@@ -114,16 +127,17 @@ def test_decontamination(spark, block, shard):
             at = rng.randint(0, len(w))
             w[at:at] = items[rng.randrange(12)][1].upper().split()
         docs.append((i, "-".join(w)))
-    docs += [(60, None), (61, "ZZ, yy; XX!"), (61, "ZZ, yy; XX!"), (62, "é" * 9)]
+    docs += [(60, None), (61, "ZZ, yy; XX!"), (61, "ZZ, yy; XX!"), (62, "é" * 9), (63, "a " * 200), (64, "b a " * 50 + "v1 v2 v3")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("own"))
     got = decontaminate.find_overlaps(df, bench, block_bytes=block, shard_words=shard).collect()
     assert len(got) == len(docs)
-    by_text = {}
+    by_text, whole = {}, []
     for name, t in items:
-        if name is not None:
-            for w in windows(t):
-                by_text.setdefault(w, set()).add(str(name))
+        name = None if name is None else str(name)
+        whole.append((name, decontaminate.words_of((t or "").encode())))
+        for w in windows(t):
+            by_text.setdefault(w, set()).add(name)
     for r in got:
         w = decontaminate.words_of((r.text or "").encode())
         hit, names = set(), set()
@@ -132,12 +146,30 @@ def test_decontamination(spark, block, shard):
                 if tuple(w[i : i + len(g)]) == g:
                     hit |= set(range(i, i + len(g)))
                     names |= found
-        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(names))
-        if hit:
-            at = r.longest.doc_word
-            item = decontaminate.words_of(next(t for n, t in items if str(n) == r.longest.item_id and (t or "")).encode()) if r.longest.item_id != "3" else None
-            assert item is None or w[at : at + r.longest.words] == item[r.longest.item_word : r.longest.item_word + r.longest.words]
+        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(names, key=lambda n: (n is None, n or "")))
+        longest = 0
+        for _, x in whole:
+            for j in range(len(x)):
+                for i in range(len(w)):
+                    n = 0
+                    while j + n < len(x) and i + n < len(w) and x[j + n] == w[i + n]:
+                        n += 1
+                    longest = max(longest, n if n >= min(10, len(x)) else 0)
+        assert (r.longest.words if r.longest else 0) == longest
+        if longest:
+            mine = w[r.longest.doc_word : r.longest.doc_word + longest]
+            assert any(name == r.longest.item_id and x[r.longest.item_word : r.longest.item_word + longest] == mine for name, x in whole)
     assert {r.doc_id for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()} == {r.doc_id for r in got if not r.n_hit}
+    digests = {r.doc_id: r for r in decontaminate.overlap_digests(df, bench, block_bytes=block).collect()}
+    assert all((digests[r.doc_id].n_items, digests[r.doc_id].items_sha256) == (len(r["items"]), hashlib.sha256(",".join(n for n in r["items"] if n).encode()).hexdigest()) for r in got)
+
+
+def test_decontamination_of_repetitive_texts():
+    began = time.time()
+    tests = decontaminate.Tests([("a", b"again " * 400), ("b", b"x y " * 200)], 10)
+    n_words, n_hit, _, items, longest = decontaminate._judged([b"again " * 300_000, b"x y " * 150_000], tests, 1 << 20)
+    assert n_words == n_hit == [300_000, 300_000] and items == [["a"], ["b"]] and [x["words"] for x in longest] == [400, 400]
+    assert time.time() - began < 30
 
 
 def test_decontamination_without_items(spark):
