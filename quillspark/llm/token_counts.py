@@ -1,18 +1,16 @@
 """Token counts by a two-tier lookup on the map side.
 
 First tier: a compact table of the lengths (in tokens) of frequent pre-tokens,
-broadcast.  Each task counts its pre-tokens in a summary of bounded size (when
-full, all counts fall by the median and those at zero leave), writes its
-heaviest ones as one packed row, and rows are merged pairwise in the same way on
-executors; only one summary of at most ``table_size`` entries reaches the driver.
-The summary covers all texts but settles speed alone: a pre-token that it lacks
-is merged in full by the second tier, a cache in the worker.  No pre-token is
-shuffled by itself.
+broadcast: at most ``table_size`` pre-tokens of at most ``WORD_CHARS`` characters each.
+It is made in one task from a bounded sample: ``sample`` rows, of which no more is read
+than ``sample_bytes``.  The sample settles speed alone, as the table's lengths are
+exact and a pre-token that it lacks goes to the second tier: it is merged in full and
+its length kept in a cache of the worker, bounded in bytes.  All texts are counted
+whole, each read once, and no pre-token is shuffled.
 """
 
 from __future__ import annotations
 
-import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,88 +20,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import batches, slim_batches, texts_of
-from quillspark.llm.word_bpe import WordBpe
+from quillspark.llm.word_bpe import WORD_CHARS, WordBpe, cost_of
 
 
-class Summary:
-    """Heavy entries of a stream, in bounded memory."""
-
-    def __init__(self, most: int):
-        self.most, self.counts = most, Counter()
-
-    def add(self, items) -> None:
-        self.counts.update(items)
-        if len(self.counts) > 8 * self.most:
-            self.shrink(4 * self.most)
-
-    def shrink(self, to: int) -> None:
-        if len(self.counts) > to:
-            floor = sorted(self.counts.values(), reverse=True)[to]
-            self.counts = Counter({k: v - floor for k, v in self.counts.items() if v > floor})
-
-    def pack(self) -> bytes:
-        top = sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[: self.most]
-        return b"".join(struct.pack("<HQ", len(w), n) + w for w, n in ((k.encode(), v) for k, v in top) if len(w) < 65536)
-
-    @staticmethod
-    def unpack(data: bytes) -> dict[str, int]:
-        out, at = {}, 0
-        while at < len(data):
-            size, n = struct.unpack_from("<HQ", data, at)
-            at += 10
-            out[data[at : at + size].decode()] = n
-            at += size
-        return out
-
-
-def frequent_pre_tokens(df: DataFrame, path: str, text: str, table_size: int) -> list[str]:
-    """The summary's entries over all texts, at most ``table_size``."""
+def frequent_lengths(df: DataFrame, path: str, text: str, table_size: int, sample: int, sample_bytes: int) -> tuple[str, bytes]:
+    """Frequent pre-tokens of the sample, line by line, and the length of each in tokens (those of 255 and more are left out)."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, summary, part = WordBpe(path), Summary(table_size), 0
+        codec, counts, room = WordBpe(path), Counter(), sample_bytes
         for batch in batches(rows):
             for t in texts_of(batch.column(0)):
+                if room <= 0:
+                    break
+                room -= len(t)
                 for _, words in codec.parts(t):
-                    summary.add(words)
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([summary.pack()], pa.binary())], names=["part", "packed"])
-
-    def merge(batch: "pa.Table") -> "pa.Table":
-        summary = Summary(table_size)
-        for data in batch.column("packed"):
-            summary.add(Summary.unpack(data.as_py()))
-        return pa.table({"part": pa.array([batch.column("part")[0].as_py()], pa.int64()), "packed": pa.array([summary.pack()], pa.binary())})
-
-    schema = "part long, packed binary"
-    packed = df.select(text).mapInArrow(count, schema)
-    n = packed.rdd.getNumPartitions()
-    while n > 32:  # merge 32 at a time, so that no task holds more than 32 summaries
-        n = -(-n // 32)
-        packed = packed.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(merge, schema)
-    summary = Summary(table_size)
-    for row in packed.collect():  # 32 at most; one by one, their tasks would run one after the other
-        summary.add(Summary.unpack(bytes(row.packed)))
-    return list(Summary.unpack(summary.pack()))
+                    counts.update(words)
+        top = sorted((-n, w) for w, n in counts.items() if len(w) <= WORD_CHARS)[:table_size]
+        lengths = [(w, len(codec.encode_word(w))) for _, w in top]
+        lengths = [(w, n) for w, n in lengths if n < 255]
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(w for w, _ in lengths)]), pa.array([bytes(n for _, n in lengths)], pa.binary())], names=["words", "lengths"])  # pre-tokens hold no line ends
+
+    n = df.count()
+    some = df.select(text) if n <= sample else df.select(text).where(F.rand(17) < 1.2 * sample / n).limit(sample)
+    found = some.coalesce(1).mapInArrow(count, "words string, lengths binary").first()
+    return (found.words, bytes(found.lengths)) if found else ("", b"")
 
 
 class _Lengths(dict):
-    """Length of a pre-token: the broadcast table's, else merged here and kept."""
+    """Length of a pre-token: the broadcast table's, else merged here and kept, in bounded memory."""
 
-    def __init__(self, table: dict[str, int], codec: WordBpe, most: int):
+    def __init__(self, table: dict[str, int], codec: WordBpe, cache_bytes: int):
         super().__init__(table)
-        self.table, self.codec, self.most = table, codec, most
+        self.table, self.codec, self.most, self.room = table, codec, cache_bytes, cache_bytes
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.table)
-        out = self[word] = len(self.codec.encode_word(word))
+        out = len(self.codec.encode_word(word))
+        if len(word) <= WORD_CHARS:
+            self.room -= cost_of(word)
+            if self.room < 0:
+                self.clear()
+                self.update(self.table)
+                self.room = self.most
+            self[word] = out
         return out
 
 
-def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048, table_size: int = 16384, cache: int = 700_000) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048, table_size: int = 16384, sample: int = 2048, sample_bytes: int = 32 << 20, cache_bytes: int = 96 << 20) -> DataFrame:
     """Per row: key, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
     A null text counts as empty (0 bytes, 0 tokens).  Each row gives one row, in
@@ -112,17 +74,13 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """
     spark = df.sparkSession
     slim_batches(spark)
-    codec = WordBpe(path)
-    words = frequent_pre_tokens(df, path, text, table_size)
-    lengths = bytes(min(255, len(codec.encode_word(w))) for w in words)
-    keep = [i for i, n in enumerate(lengths) if n < 255]
-    table = spark.sparkContext.broadcast(("\n".join(words[i] for i in keep), bytes(lengths[i] for i in keep)))  # pre-tokens hold no line ends
+    table = spark.sparkContext.broadcast(frequent_lengths(df, path, text, table_size, sample, sample_bytes))
     schema = T.StructType([df.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe(path)
         names, sizes = table.value
-        lengths = _Lengths(dict(zip(names.split("\n"), sizes)) if sizes else {}, codec, cache)
+        lengths = _Lengths(dict(zip(names.split("\n"), sizes)) if sizes else {}, codec, cache_bytes)
         length = lengths.__getitem__
         for batch in batches(rows):
             n_bytes, n_tokens = [], []

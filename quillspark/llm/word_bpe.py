@@ -2,7 +2,8 @@
 
 An input text goes through the steps that the vocabulary file lists: special
 strings are cut out, the rest is brought to NFC, white space becomes one space,
-letters become small, and a pattern cuts pre-tokens.  Each pre-token's symbols
+letters become small, and a pattern cuts pre-tokens.  A file that lists other steps
+is refused.  Each pre-token's symbols
 are merged with a segment tree over the ranks of adjacent pairs: the root names
 the leftmost pair of the lowest rank, and a merge is three point updates of
 logarithmic cost, until no pair can be merged.  Pre-tokens that come again are
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from sys import getsizeof
 
 import regex
 
@@ -109,27 +111,64 @@ def _unassigned() -> str:
     return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
 
 
+#: Pre-tokens of more characters are merged anew each time they come.
+WORD_CHARS = 64
+
+
+def cost_of(word: str, ids: tuple = ()) -> int:
+    """About the bytes that a kept pre-token takes."""
+    return getsizeof(word) + getsizeof(ids) + 100
+
+
 class _Words(dict):
-    """Pre-token to ids, for pre-tokens that come again."""
+    """Pre-token to ids, for pre-tokens that come again, in bounded memory."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.room = encode, most, most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.encode(word)
+        out = self.encode(word)
+        if len(word) <= WORD_CHARS:
+            self.room -= cost_of(word, out)
+            if self.room < 0:
+                self.clear()
+                self.room = self.most
+            self[word] = out
         return out
 
 
+#: The steps that this encoder takes.  A file that lists others is refused.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PRE_TOKEN.replace(WHITE, r"\s")}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_steps(spec: dict) -> None:
+    """Raises unless the file's steps are those of this encoder."""
+    odd = [k for k, v in _STEPS.items() if spec.get(k) != v] + [f"model.{k}" for k, v in _MODEL.items() if spec["model"].get(k) != v]
+    odd += ["added_tokens" for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"the vocabulary file takes steps that this encoder doesn't: {', '.join(odd)}")
+
+
 class WordBpe:
-    """Encoder and decoder of one vocabulary file (``.json``)."""
+    """Encoder and decoder of one vocabulary file (``.json``) with the steps of :data:`_STEPS`."""
 
-    def __init__(self, path: str, cache: int = 350_000):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20):
         self.path, self.odd, self.library = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_steps(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         self.rank_of, self.made_by = {}, []
@@ -146,7 +185,7 @@ class WordBpe:
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PRE_TOKEN).findall
-        self.words = _Words(self.encode_word, cache)
+        self.words = _Words(self.encode_word, cache_bytes)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -157,7 +196,7 @@ class WordBpe:
 
     def parts(self, text: str) -> list[tuple[int | None, list[str]]]:
         """The text's special ids (with no words) and runs of pre-tokens, in order."""
-        pieces = self.cut.split(text) if self.cut and "<|" in text else [text]
+        pieces = self.cut.split(text) if any(special in text for special in self.special) else [text]
         out: list[tuple[int | None, list[str]]] = []
         for piece in pieces:
             if piece in self.special:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import time
@@ -11,7 +12,7 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import bpe_codec, chat_format, html_text, secrets, token_counts
+from quillspark.llm import bpe_codec, chat_format, html_text, secrets, token_counts, word_bpe
 from quillspark.llm.queries import vocabulary
 from quillspark.llm.word_bpe import WordBpe
 
@@ -74,12 +75,28 @@ def test_encoded_ids_and_clashing_names(spark, library):
 @pytest.mark.parametrize("size", [1, 4, 16384])
 def test_token_counts(spark, library, size):
     df = frame(spark, ODD * 3).repartition(5)
-    got = {r.doc_id: r for r in token_counts.count_tokens(df, vocabulary(), table_size=size, cache=16).collect()}
+    got = {r.doc_id: r for r in token_counts.count_tokens(df, vocabulary(), table_size=size, sample=7, cache_bytes=4000).collect()}
     for i, text in enumerate(ODD * 3):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 2048)
 
 
+def test_other_steps_are_refused(tmp_path):
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            WordBpe(str(tmp_path / "v.json"))
+
+
+def test_caches_are_bounded_in_bytes():
+    codec = WordBpe(vocabulary(), cache_bytes=20_000)
+    for i in range(2000):
+        codec.encode(f"word{i} " + "y" * (100 + i % 3))
+    assert sum(word_bpe.cost_of(w, x) for w, x in codec.words.items()) <= 20_000 and max(map(len, codec.words)) <= word_bpe.WORD_CHARS
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("false")
     assert token_counts.count_tokens(none, vocabulary()).count() == 0
