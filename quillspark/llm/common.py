@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,31 @@ def make_room(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, st
     return (df.withColumnsRenamed(renamed) if renamed else df), renamed.get(text, text)
 
 
+def trained_in_one_task(rows: DataFrame, train: Callable[..., object], most_bytes: int):
+    """What ``train`` makes of the columns of a bounded sample, in one task of an executor; None for no rows.
+
+    The rows are taken in order, the first column (a text) up to ``most_bytes`` characters in all, so
+    that the driver never holds texts, only the model.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in rows_columns]
+        room = most_bytes
+        for batch in batches(parts):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if room <= 0:
+                    break
+                room -= len(row[0])
+                for column, x in zip(columns, row):
+                    column.append(x)
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*columns))], pa.binary())], names=["model"])
+
+    rows_columns = rows.columns
+    found = rows.repartition(1).sortWithinPartitions(*reversed(rows_columns)).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found.model)) if found else None
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for words that come again; bounded."""
 

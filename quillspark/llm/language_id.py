@@ -9,7 +9,9 @@ A part of the sample, not trained on, sets the temperature that calibrates the
 probabilities and the score below which a prediction is rejected.
 
 A text that is null or holds no letter is ``und`` with score 0.  Texts of any
-length are read whole.  Without any labelled row everything is ``und``.
+length are read whole.  Without any labelled row everything is ``und``; an empty table
+gives none.  Repeated rows are each judged, alike, and columns whose names clash with
+new ones are carried as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import batches, make_room, slim_batches
+from quillspark.llm.common import batches, make_room, slim_batches, trained_in_one_task
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -163,8 +165,11 @@ class Scorer:
         return langs, scores
 
 
-def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2000) -> Trained:
-    """Trains on at most ``sample`` rows of those that ``learn_from`` picks, evenly over all languages; on one each, where there are more languages."""
+def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2000, sample_bytes: int = 64 << 20) -> Trained:
+    """Trains on at most ``sample`` rows of those that ``learn_from`` picks, evenly over all languages; on one each, where there are more languages.
+
+    Of their texts at most ``sample_bytes`` characters are read, whole texts in the order of a hash.
+    """
     known = df.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     counts = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
     n_langs = counts.count()
@@ -173,11 +178,10 @@ def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "tex
     each = max(1, sample // n_langs)
     # A row for each language, as the model has; so few are sent to the rows.
     shares = counts.select("_lang", (F.least(F.lit(1.0), F.lit(1.5 * each) / F.col("_n")) * (1 << 32)).cast("long").alias("_share"))
-    sampled = known.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(shares), F.col("l") == F.col("_lang"))
-    near = sampled.where(F.pmod(F.xxhash64("k"), F.lit(1 << 32)) < F.col("_share")).select("k", "t", "l")
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", F.xxhash64("t")))).where(F.col("r") <= each)
-    rows = sorted(ranked.select("k", "t", "l").collect())
-    return train([r.t for r in rows], [r.l for r in rows])
+    sampled = known.select(F.col(text).cast("string").alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")).join(F.broadcast(shares), F.col("l") == F.col("_lang"))
+    near = sampled.where(F.pmod("h", F.lit(1 << 32)) < F.col("_share")).select("t", "l", "h")
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= each)
+    return trained_in_one_task(ranked.select("t", "l", "h"), lambda texts, langs, _: train(texts, langs), sample_bytes)
 
 
 def identify(df: DataFrame, model: Trained, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

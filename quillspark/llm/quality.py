@@ -9,18 +9,20 @@ both.  A text's vector is the mean over all its terms, of the whole text.
 
 A network of two layers in numpy turns it into a probability; a part of the
 training sample sets the temperature.  The sample is bounded (``sample`` labelled
-rows), and so are the terms with a context vector (``terms``, the most frequent
-of the sample); other terms have their index vector alone.
+rows and ``unlabelled`` more, up to ``sample_bytes``) and read in one task; all of its
+terms have a context vector, other terms have their index vector alone.  Texts are
+scored whole.
 
 An empty or null text has the score that the network gives to the zero vector.
-A label other than 0 or 1, or null, teaches nothing; without labels all scores
-are one half.
+A label other than 0 or 1, or null, teaches nothing; of two labels of an id the
+greater counts.  Without labels or documents all scores are one half.  Repeated rows
+are each scored, alike; an empty table gives none; a column that is called like the
+score is carried as ``<name>_in``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import batches, make_room, slim_batches
+from quillspark.llm.common import batches, make_room, slim_batches, trained_in_one_task
 
 DIM, _ONES, _SHAPE = 96, 8, 5
 REPEAT = "\x00repeat"
@@ -38,15 +40,14 @@ _RUN = re.compile(r"(.)\1{2,}", re.S)
 
 def shape_terms(token: str) -> list[str]:
     """Terms of one token: itself, and marks of its shape."""
-    out = [_RUN.sub(r"\1\1", token.lower())]
-    letters = sum(map(str.isalpha, token))
-    marks = "".join(sorted({c for c in token if not c.isalnum()}))[:4]
+    if token.isalpha():
+        letters, marks, kind = len(token), "", "a"
+    else:
+        letters = sum(map(str.isalpha, token))
+        marks = "".join(sorted({c for c in token if not c.isalnum()}))[:4]
+        kind = "m" if letters else "d" if any(map(str.isdigit, token)) else "s"
     case = "u" if letters > 1 and token.isupper() else "t" if token[0].isupper() else "l"
-    out.append(f"\x00case {case}")
-    out.append(f"\x00marks {marks}")
-    out.append(f"\x00size {min(len(token), 24) // 3}")
-    out.append(f"\x00kind {'a' if letters == len(token) else 'm' if letters else 'd' if any(map(str.isdigit, token)) else 's'}")
-    return out
+    return [_RUN.sub(r"\1\1", token.lower()), f"\x00case {case}", f"\x00marks {marks}", f"\x00size {min(len(token), 24) // 3}", f"\x00kind {kind}"]
 
 
 def index_vectors(terms: list[str]) -> np.ndarray:
@@ -64,24 +65,23 @@ def index_vectors(terms: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Context vectors of frequent terms, and the network."""
+    """The network; and of the sample's terms, what each adds to the hidden layer."""
 
-    def __init__(self, context: dict[str, np.ndarray], net: tuple[np.ndarray, ...], temperature: float):
-        self.context, self.net, self.temperature = context, net, temperature
-
-    def term_vectors(self, terms: list[str]) -> np.ndarray:
-        base = index_vectors(terms)
-        near = np.zeros_like(base)
-        for i, term in enumerate(terms):
-            found = self.context.get(term)
-            if found is not None:
-                near[i] = found
-        return np.concatenate([base, near], 1)
+    def __init__(self, names: list[str], table: np.ndarray, net: tuple[np.ndarray, ...], temperature: float):
+        self.names, self.table, self.net, self.temperature = "\n".join(names), table, net, temperature  # terms hold no white space
+        self.place: dict[str, int] | None = None
 
     def hidden_vectors(self, terms: list[str]) -> np.ndarray:
         """What each term adds to the hidden layer; as pooling is linear, means of these will do."""
+        if self.place is None:
+            self.place = {t: i for i, t in enumerate(self.names.split("\n"))} if self.names else {}
+        at = np.fromiter((self.place.get(t, -1) for t in terms), np.int64, len(terms))
         _, scale, w1, *_ = self.net
-        return self.term_vectors(terms) @ (w1 / scale[:, None]).astype(np.float32)
+        out = np.empty((len(terms), w1.shape[1]), np.float32)
+        out[at >= 0] = self.table[at[at >= 0]]
+        other = np.flatnonzero(at < 0)
+        out[other] = index_vectors([terms[i] for i in other]) @ (w1 / scale[:, None])[:DIM].astype(np.float32)
+        return out
 
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
         """From means of :meth:`hidden_vectors`."""
@@ -132,38 +132,46 @@ class Pooler:
         return out
 
 
-def context_vectors(texts: list[str], most: int, span: int = 2) -> dict[str, np.ndarray]:
-    """Random indexing over the sample: each frequent term's sum of its neighbours' index vectors, to length one."""
+def context_vectors(texts: list[str], span: int = 2) -> dict[str, np.ndarray]:
+    """Random indexing over the texts: each term's sum of its neighbours' index vectors, to length one."""
     number: dict[str, int] = {}
-    lists = [np.array([number.setdefault(token, len(number)) for token in text.split()], np.int32) for text in texts]
-    counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *lists]), minlength=len(number))
+    lists = [np.array([number.setdefault(token, len(number)) for token in text.split()], np.int64) for text in texts]
     tokens = list(number)
-    heavy: Counter = Counter()
-    for token, n in zip(tokens, counts.tolist()):
-        for term in shape_terms(token):
-            heavy[term] += n
-    names = [t for t, n in sorted(heavy.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 2]
-    place = {t: i for i, t in enumerate(names)}
-    first = index_vectors([shape_terms(t)[0] for t in tokens])
+    shapes = [shape_terms(t) for t in tokens]
+    first = index_vectors([x[0] for x in shapes])
     near = np.zeros((len(tokens), DIM), np.float32)
-    for at in lists:
-        for d in range(1, span + 1):
-            np.add.at(near, at[d:], first[at[:-d]])
-            np.add.at(near, at[:-d], first[at[d:]])
-    out = np.zeros((len(names), DIM), np.float32)
-    for i, token in enumerate(tokens):
-        for term in shape_terms(token):
-            if (row := place.get(term)) is not None:
-                out[row] += near[i]
+    codes = [np.zeros(0, np.int64)]
+    for d in range(1, span + 1):
+        codes += [x for at in lists for x in (at[d:] * len(tokens) + at[:-d], at[:-d] * len(tokens) + at[d:])]
+    pairs, counts = np.unique(np.concatenate(codes), return_counts=True)
+    for lo in range(0, len(pairs), 1 << 17):
+        mine, beside = np.divmod(pairs[lo : lo + (1 << 17)], len(tokens))
+        rows, starts = np.unique(mine, return_index=True)
+        near[rows] += np.add.reduceat(first[beside] * counts[lo : lo + (1 << 17), None].astype(np.float32), starts)
+    place: dict[str, int] = {}
+    term = np.array([place.setdefault(t, len(place)) for x in shapes for t in x], np.int64)
+    by = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[by], np.arange(len(place)))
+    out = np.zeros((len(place), DIM), np.float32)
+    for lo in range(0, len(place), 1 << 14):
+        hi = min(lo + (1 << 14), len(place))
+        end = starts[hi] if hi < len(place) else len(by)
+        out[lo:hi] = np.add.reduceat(near[by[starts[lo] : end] // _SHAPE], starts[lo:hi] - starts[lo])
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
-    return dict(zip(names, out))
+    return dict(zip(place, out))
+
 
+def train(texts: list[str], labels: list[int | None], hidden: int = 32, epochs: int = 60, seed: int = 5) -> Model:
+    """Learns context vectors from all texts, the network from four fifths of those with a label, and calibrates on the rest."""
+    context = context_vectors(texts)
 
-def train(texts: list[str], labels: list[int], terms: int = 20_000, hidden: int = 32, epochs: int = 60, seed: int = 5) -> Model:
-    """Trains on four fifths of the texts and calibrates on the rest."""
-    context = context_vectors(texts, terms)
-    model = Model(context, (), 1.0)
-    x = Pooler(model.term_vectors, most=20_000)(texts)  # little memory: this runs on the driver
+    def term_vectors(terms: list[str]) -> np.ndarray:
+        nothing = np.zeros(DIM, np.float32)
+        return np.concatenate([index_vectors(terms), np.array([context.get(t, nothing) for t in terms], np.float32).reshape(-1, DIM)], 1)
+
+    known = [i for i, y in enumerate(labels) if y is not None]
+    labels = [labels[i] for i in known]
+    x = Pooler(term_vectors, most=60_000)([texts[i] for i in known])
     y = np.array(labels, np.float64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -192,24 +200,31 @@ def train(texts: list[str], labels: list[int], terms: int = 20_000, hidden: int
             best, kept = now, [p.copy() for p in net]
     net = kept
     grid = np.geomspace(0.25, 8, 80)
-    model.temperature = float(grid[int(np.argmin([loss_of(check, s) for s in grid]))])
-    model.net = (mean, scale, *net)
-    return model
+    temperature = float(grid[int(np.argmin([loss_of(check, s) for s in grid]))])
+    names = list(context)
+    weights = (net[0] / scale[:, None]).astype(np.float32)
+    table = np.concatenate([np.zeros((0, hidden), np.float32), *(term_vectors(names[lo : lo + 4096]) @ weights for lo in range(0, len(names), 4096))])
+    return Model(names, table, (mean, scale, *net), temperature)
+
 
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2500, unlabelled: int = 1500, sample_bytes: int = 64 << 20) -> Model | None:
+    """Trains on about ``sample`` labelled rows that ``learn_from`` (over the key) picks, chosen by a hash of the key.
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2500) -> Model | None:
-    """Trains on about ``sample`` labelled rows that ``learn_from`` (over the key) picks, chosen by a hash of the key."""
+    Context vectors are learned from these and from ``unlabelled`` more rows that it picks.
+    Of all their texts at most ``sample_bytes`` characters are read, labelled ones first.
+    """
     known = labels.where(learn_from & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    n = known.count()
-    if not n:
-        return None
-    share = int(min(1.0, sample / n) * (1 << 32))
-    picked = known.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) < share)  # about ``sample`` rows of two numbers: safe to broadcast
-    rows = df.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), F.coalesce("t", F.lit("")).alias("t"), "y")
-    found = sorted(rows.collect())
-    if not found:
+    n, rows = known.count(), df.count()
+    if not n or not rows:
         return None
-    return train([r.t for r in found], [r.y for r in found])
+    by = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32))
+    picked = known.where(by < int(min(1.0, sample / n) * (1 << 32)))  # about ``sample`` rows of two numbers: safe to broadcast
+    texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(key))
+    ours = texts.join(F.broadcast(picked), key).select("t", "y", F.xxhash64(F.col(key).cast("string"), "t").alias("h")).limit(2 * sample)
+    others = texts.where(learn_from & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("more")), F.lit(1 << 32)) < int(min(1.0, unlabelled / rows) * (1 << 32))))
+    others = others.select("t", F.lit(None).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string"), "t").alias("h")).limit(unlabelled)
+    rows = ours.unionByName(others).select("t", "y", "h", F.col("y").isNull().alias("more"))
+    return trained_in_one_task(rows, lambda texts, y, *_: train(texts, y) if any(x is not None for x in y) else None, sample_bytes)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:

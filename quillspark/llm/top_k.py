@@ -1,8 +1,9 @@
 """Exact top-k by inner product, a block of candidates at a time.
 
 Vectors become integers, ``floor(scale * x)``.  Candidates lie in ranges of ids
-(range partitions); a task orders its range so that near vectors lie together and
-packs them into blocks.  A block has a forward index (its vectors, one row each)
+(range partitions); a task orders its range by the signs along fixed directions, so
+that near vectors lie together, and packs them into blocks: a block is a range of that
+order, not of ids.  A block has a forward index (its vectors, one row each)
 and each dimension's greatest and least value.  For a query, the sum of the
 greater of ``q * greatest`` and ``q * least`` bounds the score of any vector of the
 block.  Blocks are taken in falling order of that bound and scored through the
@@ -14,8 +15,10 @@ query a score that its k-th is not below; with it, tasks pass over blocks at onc
 return only what may be among the best: some k times ``SEEDS`` rows a query, however
 many tasks there are, and these are ranked in the end.  Vectors that are
 null, hold null or non-finite components, or have another length than most, take
-no part; a query's own row is no candidate.  Ties go to smaller ids; of fewer than
-k candidates all are returned.
+no part.  Rows are told apart, not ids: of rows that share an id each is a query and
+a candidate by itself, and a query's own row alone is no candidate for it.  Ties go to
+smaller ids; of fewer than k candidates all are returned.  An empty table, or one
+without queries, gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,29 +62,29 @@ def near_order(vectors: np.ndarray) -> np.ndarray:
 class Blocks:
     """Forward indexes of one range, with each dimension's greatest and least value by block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
         order = near_order(vectors)
         self.blocks = []
         for lo in range(0, len(order), BLOCK):
             at = order[lo : lo + BLOCK]
-            self.blocks.append((ids[at], vectors[at]))
-        self.greatest = np.array([v.max(0) for _, v in self.blocks])
-        self.least = np.array([v.min(0) for _, v in self.blocks])
+            self.blocks.append((ids[at], rows[at], vectors[at]))
+        self.greatest = np.array([v.max(0) for *_, v in self.blocks])
+        self.least = np.array([v.min(0) for *_, v in self.blocks])
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Queries by blocks: no vector of the block scores more."""
         return np.maximum(queries, 0) @ self.greatest.T + np.minimum(queries, 0) @ self.least.T
 
     def best(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int = _LOWEST) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the range for one query that score ``floor`` at least: ids and scores, best first."""
+        """The k best of the range for one query row that score ``floor`` at least: ids and scores, best first."""
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in np.argsort(-bounds, kind="stable"):
             least = max(floor, scores[-1]) if len(ids) == k else floor
             if bounds[b] < least:
                 break
-            found, vectors = self.blocks[b]
+            found, rows, vectors = self.blocks[b]
             more = vectors @ query
-            good = (found != own) & (more >= least)
+            good = (rows != own) & (more >= least)
             ids, scores = np.concatenate([ids, found[good]]), np.concatenate([scores, more[good]])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
@@ -97,39 +100,44 @@ def top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "v
     size = common["d"] if common else 0
     rows = known.where(F.size("v") == size)
     ranges = max(spark.sparkContext.defaultParallelism, -(-(common["count"] if common else 0) // range_rows))
-    rows = scratch.keep(rows.repartitionByRange(ranges, "id"), "ranges")
-    schema = "query_id long, id long, score long"
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # Written once, so that a row keeps its number.
+    rows = scratch.keep(rows.repartitionByRange(ranges, "id").withColumn("row", F.monotonically_increasing_id()), "ranges")
+    schema = "query long, query_id long, id long, score long"
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     results: list[DataFrame] = []
 
-    def search(among: DataFrame, queries: tuple[np.ndarray, np.ndarray], floors: dict[int, int]) -> tuple[DataFrame, object]:
+    def search(among: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndarray], floors: dict[int, int]) -> tuple[DataFrame, object]:
+        """``queries``: row numbers, ids, vectors; ``floors`` by row number."""
         sent = spark.sparkContext.broadcast((*queries, np.array([floors.get(int(i), _LOWEST) for i in queries[0]], np.int64)))
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = list(batches(parts))
             if not found:
                 return
-            index = Blocks(np.concatenate([np.asarray(b.column(0)) for b in found]), np.concatenate([_matrix(b.column(1)) for b in found]))
-            q_ids, vectors, least = sent.value
+            ids, numbers = (np.concatenate([np.asarray(b.column(c)) for b in found]) for c in (0, 2))
+            index = Blocks(ids, numbers, np.concatenate([_matrix(b.column(1)) for b in found]))
+            q_rows, q_ids, vectors, least = sent.value
             for lo in range(0, len(q_ids), 512):
-                bounds = index.bounds(vectors[lo : lo + 512])
-                out = [(int(i), *index.best(int(i), q, row, k, int(f))) for i, q, row, f in zip(q_ids[lo : lo + 512], vectors[lo : lo + 512], bounds, least[lo : lo + 512])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(ids), i) for i, ids, _ in out]), pa.int64()), pa.array(np.concatenate([ids for _, ids, _ in out]), pa.int64()), pa.array(np.concatenate([s for *_, s in out]), pa.int64())], names=["query_id", "id", "score"])
+                cut = slice(lo, lo + 512)
+                best = [index.best(int(i), q, bounds, k, int(f)) for i, q, bounds, f in zip(q_rows[cut], vectors[cut], index.bounds(vectors[cut]), least[cut])]
+                sizes = [len(ids) for ids, _ in best]
+                columns = [np.repeat(q_rows[cut], sizes), np.repeat(q_ids[cut], sizes), *(np.concatenate(c) for c in zip(*best))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "id", "score"])
 
-        return among.select("id", "v").mapInArrow(run, schema), sent
+        return among.select("id", "v", "row").mapInArrow(run, schema), sent
 
     def answer(block: list) -> None:
-        queries = np.array([r.id for r in block], np.int64), np.array([r.v for r in block], np.int64)
-        seeds, sent = search(rows.where(F.pmod(F.xxhash64("id"), F.lit(SEEDS)) == 0), queries, {})
-        kth = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
-        floors = {r.query_id: r.score for r in kth.collect()}  # a number for each query of the block
+        queries = np.array([r.row for r in block], np.int64), np.array([r.id for r in block], np.int64), np.array([r.v for r in block], np.int64)
+        seeds, sent = search(rows.where(F.pmod(F.xxhash64("row"), F.lit(SEEDS)) == 0), queries, {})
+        kth = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", "score")
+        floors = {r.query: r.score for r in kth.collect()}  # a number for each query of the block
         sent.unpersist()
         found, sent = search(rows, queries, floors)
         results.append(scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best"))
         sent.unpersist()
 
     block: list = []
-    for row in rows.where("q").select("id", "v").toLocalIterator():
+    for row in rows.where("q").select("id", "v", "row").toLocalIterator():
         block.append(row)
         if len(block) == query_block:
             answer(block)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,13 +48,83 @@ def test_quality_accuracy(spark):
     assert got.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def plain_quality(model, text):
+    """The score from the model's arrays, token by token."""
+    mean, scale, w1, b1, w2, b2 = model.net
+    known = dict(zip(model.names.split("\n"), model.table))
+    total, n, last = np.zeros(len(w2)), 0, None
+    for token in (text or "").split():
+        for term in quality.shape_terms(token) + ([quality.REPEAT] if token == last else []):
+            own = known.get(term)
+            total += (quality.index_vectors([term])[0] @ (w1 / scale[:, None])[: quality.DIM]) if own is None else own
+        last, n = token, n + 1
+    logit = float(np.tanh(total / max(n, 1) - mean / scale @ w1 + b1) @ w2 + b2[0])
+    return 1 / (1 + math.exp(-logit / model.temperature))
+
+
+def test_quality_scores_recomputed(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(150)
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"), F.col("doc_id") % 2 == 0)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "new new new !!! ÀÉ 12 12"), (-4, "x " * 9000), (-3, "new new new !!! ÀÉ 12 12")], "doc_id long, text string")
+    rows = quality.score(docs.unionByName(odd), model).collect()
+    assert len(rows) == docs.count() + 5
+    for r in rows:
+        assert abs(r.score - plain_quality(model, r.text)) < 1e-4
+
+
+def test_all_terms_of_the_sample_have_context(spark):
+    docs = spark.createDataFrame([(i, f"word{i} said once by{i}") for i in range(300)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"), F.lit(True))
+    assert {quality.shape_terms(f"word{i}")[0] for i in range(300)} <= set(model.names.split("\n"))
+
+
 def test_quality_of_odd_rows(spark):
-    docs = spark.createDataFrame([(i, "good plain words here" if i % 2 else "%%% ### !!!") for i in range(60)] + [(70, None), (71, ""), (72, "x " * 50_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(70, None), (71, 7), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "good plain words here" if i % 2 else "%%% ### !!!") for i in range(60)] + [(70, None), (71, ""), (72, "x " * 50_000), (1, "%%%")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(70, None), (71, 7), (None, 1), (1, 0)], "doc_id long, quality int")
     model = quality.fit(docs, labels, F.lit(True))
-    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect() if r.text != "%%%"}
     assert got[1] > 0.5 > got[0] and 0 <= got[70] <= 1 and got[70] == got[71]
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"), F.lit(True))).collect()} == {0.5}
+    assert quality.fit(docs.where("false"), labels, F.lit(True)) is None and quality.score(docs.where("false"), model).count() == 0
+    clash = quality.score(docs.withColumn("Score", F.lit("own")), model).first()
+    assert clash.Score_in == "own" and 0 <= clash.score <= 1
+
+
+def plain_language(model, text):
+    """Language and score from the model's arrays, n-gram by n-gram."""
+    words = language_id.words_of(text or "")
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    rows = []
+    for w in words:
+        data = b"<" + w + b">"
+        for i in range(len(data)):
+            code = 2166136261
+            for n in range(5):
+                if i + n >= len(data):
+                    break
+                code = ((code ^ data[i + n]) * 16777619) & 0xFFFFFFFF
+                if n + 1 >= 2:
+                    h = (code * 2654435761) & 0xFFFFFFFF
+                    rows.append((((h ^ (h >> 15)) * 2246822519) & 0xFFFFFFFF) >> (32 - model.bits))
+    logits = (sum((model.logits[r].astype(float) for r in rows), np.zeros(len(model.langs))) / max(1, len(rows)) + model.bias) / model.temperature
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_language_scores_recomputed(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").orderBy(F.length("text")).limit(120)
+    model = language_id.fit(docs, F.col("doc_id") % 3 != 0)
+    odd = spark.createDataFrame([(-1, None, None), (-2, "12 !", "en"), (-3, "né à ßtraße ßtraße", "de"), (-3, "né à ßtraße ßtraße", "de")], "doc_id long, text string, lang string")
+    both = docs.unionByName(odd).withColumns({"Lang_Pred": F.lit("x"), "SCORE": F.lit("y")})
+    rows = language_id.identify(both, model).collect()
+    assert len(rows) == 124 and {(r.Lang_Pred_in, r.SCORE_in) for r in rows} == {("x", "y")}
+    for r in rows:
+        lang, score = plain_language(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+    assert language_id.identify(docs.where("false"), model).count() == 0
+    assert language_id.fit(docs.unionByName(docs), F.lit(True)).langs == sorted({r.lang for r in docs.collect()})
 
 
 @pytest.fixture(scope="module")

@@ -194,6 +194,21 @@ def test_top_k(spark, k, block):
     assert {tuple(r) for r in got} == want
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-9, 9, size=(120, 4)).astype(float)
+    ids = [0, 0, 0, 7, 7, *range(100, 215)]
+    vectors[1] = vectors[0]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>, score string")
+    got = top_k.top_k(df.repartition(5), F.col("vec_id") % 7 == 0, k=5, scale=1).collect()
+    want = []
+    for q in range(120):
+        if ids[q] % 7 == 0:
+            best = sorted((-int(vectors[q] @ vectors[c]), ids[c]) for c in range(120) if c != q)[:5]
+            want += [(ids[q], r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, -1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k.top_k(one, F.col("vec_id") == 0, scale=1).collect()] == [(0, 1, 1, 0)]
