@@ -114,8 +114,8 @@ def train(texts: list[str], langs: list[str], bits: int = 15, dim: int = 16, epo
         model.temperature = float(grid[int(np.argmin(loss))])
         right = softmax(raw / model.temperature)
         right = right.max(1)[right.argmax(1) == label[check]]
-        # Below what all but one in a thousand of the rightly told texts reach, and never above one half.
-        model.reject_below = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
+        # A little below what all but one in a thousand of the rightly told texts reach, and below one half.
+        model.reject_below = 0.999 * float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
     return model
 
 

@@ -171,13 +171,21 @@ class Scanner:
         return sorted(known + self.novel(text, known))
 
     def redacted(self, text: str, mark: str) -> str:
-        """The text with the values of all spans (overlapping ones as one) replaced."""
-        out, at = [], 0
-        for start, end in sorted((x[3], x[4]) for x in self.spans(text)):
-            if start >= at:
-                out += [text[at:start], mark]
-            at = max(at, end)
-        return "".join([*out, text[at:]]) if out else text
+        """The text with the values of all spans (overlapping ones as one) replaced, until it has none.
+
+        A string may be novel only when what it repeats is gone, so the result is scanned again.
+        """
+        while found := self.spans(text):
+            out, at = [], 0
+            for start, end in sorted((x[3], x[4]) for x in found):
+                if start >= at:
+                    out += [text[at:start], mark]
+                at = max(at, end)
+            now = "".join([*out, text[at:]])
+            if now == text or self.spans(mark):
+                return now
+            text = now
+        return text
 
 
 def find_secrets(df: DataFrame, text: str = "text", name: str = "secrets", **options) -> DataFrame:
@@ -197,7 +205,7 @@ def find_secrets(df: DataFrame, text: str = "text", name: str = "secrets", **opt
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
 
-def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
+def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[redacted]", **options) -> DataFrame:
     """The same rows and columns; in ``text`` each secret's value is replaced by ``mark``. Null stays null."""
     slim_batches(df.sparkSession)
     at = df.columns.index(text)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import language_id, near_duplicates, queries, quality, secrets
+from quillspark.llm import decontaminate, language_id, near_duplicates, queries, quality, secrets
+
+from test_similarity import windows
+from test_text_operators import plain_spans
 
 DATA = "/root/testdata/sf0.01"
 
@@ -155,8 +160,111 @@ def test_stages(spark, stages):
     assert coded.count() == safe.count() and coded.where("n_tokens != size(token_ids)").count() == 0
 
 
+def odd_documents(spark):
+    """Some documents, repeated rows, ids that are null or have two texts, and columns with clashing names."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = [r.asDict() for r in docs.where("n_chars between 200 and 4000").orderBy("doc_id").limit(60).collect()]
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    add = [some[3], some[3], some[5] | {"text": some[9]["text"]}, some[7] | {"doc_id": None}, some[8] | {"doc_id": None, "text": some[8]["text"] + " new words here and there"}]
+    add += [some[0] | {"doc_id": 9001, "text": some[0]["text"] + " token=abcdef123456 end"}, some[1] | {"doc_id": 9002, "text": item + " " + some[1]["text"]}, some[2] | {"doc_id": 9003, "text": None}, some[2] | {"doc_id": 9004, "text": ""}, some[2] | {"doc_id": 9005, "text": "123 456 !"}]
+    df = spark.createDataFrame(some + add, docs.schema).withColumns({"items": F.lit("a"), "root": F.lit(1), "Score": F.lit(2.0), "lang_pred": F.lit("b"), "secrets": F.lit("c"), "_n_words": F.lit(3)})
+    return df, item
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    docs, _ = odd_documents(spark)
+    sf = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    now = docs.repartition(3)
+    now.write.parquet(str(tmp_path / "0"))
+    now = spark.read.parquet(str(tmp_path / "0"))
+
+    def told(rows):
+        model = language_id.fit(now, F.lit(True))
+        found = [(r, *plain_language(model, r["text"])) for r in rows]
+        return [r for r, lang, score in found if lang != "und" and score >= model.reject_below]
+
+    def single(rows):
+        sets = []
+        for r in rows:
+            w = (r["text"] or "").encode().lower().split()
+            sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        root = list(range(len(rows)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    root[top(a)] = top(b)
+        groups = {}
+        for i, r in enumerate(rows):
+            groups.setdefault(top(i), []).append(r)
+        return [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+
+    def clean(rows):
+        known = {w for _, t in items for w in windows(t)}
+        out = []
+        for r in rows:
+            w = decontaminate.words_of((r["text"] or "").encode())
+            if not any(tuple(w[i : i + n]) in known for n in range(1, 11) for i in range(len(w) - n + 1)):
+                out.append(r)
+        return out
+
+    def safe(rows):
+        out = []
+        for r in rows:
+            text, last = r["text"], len(r["text"])
+            for _, _, end, begin in sorted(plain_spans(text), key=lambda x: -x[3]):
+                assert end <= last
+                text, last = text[:begin] + "[redacted]" + text[end:], begin
+            out.append(r | {"text": text, "n_chars": len(text)})
+        return out
+
+    library = Tokenizer.from_file(queries.vocabulary())
+
+    def coded(rows):
+        out = []
+        for r in rows:
+            ids = library.encode(r["text"], add_special_tokens=False).ids
+            out.append({"doc_id": r["doc_id"], "n_tokens": len(ids), "token_ids": ids, "decoded_sha256": hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()})
+        return out
+
+    brute = {"language_id": told, "near_duplicates": single, "decontaminate": clean, "secrets": safe, "bpe": coded}
+    shown = lambda rows: sorted((tuple(sorted((k, repr(v)) for k, v in r.items())) for r in rows))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        rows = [r.asDict() for r in now.collect()]
+        after = stage(spark, now, sf)
+        assert name == "bpe" or after.columns == now.columns
+        after.write.parquet(str(tmp_path / str(i)))
+        now = spark.read.parquet(str(tmp_path / str(i)))
+        got, want = [r.asDict() for r in now.collect()], brute[name](rows)
+        assert shown(got) == shown(want), name
+        assert name == "secrets" or name == "bpe" or len(got) < len(rows), name
+    assert [name for name, _ in corpus_pipeline.STAGES] == list(brute)
+
+
+def test_run_applies_all_stages(spark, tmp_path):
+    docs, _ = odd_documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"]
+    now = docs
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    same = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.decoded_sha256, r.n_tokens) for r in df.collect())
+    assert same(got) == same(now) != []
+
+
 def test_stages_take_empty_tables_and_more_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({"n": F.lit(1), "a": F.lit("x"), "items": F.lit("y"), "root": F.lit(2)})
-    for name, stage in corpus_pipeline.STAGES[:4]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), DATA).count() == 0, name
-        assert stage(spark, docs.withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text"))), DATA).columns == docs.columns, name
+        odd = stage(spark, docs.withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text"))), DATA)
+        assert odd.columns == (docs.columns if name != "bpe" else ["doc_id", "n_tokens", "token_ids", "decoded_sha256"]), name
+        assert name != "bpe" or odd.count() == 40

@@ -122,7 +122,7 @@ def test_secrets(spark):
     assert got[4].spans == "novel:10:30" and got[5].spans == "" and got[7].spans == ""
     assert got[0].base_sha256 == hashlib.sha256(b"assign:2:20").hexdigest()
     clean = [r.text for r in secrets.redact_secrets(frame(spark, texts)).orderBy("doc_id").collect()]
-    assert clean[0] == 'x token = "[secret]" y' and clean[7] is None and clean[5] == texts[5]
+    assert clean[0] == 'x token = "[redacted]" y' and clean[7] is None and clean[5] == texts[5]
     again = secrets.secret_digests(frame(spark, clean)).collect()
     assert all(not r.spans for r in again)
 
@@ -133,8 +133,8 @@ def test_secrets_of_letters_short_and_on_the_next_line(spark):
     assert got == ["novel:22:42", "novel:7:39", "novel:19:31", "", "", ""]
 
 
-def plain_base(text):
-    """The base spans, character by character."""
+def plain_spans(text):
+    """The base spans (start, kind, end, value's start), character by character."""
     names, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
     out, n = [], len(text)
 
@@ -154,14 +154,14 @@ def plain_base(text):
                     at += at < n and text[at] in "\"'"
                     end = run(at, value)
                     if end > at:
-                        return end, end - at
+                        return end, at
         return None
 
     i = 0
     while i < n:
         found = assigned(i)
-        if found and found[1] >= 6:
-            out.append((i, 0, found[0]))
+        if found and found[0] - found[1] >= 6:
+            out.append((i, 0, *found))
         i = found[0] if found else i + 1
     for kind, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
         i = 0
@@ -169,11 +169,15 @@ def plain_base(text):
             end = run(i + len(head), allowed) if text.startswith(head, i) else i
             if end > i + len(head):
                 if end - i >= least:
-                    out.append((i, kind, end))
+                    out.append((i, kind, end, i))
                 i = end
             else:
                 i += 1
-    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+    return sorted(out)
+
+
+def plain_base(text):
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in plain_spans(text))
 
 
 def test_base_spans_equal_a_plain_loop(spark):
