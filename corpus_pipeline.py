@@ -5,20 +5,23 @@ as Parquet and read again as the next stage's ``docs``.  The first four return
 the columns of ``documents``:
 
 * ``language_id`` drops what has no letters or no language told with confidence;
-* ``near_duplicates`` keeps one document of each group (five-word shingles,
-  similarity 0.8), the one with the least id;
+* ``near_duplicates`` keeps one row of each group (five-word shingles, similarity 0.8),
+  that with the least id, null ids last; of repeated rows one stays, and rows that
+  share an id but not a text are judged each by its own;
 * ``decontaminate`` drops what holds a passage of the benchmark;
 * ``secrets`` keeps every document and replaces secrets' values in its text
   (``n_chars`` follows the text);
 * ``bpe`` returns ``doc_id``, ``n_tokens``, ``token_ids`` and the SHA-256 of what
-  the ids decode to.
+  the ids decode to, and nothing else.
 
 Null texts have no language and leave in the first stage.  A table without rows
-passes through as one.  Further columns of ``documents`` are carried along.
+passes through as one.  Further columns of ``documents`` are carried along up to
+the last stage, whatever they are called.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +37,17 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    lesser = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(lesser, "doc_id", "left_anti").select(*docs.columns)
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        lesser = near_duplicates.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id")
+        return docs.join(lesser, "doc_id", "left_anti").select(*docs.columns)
+    # Some ids are repeated or null: rows are told apart by a number, written down with them.
+    row = f"_row_{uuid.uuid4().hex[:8]}"
+    keyed = Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates.near_duplicates(keyed, key=row, words=5, percent=80).select(row, "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("least")
+    first = groups.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(least).select(f"least.{row}")
+    return keyed.join(first, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
