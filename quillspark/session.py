@@ -27,11 +27,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once to the folder that ``spark.checkpoint.dir`` names, so that later uses see the very same ones.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Where that is unset a temporary folder is made, if driver and executors are one
+    process (``local``); a cluster without the setting is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quillspark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
