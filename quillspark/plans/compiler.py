@@ -20,11 +20,17 @@ from pyspark.sql.window import Window
 from quillspark.functions.kernel import N, S, Value, constant, field, lit, predicate, shown, text, truth, unify
 from quillspark.functions.logic import table_lookup
 from quillspark.functions.objects import struct
-from quillspark.functions.registry import call, null
+from quillspark.functions.registry import UnknownVerb, call, null
 from quillspark.plans.ir import Call, Condition, Copy, Expression, Literal, Mapping, Object, Segment, Template, Transform
+from quillspark.session import checkpointed
 
 DEEPEST, MOST_LOOPS = 32, 10
+#: The greatest whole number that an accumulator may reach.
+MOST = 9007199254740991
+#: Codes of errors that no policy lets pass.
+GUARDS = ("T016", "T017", "T018")
 RECORD = "_record_type"
+TYPES = ("string", "integer", "number", "currency", "percent", "boolean", "date", "time", "timestamp", "duration", "reference", "binary")
 #: Under strict types these verbs take numbers only.
 NUMERIC = frozenset("abs round floor ceil trunc sign negate sqrt exp add subtract multiply divide mod pow log clamp".split())
 
@@ -35,11 +41,13 @@ class PlanError(ValueError):
 
 @dataclass
 class Result:
-    """Segments by name, and errors: ``key, segment, path, code, message``."""
+    """Segments by name; errors and warnings: ``key, segment, path, code, message``; accumulators at the end of a stream."""
 
     segments: dict[str, DataFrame]
     errors: DataFrame | None
     arrays: set[str] = dataclass_field(default_factory=set)
+    warnings: DataFrame | None = None
+    state: DataFrame | None = None
 
     def documents(self, source: DataFrame, key: str) -> DataFrame:
         """One row a document: a struct for each segment, an array of structs for each that loops.
@@ -98,10 +106,35 @@ def _walk(v: Value, path: str) -> Value:
     return v
 
 
+@dataclass(frozen=True)
+class Stream:
+    """Records in an order, whose accumulators go on from record to record.
+
+    With ``by``, each group of records is a stream by itself and is taken by one task;
+    without, the one stream is dealt by ranges of the order.
+    """
+
+    order: tuple[str, ...]
+    by: tuple[str, ...] = ()
+
+
+def _policy(plan: Transform, name: str, default: str) -> str:
+    found = plan.meta.get(f"target.{name}", plan.meta.get(name, default))
+    if found not in ("fail", "warn", "skip", "default", ""):
+        raise PlanError(f"CONFIG_ERROR: {name} is fail, warn or skip, not {found}")
+    return found
+
+
+def _problem(bad: Column, path: str, code: str, message: str | Column) -> Column:
+    return F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"), (message if isinstance(message, Column) else F.lit(message)).alias("message")))
+
+
 class _Compiler:
-    def __init__(self, plan: Transform, df: DataFrame, key: str):
-        self.plan, self.df, self.key = plan, df, key
+    def __init__(self, plan: Transform, df: DataFrame, key: str, stream: Stream | None = None):
+        self.plan, self.df, self.key, self.stream = plan, df, key, stream
         self.errors: list[DataFrame] = []
+        self.warnings: list[DataFrame] = []
+        self.on_error, self.on_missing, self.on_validation = _policy(plan, "onError", ""), _policy(plan, "onMissing", ""), _policy(plan, "onValidation", "fail")
 
     def value(self, e: Expression, scope: _Scope, depth: int = 0) -> Value:
         if depth > DEEPEST:
@@ -139,13 +172,17 @@ class _Compiler:
 
     def directed(self, m: Mapping, v: Value) -> Value:
         d = m.directives
-        kind = d.get("type") or next((k for k in ("integer", "number", "currency", "percent", "boolean", "date", "timestamp") if k in d), "")
+        kind = d.get("type") or next((k for k in TYPES if k in d), "")
+        if kind and kind not in TYPES:
+            raise PlanError(f"CONFIG_ERROR: no type {kind}")
         if "pos" in d:
             v = text(F.substr(shown(v), F.lit(int(d["pos"]) + 1), F.lit(int(d["len"])) if "len" in d else F.length(shown(v))))
         if "field" in d:
             v = text(F.get(F.split(shown(v), ","), F.lit(int(d["field"]))))
-        if kind == "string":
+        if kind in ("string", "time", "duration", "reference"):
             v = text(shown(v))
+        elif kind == "binary":
+            v = Value(F.coalesce(F.try_to_binary(shown(v), F.lit("base64")), shown(v).cast("binary")), T.BinaryType())
         elif kind == "integer":
             v = Value(F.floor(N(v)).try_cast("bigint"), T.LongType())
         elif kind in ("number", "percent"):
@@ -169,6 +206,8 @@ class _Compiler:
                 v = call(name, v)
         if "maxLen" in d:
             v = text(F.left(shown(v), F.lit(int(d["maxLen"]))))
+        if "raw" in d:
+            v = Value(F.coalesce(F.try_parse_json(shown(v)), shown(v).cast("variant")), T.VariantType())
         if "array" in d:
             v = Value(F.array(v.col), T.ArrayType(v.type))
         if m.confidential and self.plan.confidential == "redact":
@@ -177,34 +216,133 @@ class _Compiler:
             v = text(F.repeat(F.lit("*"), F.length(v.col))) if v.is_string else Value(F.lit(None).cast(v.type), v.type)
         return v
 
-    def violations(self, m: Mapping, v: Value) -> list[Column]:
-        """Errors of a mapping as structs that are null where all is well."""
-        d, out = m.directives, []
-        problem = lambda bad, code, message: F.when(bad, F.struct(F.lit(m.target).alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message")))
-        if "required" in d:
-            out.append(problem(v.col.isNull(), "SOURCE_MISSING", "a required value is null or missing"))
+    def checked(self, m: Mapping, v: Value, absent: bool) -> tuple[Value, list[Column], list[Column]]:
+        """A mapping's value after its checks; errors and warnings as structs that are null where all is well.
+
+        ``onValidation`` says what becomes of a value that fails a check: an error and no
+        value (fail), a warning (warn), or no value (skip).  ``onMissing`` does so for a
+        source path that isn't there at all; a required value is an error in any case.
+        """
+        d, errors, warnings = m.directives, [], []
+        found: list[tuple[Column, str]] = []
         if "validate" in d:
-            out.append(problem(v.col.isNotNull() & ~S(v).rlike(d["validate"]), "T013", "the value does not match"))
+            found.append((v.col.isNotNull() & ~S(v).rlike(d["validate"]), "the value does not match"))
         if "enum" in d:
-            out.append(problem(v.col.isNotNull() & ~S(v).isin(*d["enum"].split(",")), "T013", "the value is not among those allowed"))
+            found.append((v.col.isNotNull() & ~S(v).isin(*(x.strip() for x in d["enum"].split(","))), "the value is not among those allowed"))
         if "range" in d:
             lo, hi = d["range"].split("..")
-            bad = F.lit(False)
+            bad = N(v).isNull()
             if lo:
                 bad = bad | (N(v) < float(lo))
             if hi:
                 bad = bad | (N(v) > float(hi))
-            out.append(problem(F.coalesce(bad, F.lit(False)), "T013", "the value is out of range"))
-        return out
+            found.append((v.col.isNotNull() & bad, "the value is out of range"))
+        missing = v.col.isNull()
+        if found:
+            any_bad = F.lit(False)
+            for bad, message in found:
+                if self.on_validation != "skip":
+                    (warnings if self.on_validation == "warn" else errors).append(_problem(bad, m.target, "T013", message))
+                any_bad = any_bad | bad
+            if self.on_validation != "warn":
+                v = Value(F.when(~any_bad, v.col), v.type)
+        path = m.value.path.lstrip("@.") if isinstance(m.value, Copy) else m.target
+        if "required" in d:
+            errors.append(_problem(missing, m.target, *(("T005", f"there is no {path}") if absent else ("SOURCE_MISSING", "a required value is null or missing"))))
+        elif absent and self.on_missing in ("fail", "warn"):
+            (errors if self.on_missing == "fail" else warnings).append(_problem(missing, m.target, "T005", f"there is no {path}"))
+        return v, errors, warnings
 
     # Segments ------------------------------------------------------------------
 
+    def operation(self, e: Call, scope: _Scope) -> str:
+        return "last" if e.verb == "set" else str(constant(self.value(e.args[1], scope), "sum")) if len(e.args) > 2 else "sum"
+
+    def streamed(self, df: DataFrame, root: _Scope, applying: list[tuple[Segment, Column]]) -> tuple[DataFrame, DataFrame | None]:
+        """The records with a column for each accumulator that mappings outside of loops feed: its value after the record.
+
+        All that feed one accumulator must do so by the same operation.  Without groups the
+        stream is dealt by ranges, each of which goes on from the totals of those before it.
+        """
+        fed: dict[str, tuple[str, list[Value]]] = {}
+        for seg, applies in applying:
+            if seg.loops:
+                continue
+            scope = _Scope(df, self.plan)
+            scope.state, scope.source = dict(root.state), dict(root.source)
+            for m in seg.mappings:
+                if not _stateful(m.value):
+                    scope.outputs[m.target] = self.value(m.value, scope)
+                    continue
+                name = m.value.args[0].value if isinstance(m.value.args[0], Literal) else m.value.args[0].path
+                op, x = self.operation(m.value, scope), self.value(m.value.args[-1], scope)
+                here = F.coalesce(applies & (F.col(RECORD) == seg.record if seg.record is not None else F.lit(True)), F.lit(False))
+                if m.when is not None:
+                    here = here & self.test(m.when, scope)
+                if m.unless is not None:
+                    here = here & ~self.test(m.unless, scope)
+                if fed.setdefault(name, (op, []))[0] != op:
+                    raise PlanError(f"CONFIG_ERROR: '{name}' is fed by {op} and by {fed[name][0]}")
+                kind = x.type if op in ("first", "last") else T.StringType() if op == "concat" else T.DoubleType()
+                fed[name][1].append(Value(F.when(here, F.lit(1.0) if op == "count" else x.col if op in ("first", "last") else S(x) if op == "concat" else N(x)), kind))
+        if not fed:
+            return df, None
+        order, by = self.stream.order, list(self.stream.by)
+        df = df.withColumns({f"_fed_{n}_{i}": x.col for n, (_, xs) in fed.items() for i, x in enumerate(xs)})
+        if not by:
+            df = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+        part = by or ["_range"]
+        running = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        folds: dict[str, tuple] = {}
+        for n, (op, xs) in fed.items():
+            own = [F.col(f"`_fed_{n}_{i}`") for i in range(len(xs))]
+            if op == "concat":
+                if not by:
+                    raise PlanError("CONFIG_ERROR: a stream without groups can't be joined into one text")
+                one = F.concat_ws("", *own)
+                folds[n] = (one, lambda c, w: F.array_join(F.collect_list(c).over(w) if w is not None else F.collect_list(c), ""), lambda a, b: F.concat(F.coalesce(a, F.lit("")), b))
+            elif op in ("min", "max"):
+                pick, fold = (F.least, F.min) if op == "min" else (F.greatest, F.max)
+                folds[n] = (pick(*own) if len(own) > 1 else own[0], lambda c, w, fold=fold: fold(c).over(w) if w is not None else fold(c), lambda a, b, pick=pick: pick(a, b))
+            elif op in ("first", "last"):
+                one, place = F.coalesce(*(own if op == "first" else own[::-1])), F.struct(*order)
+                fold = F.min_by if op == "first" else F.max_by
+                at = F.when(one.isNotNull(), place)
+                folds[n] = (one, lambda c, w, fold=fold, at=at: fold(c, at).over(w) if w is not None else fold(c, at), (lambda a, b: F.coalesce(a, b)) if op == "first" else (lambda a, b: F.coalesce(b, a)))
+            else:
+                one = own[0] if len(own) == 1 else sum((F.coalesce(c, F.lit(0.0)) for c in own[1:]), F.coalesce(own[0], F.lit(0.0)))
+                folds[n] = (one, lambda c, w: F.coalesce(F.sum(c).over(w) if w is not None else F.sum(c), F.lit(0.0)), lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        starts = {n: (lambda v, op=op: N(v) if op not in ("first", "last", "concat") else v.col if op != "concat" else S(v))(root.state.get(n) or lit(None)) for n, (op, _) in fed.items()}
+        totals = df.groupBy(*part).agg(*(f(c, None).alias(f"_all_{n}") for n, (c, f, _) in folds.items()))
+        df = df.withColumns({f"_run_{n}": f(c, running) for n, (c, f, _) in folds.items()})
+        if not by:
+            # A row a range: what the ranges before it come to.
+            before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+            sums = {}
+            for n, (op, _) in fed.items():
+                c = F.col(f"_all_{n}")
+                sums[f"_past_{n}"] = {"min": F.min(c), "max": F.max(c), "first": F.first(c, True), "last": F.last(c, True)}.get(op, F.sum(c)).over(before)
+            past = totals.withColumns(sums).select("_range", *sums)
+            df = df.join(F.broadcast(past), "_range")
+            whole = {n: {"min": F.min, "max": F.max}.get(op) for n, (op, _) in fed.items()}
+            ends = [(F.min_by(f"_all_{n}", F.when(F.col(f"_all_{n}").isNotNull(), F.col("_range"))) if op == "first" else F.max_by(f"_all_{n}", F.when(F.col(f"_all_{n}").isNotNull(), F.col("_range"))) if op == "last" else (whole[n] or F.sum)(f"_all_{n}")).alias(f"_all_{n}") for n, (op, _) in fed.items()]
+            totals = totals.agg(*ends)
+        state = totals.select(*by, *(folds[n][2](starts[n], F.col(f"_all_{n}")).alias(n) for n in fed))
+        for n, (op, xs) in fed.items():
+            combine = folds[n][2]
+            after = F.col(f"`_run_{n}`") if by else combine(F.col(f"`_past_{n}`"), F.col(f"`_run_{n}`"))
+            df = df.withColumn(f"_state_{n}", combine(starts[n], after))
+            root.state[n] = Value(F.col(f"`_state_{n}`"), xs[0].type)
+        return df, state
+
     def accumulated(self, e: Call, scope: _Scope, at: list[str]) -> tuple[str, Value, Value]:
         """An accumulator's name, its value after each row, and its value in the end."""
         name = e.args[0].value if isinstance(e.args[0], Literal) else e.args[0].path
         start = scope.state.get(name) or lit(None)
-        op = "last" if e.verb == "set" else str(constant(self.value(e.args[1], scope), "sum")) if len(e.args) > 2 else "sum"
+        op = self.operation(e, scope)
         x = self.value(e.args[-1], scope)
+        if not at and self.stream is not None:
+            return name, start, start  # after the record, see streamed()
         if not at:
             after = x if op == "last" else call("accumulate", start, op, x)
             return name, after, after
@@ -238,26 +376,18 @@ class _Compiler:
         root.state = {n: lit(a.start) for n, a in plan.accumulators.items()}
         out: dict[str, DataFrame] = {}
         arrays: set[str] = set()
-        taken: Column | None = None
+        state = None
+        if self.stream is not None:
+            if len({seg.number for seg in plan.segments}) > 1:
+                raise PlanError("CONFIG_ERROR: records in a stream are read in one pass")
+            df, state = self.streamed(df, root, list(self.applying(root)))
         last_pass: object = object()
-        for seg in plan.ordered():
-            if seg.number != last_pass:
+        for seg, applies in self.applying(root):
+            if seg.number != last_pass and self.stream is None:
                 last_pass = seg.number
                 for n, a in plan.accumulators.items():
                     if not a.persist:
                         root.state[n] = lit(a.start)
-            applies = F.lit(True)
-            if seg.branch:
-                if seg.branch == "if":
-                    taken = F.lit(False)
-                elif taken is None:
-                    raise PlanError(f"T012: '{seg.name}' goes on a chain that nothing begins")
-                own = self.test(seg.condition, root) if seg.condition is not None else F.lit(True)
-                applies, taken = own & ~taken, taken | own
-            else:
-                taken = None
-                if seg.condition is not None:
-                    applies = self.test(seg.condition, root)
             name, made, finals, names, is_array = self.segment(seg, root, df, applies)
             if not name.startswith("_"):
                 out[name] = out[name].unionByName(made, allowMissingColumns=True) if name in out else made
@@ -271,10 +401,25 @@ class _Compiler:
                     old = root.state[a] if a in root.state else null()
                     cols, t = unify(Value(F.col(n), kind), old)
                     root.state[a] = Value(F.coalesce(*cols), t)
-        errors = None
-        for e in self.errors:
-            errors = e if errors is None else errors.unionByName(e)
-        return Result(out, errors, arrays)
+        return Result(out, _together(self.errors), arrays, _together(self.warnings), state)
+
+    def applying(self, root: _Scope):
+        """Segments in order, and where each applies."""
+        taken: Column | None = None
+        for seg in self.plan.ordered():
+            applies = F.lit(True)
+            if seg.branch:
+                if seg.branch == "if":
+                    taken = F.lit(False)
+                elif taken is None:
+                    raise PlanError(f"T012: '{seg.name}' goes on a chain that nothing begins")
+                own = self.test(seg.condition, root) if seg.condition is not None else F.lit(True)
+                applies, taken = own & ~taken, taken | own
+            else:
+                taken = None
+                if seg.condition is not None:
+                    applies = self.test(seg.condition, root)
+            yield seg, applies
 
     def segment(self, seg: Segment, root: _Scope, df: DataFrame, applies: Column):
         key = self.key
@@ -309,35 +454,57 @@ class _Compiler:
             said = rows.select(key, *at, F.posexplode(F.split(S(self.value(seg.literal, scope)), "\n")).alias(f"_at{len(at)}", "line"))
             return seg.name, said, None, [], True
         targets: dict[str, Value] = {}
+        notes_of: dict[str, dict] = {}
         finals: list[tuple[str, Value]] = []
         problems: list[Column] = []
+        warnings: list[Column] = []
         for m in seg.mappings:
-            stateful = isinstance(m.value, Call) and m.value.verb in ("accumulate", "set")
-            if stateful:
-                name, v, final = self.accumulated(m.value, scope, at)
-                finals.append((name, final))
-                if at:
-                    rows, v = rows.withColumn(f"_run{len(finals)}", v.col), Value(F.col(f"_run{len(finals)}"), v.type)
-                scope.state[name] = v
-            else:
-                v = self.value(m.value, scope)
-            v = self.directed(m, v)
+            absent, over = False, None
+            try:
+                if _stateful(m.value):
+                    name, v, final = self.accumulated(m.value, scope, at)
+                    if at or self.stream is None:
+                        finals.append((name, final))
+                    if at:
+                        rows, v = rows.withColumn(f"_run{len(finals)}", v.col), Value(F.col(f"_run{len(finals)}"), v.type)
+                    scope.state[name] = v
+                    if isinstance(v.type, T.DoubleType):
+                        over = F.coalesce((F.abs(v.col) > MOST) | F.isnan(v.col), F.lit(False))
+                        v = Value(F.when(~over, v.col), v.type)
+                else:
+                    v = self.value(m.value, scope)
+                    absent = isinstance(m.value, Copy) and v.is_null and not m.value.path.startswith(("$", "@$"))
+                v = self.directed(m, v)
+            except (PlanError, UnknownVerb) as e:
+                code = found_[0] if (found_ := re.search(r"T\d{3}", str(e))) else ""
+                if not self.on_error or code in GUARDS:
+                    raise
+                if self.on_error != "skip":
+                    (warnings if self.on_error == "warn" else problems).append(_problem(F.lit(True), m.target, code, str(e)))
+                continue
+            if over is not None and self.on_error != "skip":
+                (warnings if self.on_error == "warn" else problems).append(_problem(over, m.target, "T008", "the accumulator overflows"))
             # Conditions of mappings in loops are about the document, not the item.
             for c, keep in ((m.when, True), (m.unless, False)):
                 if c is not None:
                     test = self.test(c, root if at else scope)
                     v = Value(F.when(test if keep else ~test, v.col), v.type)
-            problems += self.violations(m, v)
+            v, errors, notes = self.checked(m, v, absent)
+            problems += errors
+            warnings += notes
             scope.outputs[m.target] = v
             if not m.target.startswith("_"):
                 targets[m.target] = v
+                if "currencyCode" in m.directives:
+                    notes_of[m.target] = {"currency_code": m.directives["currencyCode"].upper()}
         values = [scope.outputs["_"]] if not targets and "_" in scope.outputs and not finals else None
-        cols = [v.col.alias(n) for n, v in targets.items()] if values is None else [values[0].col.alias("value")]
+        cols = [v.col.alias(n, metadata=notes_of[n]) if n in notes_of else v.col.alias(n) for n, v in targets.items()] if values is None else [values[0].col.alias("value")]
         place = [F.lit(seg.index or 0).alias("_at0")] if seg.array and not at else []
         made = rows.select(key, *at, *place, *cols)
-        if problems:
-            found = rows.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*problems))).alias("p"))
-            self.errors.append(found.select("key", F.lit(seg.name).alias("segment"), "p.*"))
+        for said, kept in ((problems, self.errors), (warnings, self.warnings)):
+            if said:
+                found = rows.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*said))).alias("p"))
+                kept.append(found.select("key", F.lit(seg.name).alias("segment"), "p.*"))
         last = None
         if finals:
             if at:
@@ -347,9 +514,23 @@ class _Compiler:
         return seg.name, made, last, [n for n, _ in finals], bool(at) or seg.array
 
 
-def run_records(plan: Transform, df: DataFrame, key: str, line: str) -> Result:
+def _stateful(e: Expression) -> bool:
+    return isinstance(e, Call) and e.verb in ("accumulate", "set") and len(e.args) > 1
+
+
+def _together(found: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for df in found:
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def run_records(plan: Transform, df: DataFrame, key: str, line: str, stream: Stream | None = None) -> Result:
     """Runs a plan over raw records, a line each, each segment over the records of its type.
 
+    With a ``stream``, accumulators go on from record to record in its order, whatever
+    segment feeds or reads them.
+
     The plan's ``source.discriminator`` tells the type: ``:pos 0 :len 2``, ``:field 0``,
     or a path into JSON.  Segments see the record as ``_raw`` and ``_line``, and what
     stands between its commas as ``0``, ``1`` and so on.  Records of no segment's type
@@ -368,7 +549,7 @@ def run_records(plan: Transform, df: DataFrame, key: str, line: str) -> Result:
     used = [int(n) for n in re.findall(r"Copy\(path='@?(\d+)'\)", repr(plan.segments))]
     cells = {str(i): F.get(F.split(line, ","), F.lit(i)) for i in range(max(used, default=-1) + 1)}
     records = df.withColumns({RECORD: kind, "_raw": F.col(line), "_line": F.col(line), **cells})
-    out = run(plan, records, key)
+    out = run(plan, records, key, stream)
     known = [s.record for s in plan.segments if s.record is not None]
     lost = records.where(~F.col(RECORD).isin(*known) if known else F.lit(True)).select(F.col(key).alias("key"), F.lit("").alias("segment"), F.lit("").alias("path"), F.lit("UNKNOWN_RECORD_TYPE").alias("code"), F.concat(F.lit("no segment is for records of type "), RECORD).alias("message"))
     out.errors = lost if out.errors is None else out.errors.unionByName(lost)
@@ -389,8 +570,11 @@ def _typed(word: str, v: Value) -> object:
     return word
 
 
-def run(plan: Transform, df: DataFrame, key: str) -> Result:
-    """Runs a plan over documents, the rows of ``df``, told apart by ``key``."""
-    return _Compiler(plan, df, key).run()
+def run(plan: Transform, df: DataFrame, key: str, stream: Stream | None = None) -> Result:
+    """Runs a plan over documents, the rows of ``df``, told apart by ``key``.
+
+    Accumulators begin anew with each document, unless the documents are a ``stream``.
+    """
+    return _Compiler(plan, df, key, stream).run()
 
 

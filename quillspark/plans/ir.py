@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from quillspark.functions.logic import Table
@@ -105,6 +105,26 @@ class Transform:
     meta: dict[str, str] = field(default_factory=dict)
     confidential: str = ""  # "", "redact" or "mask"
     strict: bool = False
+    imports: list[str] = field(default_factory=list)
+
+    def with_imports(self, read: Callable[[str], str | None], parse: Callable[[str], "Transform"]) -> "Transform":
+        """The plan with what its imports name, each once: tables, constants, accumulators and named segments.
+
+        What the plan has itself wins; an import for which ``read`` gives None is passed over.
+        """
+        out = Transform(list(self.segments), dict(self.constants), dict(self.tables), dict(self.accumulators), dict(self.meta), self.confidential, self.strict)
+        names = {s.name for s in out.segments}
+        for path in dict.fromkeys(self.imports):
+            if (found := read(path)) is None:
+                continue
+            other = parse(found)
+            out.tables = other.tables | out.tables
+            out.constants = other.constants | out.constants
+            out.accumulators = other.accumulators | out.accumulators
+            more = [s for s in other.segments if s.name and s.name not in names]
+            out.segments += more
+            names |= {s.name for s in more}
+        return out
 
     def ordered(self) -> list[Segment]:
         """Segments by pass: numbered passes going up, then those without one."""

@@ -270,9 +270,11 @@ def resolve_imports(doc: Document, read: Callable[[str], str], most: int = 100,
 
     def load(name: str, above: tuple[str, ...]) -> None:
         if name in above:
-            raise SchemaError(f"I003: imports go in a circle: {' > '.join((*above, name))}")
-        if len(above) > deepest or len(seen) > most:
-            raise SchemaError("I004: too many imports in one another")
+            raise SchemaError(f"I011: imports go in a circle: {' > '.join((*above, name))}")
+        if len(above) > deepest:
+            raise SchemaError(f"I012: more than {deepest} imports in one another")
+        if len(seen) >= most and name not in seen:
+            raise SchemaError(f"I013: more than {most} imports")
         if name not in seen:
             seen[name] = parse_schema(read(name))
             for inner in seen[name].imports:

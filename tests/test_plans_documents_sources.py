@@ -11,8 +11,9 @@ from quillspark.operators import documents as D
 from quillspark.operators import relational as R
 from quillspark.operators import validation as V
 from quillspark.operators.formats import FORMATS, passes
-from quillspark.plans import parse_transform, run, run_records
+from quillspark.plans import Stream, files_below, parse_transform, run, run_records
 from quillspark.plans.compiler import PlanError
+from quillspark.plans.imports import ImportProblem
 from quillspark.plans.expr import ExpressionError, parse_expr
 from quillspark.plans.text import TransformError
 from quillspark.sources import readers, writers
@@ -74,6 +75,91 @@ def test_literal_blocks_strict_types_and_records(spark, fleet):
     assert [(r.key, r.code) for r in found.errors.collect()] == [(3, "UNKNOWN_RECORD_TYPE")]
 
 
+def test_error_policies(spark):
+    df = table(spark, [(1, "5", "a"), (2, "500", "b"), (3, None, "c")], "id int, v string, s string")
+    said = lambda plan, what: sorted((r.key, r.path, r.code) for r in getattr(run(parse_transform(plan), df, "id"), what).collect()) if getattr(run(parse_transform(plan), df, "id"), what) is not None else []
+    head = lambda **more: "{$target}\n" + "".join(f'{k} = "{v}"\n' for k, v in more.items())
+    body = "{out}\nv = @v :range 1..100\ns = @s\n"
+    for policy, errors, warnings, kept in (("fail", [(2, "v", "T013")], [], None), ("warn", [], [(2, "v", "T013")], "500"), ("skip", [], [], None)):
+        plan = head(onValidation=policy) + body
+        assert (said(plan, "errors"), said(plan, "warnings")) == (errors, warnings)
+        assert rows_of(run(parse_transform(plan), df, "id").segments["out"].select("id", "v"), "id") == [(1, "5"), (2, kept), (3, None)]
+    absent = "{out}\nx = @nowhere\ny = @v\n"
+    every = [(i, "x", "T005") for i in (1, 2, 3)]
+    assert said(head(onMissing="fail") + absent, "errors") == every and said(head(onMissing="warn") + absent, "warnings") == every
+    assert said(head(onMissing="skip") + absent, "errors") == [] == said(absent, "errors")
+    assert said("{out}\nx = @nowhere :required\ny = @v :required\n", "errors") == sorted([*every, (3, "y", "SOURCE_MISSING")])
+    assert said(head(onMissing="fail") + '{out}\nx = @nowhere :default "d"\n', "errors") == []
+    wrong = "{out}\nx = %nosuchverb @v\ny = @s\n"
+    assert said(head(onError="fail") + wrong, "errors") == said(head(onError="warn") + wrong, "warnings") == [(i, "x", "T001") for i in (1, 2, 3)]
+    assert said(head(onError="skip") + wrong, "errors") == []
+    assert run(parse_transform(head(onError="skip") + wrong), df, "id").segments["out"].columns == ["id", "y"]
+    with pytest.raises(Exception, match="T001"):
+        run(parse_transform(wrong), df, "id")
+    with pytest.raises(PlanError, match="CONFIG_ERROR"):
+        run(parse_transform(head(onError="perhaps") + body), df, "id")
+
+
+def test_type_directives(spark):
+    df = table(spark, [(1, "aGk=", '{"a": [1, 2]}', "12.5", "x.y"), (2, "no base64!", "no json {", None, None)], "id int, b string, j string, c string, r string")
+    plan = HEAD + "{out}\nb = @b :binary\nj = @j :raw\nc = @c :type currency :currencyCode usd\nr = @r :reference\nt = @c :time\nd = @c :duration\na = @r :array\n"
+    out = run(parse_transform(plan), df, "id").segments["out"]
+    got = out.selectExpr("*", "try_variant_get(j, '$.a[1]', 'int') AS two", "try_variant_get(j, '$', 'string') AS whole").orderBy("id").collect()
+    assert [bytes(r.b) for r in got] == [b"hi", b"no base64!"] and got[0].two == 2 and got[1].whole == "no json {"
+    assert str(got[0].c) == "12.50" and out.schema["c"].metadata == {"currency_code": "USD"}
+    assert (got[0].r, got[0].t, got[0].d, got[0].a) == ("x.y", "12.5", "12.5", ["x.y"])
+    with pytest.raises(TransformError, match="nonsense"):
+        parse_transform("{out}\nx = @b :nonsense 3\n")
+    with pytest.raises(PlanError, match="no type"):
+        run(parse_transform("{out}\nx = @b :type nonsense\n"), df, "id")
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_accumulators_over_a_stream(spark, by):
+    lines = [(i, i % 2, f"D,{i},{'' if i % 5 == 0 else i * 10}" if i % 4 else f"T,{i}") for i in range(1, 60)]
+    df = table(spark, lines, "n int, g int, l string").repartition(7)
+    plan = '{$}\nsource.discriminator = ":field 0"\n{$accumulator}\ntotal = ##100\nn = ##0\nleast = ~\nlast = ~\nfirst = ~\n{rows[]}\n_type = "D"\nid = @1\nsum = %accumulate total @2\n_n = %accumulate n "count" @1\n_m = %accumulate least "min" @2\n_l = %set last @1\n_f = %accumulate first "first" @1\n{trailer[]}\n_type = "T"\nsum = "@$accumulator.total"\ncount = "@$accumulator.n"\nleast = "@$accumulator.least"\nlast = "@$accumulator.last"\nfirst = "@$accumulator.first"\n'
+    found = run_records(parse_transform(plan), df, "n", "l", Stream(("n",), by))
+    state, want_rows, want_trailers = {}, [], []
+    for n, g, line in lines:
+        s = state.setdefault(g if by else 0, {"total": 100.0, "n": 0.0, "least": None, "last": None, "first": None})
+        cells = line.split(",")
+        if cells[0] == "D":
+            x = float(cells[2] or 0)  # an empty text is the number 0
+            s["total"] += x
+            s["n"] += 1
+            s["least"] = x if s["least"] is None else min(x, s["least"])
+            s["last"], s["first"] = cells[1], s["first"] or cells[1]
+            want_rows.append((n, s["total"]))
+        else:
+            want_trailers.append((n, s["total"], s["n"], s["least"], s["last"], s["first"]))
+    assert rows_of(found.segments["rows"].select("n", "sum"), "n") == want_rows
+    assert rows_of(found.segments["trailer"].select("n", "sum", "count", "least", "last", "first"), "n") == want_trailers
+    assert sorted(r.total for r in found.state.collect()) == sorted(s["total"] for s in state.values())
+
+
+def test_accumulators_overflow(spark):
+    df = table(spark, [(1, 9e15), (2, 9e15)], "id int, v double")
+    plan = "{$accumulator}\nt = ##0\n{out}\nt = %accumulate t @v\n"
+    out = run(parse_transform(plan), df, "id", Stream(("id",)))
+    assert [(r.key, r.code) for r in out.errors.collect()] == [(2, "T008")] and rows_of(out.segments["out"], "id") == [(1, 9e15), (2, None)]
+
+
+def test_imports_of_transforms(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "more.txt").write_text('const.rate = ##2\nconst.own = ##9\n{$table.T[code, name]}\n"x", "ex"\n{extra}\nv = ##1\n{out}\nv = ##0\n')
+    read = files_below(str(tmp_path), (".txt",))
+    plan = parse_transform('@import "sub/more.txt" as m\n@import sub/more.txt\nconst.own = ##3\n{out}\na = @$const.rate\nb = @$const.own\nc = %lookup T.name @s\n', read)
+    found = run(plan, table(spark, [(1, "x")], "id int, s string"), "id").segments
+    assert rows_of(found["out"], "id") == [(1, 2, 3, "ex")] and rows_of(found["extra"], "id") == [(1, 1)]
+    assert parse_transform("@import a.txt\n{out}\na = ##1\n", lambda p: None).segments[0].name == "out"
+    for path, code in (("", "I001"), ("http://x/a.txt", "I001"), ("a.bin", "I003"), ("../a.txt", "I004"), ("a.txt", "I006")):
+        with pytest.raises(ImportProblem, match=code):
+            read(path)
+    with pytest.raises(ImportProblem, match="I005"):
+        files_below(str(tmp_path), most_bytes=3)("sub/more.txt")
+
+
 def test_accumulators_in_passes(fleet):
     plan = HEAD + '{$accumulator}\nn = ##0\nn._persist = true\n{out}\nseen = "@$accumulator.n"\n{_count[]}\n_pass = ##1\n:loop vehicles :as v\n_ = %accumulate n "count" ##1\n'
     assert rows_of(run(parse_transform(plan), fleet, "id").segments["out"], "id") == [(1, 3.0), (2, 0.0)]
@@ -245,7 +331,7 @@ def test_schema_text(spark):
         parse_schema("{a}\nx = ## :(5..1)")
     files = {"a": "@import b\n{@t}\nx = ##\n", "b": "{@u}\ny = ?\n"}
     assert set(resolve_imports(parse_schema("@import a\n{z}\nf = @t\n"), files.__getitem__).types) == {"t", "u"}
-    with pytest.raises(SchemaError, match="I003"):
+    with pytest.raises(SchemaError, match="I011"):
         resolve_imports(parse_schema("@import a\n"), {"a": "@import b\n", "b": "@import a\n"}.__getitem__)
     assert api.path("a", 0, "b") == "a[0].b"
 
