@@ -38,7 +38,8 @@ class Scratch:
     """Tables that cut lineage, written as Parquet in the shared folder.
 
     A written table outlives any executor, so a later loss repeats only what
-    came after it.  :meth:`drop` removes tables that nothing will read again.
+    came after it.  :meth:`drop` removes tables that nothing will read again; the
+    rest goes when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -50,16 +51,22 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+        if self.n == 1:
+            root, fs = self._file_system(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         #: For :meth:`drop`.
         out._quill_path = path
         return out
 
+    def _file_system(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._quill_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._file_system(df._quill_path)
+            fs.delete(path, True)
 
 
 def slim_batches(spark: SparkSession, rows: int = 1024) -> None:
@@ -99,6 +106,16 @@ def make_room(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, st
     return (df.withColumnsRenamed(renamed) if renamed else df), renamed.get(text, text)
 
 
+_SALTS = 16
+
+
+def beside(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """A join whose keys may be very uneven on the left: its rows are dealt over salts by other columns, each salt has the right side."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(_SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def trained_in_one_task(rows: DataFrame, train: Callable[..., object], most_bytes: int):
     """What ``train`` makes of the columns of a bounded sample, in one task of an executor; None for no rows.
 

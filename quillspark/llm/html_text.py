@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import Scratch, batches, slim_batches, texts_of
+from quillspark.llm.common import Scratch, batches, beside, slim_batches, texts_of
 
 #: Elements by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -250,16 +250,6 @@ def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return pages.select(host_column(url).alias("host"), html).mapInArrow(run, _TOKENS).distinct()
 
 
-_SALTS = 16
-
-
-def beside(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """A join whose keys may be very uneven on the left: its rows are dealt over salts by other columns, each salt has the right side."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(_SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def candidate_classes(tokens: DataFrame, text_share: float = 0.5, tag_share: float = 0.05, least_pages: int = 3, least_size: int = 3) -> DataFrame:
     """From :func:`occurrences`: ``host, class, least, path, token`` of the members of frequent and large classes, ``least`` being the pages asked for."""
     counts = tokens.groupBy("host", "path", "token").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned(F.xxhash64("content", "n"), 33)).alias("print"))

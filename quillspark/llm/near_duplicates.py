@@ -39,11 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import setsketch as S
-from quillspark.llm.common import Scratch, WordHashes, batches, bytes_of, slim_batches
+from quillspark.llm.common import Scratch, WordHashes, batches, beside, bytes_of, slim_batches
 from quillspark.llm.components import component_roots
 
 _S_BLOCK, _A_BLOCK = 256, 1024
-_SALTS = 16
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -307,9 +306,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     found = scratch.keep(_sketches(df, key, text, words), "sketches")
 
     copies = found.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("set_key", "rep")
-    # One set may be that of a third of all rows: its rows are dealt over salts, each of which has the representative.
-    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    rows = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["set_key", "salt"], "left").select("id", "n", "regs", F.coalesce("rep", "id").alias("rep"))
+    # One set may be that of a third of all rows.
+    rows = beside(found, copies, ["set_key"], ["id"], "left").select("id", "n", "regs", F.coalesce("rep", "id").alias("rep"))
     rows = scratch.keep(rows.select("id", "n", "rep", F.when(F.expr("id = rep"), F.col("regs")).alias("regs")), "rows")
     scratch.drop(found)
     reps = rows.where("regs is not null").dropDuplicates(["id"]).select("id", "n", "regs") if _repeats(rows) else rows.where("regs is not null").select("id", "n", "regs")
@@ -330,7 +328,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("hub"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     hubs = scratch.keep(placed.join(mixed, "bucket").select("hub", "id", "comp").distinct(), "hubs")
     sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("comp != hub")).alias("rest"))
-    blocks = _blocks(hubs.join(sizes, "hub").join(reps, "id"))
+    # One hub may hold most members.
+    blocks = _blocks(beside(hubs, sizes, ["hub"], ["id"]).join(reps, "id"))
     left = scratch.keep(_with_partners(blocks, percent), "with-partners")
     scratch.drop(members, placed, hubs)
     needed = _texts(df, left.select("id").distinct(), key, text).dropDuplicates(["id"])

@@ -99,6 +99,23 @@ def test_sketches_estimate_and_merge():
     assert (setsketch.minima(long, np.array([0]))[0] == np.minimum(setsketch.minima(long[:70_000], np.array([0]))[0], setsketch.minima(long[70_000:], np.array([0]))[0])).all()
 
 
+@pytest.mark.parametrize("both,own", [(8, 1), (80, 10), (800, 100)])
+def test_pairs_at_the_threshold_are_found(both, own):
+    """Pairs of similarity 0.8 share a key and are not cut by the likelihood: none of so many is lost."""
+    rng, n = np.random.default_rng(both), 6000 if both < 800 else 1500
+    least, lost = setsketch.least_estimate(0.8), 0
+    for _ in range(n // 500):
+        sets = rng.integers(0, 1 << 63, (500, both + 2 * own), dtype=np.uint64)
+        flat = np.concatenate([np.concatenate([s[: both + own], s[:both], s[both + own :]]) for s in sets])
+        regs = setsketch.registers(flat, np.arange(1000) * (both + own))
+        a, b = regs[::2], regs[1::2]
+        shares = (setsketch.band_keys(a) == setsketch.band_keys(b)).any(1)
+        size = np.full(500, both + own)
+        likely = setsketch.likely_jaccard((a > b).sum(1), (a < b).sum(1), size, size)
+        lost += int((~shares | (likely < least)).sum())
+    assert lost == 0
+
+
 def windows(text: str | None, n: int = 10):
     w = decontaminate.words_of((text or "").encode())
     return [tuple(w[i : i + min(n, len(w))]) for i in range(max(1, len(w) - n + 1))] if w else []
