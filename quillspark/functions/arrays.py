@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.kernel import BOOL, DOUBLE, LONG, N, S, STRING, Value, array, boolean, constant, equal, field, integer, lit, ordinal, predicate, shown, text, truth, unify, whole
+from quillspark.functions.kernel import BOOL, DOUBLE, LONG, N, S, STRING, Value, array, boolean, constant, equal, field, integer, let, lit, ordinal, predicate, shown, text, truth, unify, whole
 from quillspark.functions.numeric import _LOW, mulberry_column, text_seed
 from quillspark.functions.registry import call, null, verb
 
@@ -57,9 +57,13 @@ def flatten(v):
 
 
 def _first_by(xs, key, kind):
-    """The first item of each key, in order."""
-    keys = F.transform(xs, key)
-    return F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    """The first item of each key, in order: places sorted by key, so that no item is compared with all others."""
+
+    def firsts(sorted_):
+        begins = F.filter(sorted_, lambda p, j: (j == 0) | ~p["k"].eqNullSafe(F.get(sorted_, j - 1)["k"]))
+        return F.array_sort(F.transform(begins, lambda p: p["i"]))
+
+    return let(xs, lambda items: F.transform(let(F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))), firsts), lambda i: F.get(items, i)))
 
 
 @verb("distinct", "unique", least=0)

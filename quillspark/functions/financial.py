@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.kernel import DOUBLE, N, Value, array, constant, double
+from quillspark.functions.kernel import DOUBLE, N, Value, array, constant, double, let
 from quillspark.functions.registry import null, verb
 
 ZERO = lambda: F.lit(0.0)
@@ -199,9 +199,14 @@ _stat("quantile", lambda xs, q, *_: F.when(N(q).between(0, 1), _interpolated(xs,
 
 
 def _mode(xs):
-    """The most frequent item, of several the one that comes first."""
-    counts = F.transform(F.array_distinct(xs), lambda x, i: F.struct(F.size(F.filter(xs, lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("x")))
-    return F.array_max(counts)["x"]
+    """The most frequent item, of several the one that comes first: by the lengths of runs of the sorted items."""
+
+    def longest(sorted_):
+        begins = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda j: (j == 0) | (F.get(sorted_, j)["x"] != F.get(sorted_, j - 1)["x"]))
+        runs = let(begins, lambda at: F.transform(at, lambda j, k: F.struct((F.coalesce(F.get(at, k + 1), F.size(sorted_)) - j).alias("n"), (-F.get(sorted_, j)["i"]).alias("i"), F.get(sorted_, j)["x"].alias("x"))))
+        return F.array_max(runs)["x"]
+
+    return F.when(F.size(xs) > 0, let(F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), longest))
 
 
 _stat("mode", _mode)
@@ -250,4 +255,4 @@ def moving_avg(arr, n):
     if size < 1:
         return null(T.ArrayType(DOUBLE))
     xs = F.transform(arr.col, lambda x: F.coalesce(N(Value(x, arr.item)), ZERO()))
-    return array(F.transform(xs, lambda _, i: mean(F.slice(xs, F.greatest(i - size + 2, F.lit(1)), F.least(i + 1, F.lit(size))))), DOUBLE)
+    return array(let(xs, lambda items: F.transform(items, lambda _, i: mean(F.slice(items, F.greatest(i - size + 2, F.lit(1)), F.least(i + 1, F.lit(size)))))), DOUBLE)

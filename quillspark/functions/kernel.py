@@ -29,6 +29,8 @@ class Value:
     col: Column
     type: T.DataType
     const: object = _NOT_CONSTANT
+    #: Names and values of an object that was made from them, so that its constants stay known.
+    parts: tuple = ()
 
     @property
     def is_const(self) -> bool:
@@ -106,7 +108,9 @@ def of(df: DataFrame, path: str) -> Value:
 def field(value: Value, path: str) -> Value:
     """A dotted field of an object; what isn't there is null."""
     for name in [p for p in path.split(".") if p]:
-        if isinstance(value.type, T.StructType) and name in value.type.fieldNames():
+        if name in dict(value.parts):
+            value = dict(value.parts)[name]
+        elif isinstance(value.type, T.StructType) and name in value.type.fieldNames():
             value = Value(value.col.getField(name), value.type[name].dataType)
         elif isinstance(value.type, T.MapType):
             value = Value(F.try_element_at(value.col, F.lit(name)), value.type.valueType)
@@ -115,6 +119,11 @@ def field(value: Value, path: str) -> Value:
     return value
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often a lambda within reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Rendering -----------------------------------------------------------------
 
 

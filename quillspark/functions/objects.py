@@ -22,7 +22,7 @@ def struct(pairs: list[tuple[str, Value]], present=None) -> Value:
     if not pairs:
         return Value(F.lit(None).cast(T.StructType([])), kind)
     made = F.struct(*(x.col.alias(n) for n, x in pairs))
-    return Value(made if present is None else F.when(present, made), kind)
+    return Value(made, kind, parts=tuple(pairs)) if present is None else Value(F.when(present, made), kind)
 
 
 def pairs_of(v: Value) -> list[tuple[str, Value]]:

@@ -55,14 +55,29 @@ def aggregates(df: DataFrame, path: str) -> dict[str, Column]:
         "varianceSample": F.when(n > 1, F.var_samp(x)),
         "std": pop,
         "stdSample": F.when(n > 1, F.stddev_samp(x)),
-        "median": F.median(x),
     }
 
 
+def beside(df: DataFrame, more: DataFrame, by: Names, how: str = "inner") -> DataFrame:
+    """The rows with the columns that ``more`` has for their group; null is a group, too."""
+    if not by:
+        return df.crossJoin(F.broadcast(more))  # one row
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    other = more.withColumnsRenamed(names)
+    same = None
+    for c, n in names.items():
+        test = F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{n}"))
+        same = test if same is None else same & test
+    return df.alias("_l").join(other.alias("_r"), same, how).drop(*names.values())
+
+
 def summary(df: DataFrame, by: Names, path: str, names: Names) -> DataFrame:
-    """Named aggregates of a field, by group (over the whole table without ``by``)."""
+    """Named aggregates of a field, by group (over the whole table without ``by``); ``median`` is one of them."""
     known = aggregates(df, path)
-    return df.groupBy(*by).agg(*(known[n].alias(n) for n in names))
+    out = df.groupBy(*by).agg(*(known[n].alias(n) for n in names if n != "median"), *([] if set(names) - {"median"} else [F.count(F.lit(1)).alias("_n")]))
+    if "median" in names:
+        out = beside(out, percentile(df, by, path, 0.5).withColumnRenamed("percentile", "median"), by, "left")
+    return out.select(*by, *names)
 
 
 def conditional(df: DataFrame, by: Names, path: str, op: str, than, of_path: str | None = None) -> DataFrame:
@@ -72,8 +87,19 @@ def conditional(df: DataFrame, by: Names, path: str, op: str, than, of_path: str
 
 
 def percentile(df: DataFrame, by: Names, path: str, share: float) -> DataFrame:
-    """The value at a share (0 to 1) of the sorted field, between neighbours in proportion."""
-    return df.groupBy(*by).agg(F.percentile(N(of(df, path)), F.lit(share)).alias("percentile"))
+    """The value at a share (0 to 1) of the sorted field, between neighbours in proportion.
+
+    Rows are placed by ranges (:func:`placed`), so that no group's values meet in one task;
+    what is aggregated then are the two neighbours.
+    """
+    rows = df.select(*by, N(of(df, path)).alias("_x"))
+    at = placed(rows.where("_x is not null"), by, [F.col("_x")], F.row_number())
+    sizes = rows.groupBy(*by).agg(F.count("_x").alias("_size"))
+    point = F.lit(float(share)) * (F.col("_size") - 1)
+    near = beside(at, sizes, by).withColumns({"_lo": F.floor(point) + 1, "_hi": F.ceil(point) + 1}).where("_place = _lo or _place = _hi")
+    found = near.groupBy(*by).agg(F.max(F.when(F.col("_place") == F.col("_lo"), F.col("_x"))).alias("_a"), F.max(F.when(F.col("_place") == F.col("_hi"), F.col("_x"))).alias("_b"), F.max(point - F.floor(point)).alias("_part"))
+    out = beside(sizes, found, by, "left") if by else sizes.crossJoin(found)
+    return out.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("percentile"))
 
 
 def mode(df: DataFrame, by: Names, path: str, order: Names) -> DataFrame:
@@ -217,12 +243,26 @@ def row_number(df: DataFrame, by: Names, order: Names, name: str = "_rowNum") ->
     return df.withColumn(name, F.row_number().over(along(by, order)).cast("bigint"))
 
 
+def placed(df: DataFrame, by: Names, order: Sequence[Column], place: Column, name: str = "_place") -> DataFrame:
+    """``place`` (a row number or a rank) within each group's order, without bringing a group into one task.
+
+    Rows are dealt by ranges of group and order, equal ones together, and placed within
+    their range; a row for each range and group says how many of the group come before.
+    The ranges are written down first, so that counts and rows speak of the same ones.
+    """
+    dealt = checkpointed(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    local = dealt.withColumn("_i", place.over(Window.partitionBy("_range", *by).orderBy(*order)))
+    sizes = dealt.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return beside(local, offsets, ["_range", *by]).withColumn(name, (F.col("_before") + F.col("_i")).cast("bigint")).drop("_range", "_i", "_before")
+
+
 def rank(df: DataFrame, by: Names, path: str, descending: bool = True, name: str = "_rank") -> DataFrame:
     """Competition ranks (1, 1, 3); nulls first going down, last going up."""
     v = of(df, path)
     key = v.col if v.is_number or v.is_temporal else order_key(v)
-    w = Window.partitionBy(*by).orderBy(key.desc_nulls_first() if descending else key.asc_nulls_last())
-    return df.withColumn(name, F.rank().over(w).cast("bigint"))
+    return placed(df, by, [key.desc_nulls_first() if descending else key.asc_nulls_last()], F.rank(), name)
 
 
 def shifted(df: DataFrame, by: Names, path: str, order: Names, n: int, name: str, fill=None) -> DataFrame:
@@ -256,7 +296,8 @@ def fill_missing(df: DataFrame, by: Names, path: str, order: Names, fill=None, s
     elif strategy == "backward":
         out = F.coalesce(F.first(x, True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(fill))
     elif strategy == "mean":
-        out = F.coalesce(x.cast("double"), F.avg(N(of(df, path))).over(Window.partitionBy(*by)), F.lit(0.0))
+        means = df.groupBy(*by).agg(F.avg(N(of(df, path))).alias("_mean"))
+        return beside(df, means, by).withColumn(name, F.coalesce(F.col(path).cast("double"), F.col("_mean"), F.lit(0.0))).drop("_mean")
     else:
         out = F.coalesce(x, F.lit(fill))
     return df.withColumn(name, out)

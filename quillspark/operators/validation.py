@@ -45,6 +45,8 @@ class Field:
     required_unless: Sequence[tuple[str, str, object]] = ()
     deprecated: bool = False
     computed: bool = False
+    unique: bool = False
+    override: bool = False
 
 
 @dataclass(frozen=True)
@@ -234,7 +236,7 @@ def _has(df: DataFrame, path: str) -> bool:
 
 
 def validate(df: DataFrame, key: str, schema: Schema) -> DataFrame:
-    """Violation rows (V001-V005, V008-V010, W001)."""
+    """Violation rows (V001-V005, V007 of unique fields, V008-V010, W001)."""
     tests: list[tuple[Column, Column]] = []
     for f in schema.fields:
         tests += field_violations(df, f)
@@ -251,7 +253,11 @@ def validate(df: DataFrame, key: str, schema: Schema) -> DataFrame:
         bad = (present < least) | (present > most if most is not None else F.lit(False))
         tests.append((bad, _violation(",".join(names), "V009", f"{least}..{'' if most is None else most}", present)))
     found = F.array_compact(F.array(*(F.when(bad, what) for bad, what in tests)))
-    return df.select(F.col(key).alias("key"), F.explode(found).alias("v")).select("key", "v.*")
+    out = df.select(F.col(key).alias("key"), F.explode(found).alias("v")).select("key", "v.*")
+    for f in schema.fields:
+        if f.unique and _has(df, f.path):
+            out = out.unionByName(unique(df, key, [f.path]))
+    return out
 
 
 def unique(df: DataFrame, key: str, paths: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -268,6 +274,20 @@ def unique(df: DataFrame, key: str, paths: Sequence[str], within: Sequence[str]
     return again.select("key", F.lit(",".join(paths)).alias("path"), F.lit("V007").alias("code"), F.lit("unique values").alias("expected"), F.concat_ws("|", *names[len(within) :]).alias("actual"))
 
 
+def array_unique(df: DataFrame, key: str, path: str, fields: Sequence[str] = ()) -> DataFrame:
+    """V007: items that an array holds before, by some of their fields or as a whole; items without such a value are passed over.
+
+    Items are rows here, so that a long array is no long comparison.
+    """
+    items = df.select(F.col(key).alias("key"), F.posexplode(of(df, path).col).alias("at", "item"))
+    named = [F.to_json(F.struct(F.col("item"))) if not isinstance(items.schema["item"].dataType, T.StringType) else F.col("item")] if not fields else [F.col(f"item.`{n}`").cast("string") for n in fields]
+    items = items.select("key", "at", *(c.alias(f"_p{i}") for i, c in enumerate(named)), F.col("item").isNotNull().alias("there")).where("there").dropna(subset=[f"_p{i}" for i in range(len(named))])
+    names = [f"_p{i}" for i in range(len(named))]
+    firsts = items.groupBy("key", *names).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = items.join(firsts, ["key", *names]).where("at != _first")
+    return again.select("key", F.concat(F.lit(f"{path}["), F.col("at").cast("string"), F.lit("]")).alias("path"), F.lit("V007").alias("code"), F.lit(f"unique {', '.join(fields) or 'items'}").alias("expected"), F.concat_ws("|", *names).alias("actual"))
+
+
 def array_size(df: DataFrame, key: str, path: str, least: int | None, most: int | None) -> DataFrame:
     """V006: rows whose array has too few or too many items."""
     n = F.size(F.col(path))
@@ -283,6 +303,25 @@ def references(df: DataFrame, key: str, path: str, other: DataFrame, other_key:
 
 
 def unknown_fields(df: DataFrame, schema: Schema) -> list[str]:
-    """V011: columns that the schema doesn't name; of a typed table they are known without reading it."""
+    """Columns that the schema doesn't name; of a typed table they are known without reading it."""
     named = {f.path.split(".")[0] for f in schema.fields}
     return [c for c in df.columns if c not in named]
+
+
+def unknown_values(df: DataFrame, key: str, schema: Schema) -> DataFrame:
+    """V011: rows with a value in a column, other than the key, that the schema doesn't name."""
+    found = [F.when(F.col(f"`{c}`").isNotNull(), _violation(c, "V011", "a known field", of(df, c).col)) for c in unknown_fields(df, schema) if c != key]
+    rows = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<path: string, code: string, expected: string, actual: string>>")
+    return df.select(F.col(key).alias("key"), F.explode(rows).alias("v")).select("key", "v.*")
+
+
+def unknown_paths(paths: DataFrame, schema: Schema, arrays: Sequence[str] = ()) -> DataFrame:
+    """V011: paths of a path table that the schema doesn't name; an item's place counts as ``[]``, and ``arrays`` are open below.
+
+    The schema's names are constants of the plan, so nothing is joined.
+    """
+    bare = F.regexp_replace("path", r"\[\d+\]", "[]")
+    known = bare.isin(*(f.path for f in schema.fields)) if schema.fields else F.lit(False)
+    for name in arrays:
+        known = known | (bare == name) | bare.startswith(f"{name}[]")
+    return paths.where(~known).select(F.col("doc_id").alias("key"), "path", F.lit("V011").alias("code"), F.lit("a known field").alias("expected"), F.col("value").cast("string").alias("actual"))

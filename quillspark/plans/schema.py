@@ -26,6 +26,7 @@ class Array:
     most: int | None = None
     unique: bool = False
     fields: dict[str, Field] = field(default_factory=dict)
+    columns: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -152,8 +153,8 @@ def read_field(path: str, text: str) -> Field:
         elif m := re.match(r":(if|unless)\s+(\w[\w.]*)\s*(>=|<=|!=|>|<|=)\s*(\S+)", t):
             value = m[4].strip("\"'")
             conditions[m[1]].append((m[2], m[3], {"true": True, "false": False}.get(value, _number(value))))
-        elif m := re.match(r":(computed|immutable|unique)\b", t):
-            out.update({"computed": True} if m[1] == "computed" else {})
+        elif m := re.match(r":(computed|immutable|unique|override)\b", t):
+            out.update({m[1]: True} if m[1] != "immutable" else {})
         else:
             break
         t = t[m.end() :].strip()
@@ -188,6 +189,7 @@ def parse_schema(text: str) -> Document:
                 if m := re.match(r"(.*?)\[\](?:\s*:\s*(.+))?$", prefix):
                     mode, prefix = "array", m[1]
                     array = doc.arrays.setdefault(prefix, Array())
+                    array.columns = [c.strip() for c in (m[2] or "").split(",") if c.strip()]
                     for c in (m[2] or "").split(","):
                         if c.strip():
                             array.fields[c.strip()] = Field(c.strip())
@@ -234,6 +236,62 @@ def _object_rule(doc: Document, section: str, line: str) -> None:
         doc.cardinalities.append((section, tuple(n.strip() for n in m[3].split(",")), int(m[1] or 0), int(m[2]) if m[2] else None))
 
 
+def _kind(f: Field) -> str:
+    return "reference" if f.type.startswith("@") else "enum" if f.enum else f.type
+
+
+def _conflicts(at: str, own: dict[str, Field], whole: Field, types: dict[str, dict[str, Field]]) -> list[tuple[str, str]]:
+    """What is wrong with fields that override a type's, or with types that are joined into one."""
+    names = [n.strip().lstrip("@") for n in whole.type.split("&")]
+    out: list[tuple[str, str]] = []
+    bound = lambda x: x if isinstance(x, (int, float)) else None
+    if whole.override:
+        base = {n: f for t in names for n, f in types.get(t, {}).items() if n}
+        for n, f in own.items():
+            if (old := base.get(n)) is None:
+                continue
+            if _kind(old) != _kind(f):
+                out.append((f"{at}.{n}", f"the type changes from {_kind(old)} to {_kind(f)}"))
+            if old.required and not f.required:
+                out.append((f"{at}.{n}", "a required field becomes optional"))
+            if old.least is not None or old.most is not None:
+                lower = bound(old.least) is not None and (bound(f.least) is None or f.least < old.least)
+                upper = bound(old.most) is not None and (bound(f.most) is None or f.most > old.most)
+                if (f.least is not None or f.most is not None) and (lower or upper):
+                    out.append((f"{at}.{n}", "bounds become wider"))
+    elif len(names) > 1:
+        seen: dict[str, Field] = {}
+        for t in names:
+            for n, f in types.get(t, {}).items():
+                if n and n in seen and _moved(seen[n], "") != _moved(f, ""):
+                    out.append((f"{at}.{n}", f"it differs between the types joined, {' and '.join(names)}"))
+                elif n:
+                    seen.setdefault(n, f)
+    return out
+
+
+def definition_problems(doc: Document) -> list[tuple[str, str]]:
+    """V017: path and message for what a schema says against itself: overrides, joined types, columns of tables."""
+    out: list[tuple[str, str]] = []
+    for name, fields in doc.types.items():
+        if "" in fields:
+            out += _conflicts(f"@{name}", {n: f for n, f in fields.items() if n}, fields[""], doc.types)
+    for path, whole in doc.fields.items():
+        if path == "" or path.endswith("."):
+            at = path.rstrip(".")
+            own = {p[len(at) + 1 :] if at else p: f for p, f in doc.fields.items() if p != path and (not at or p.startswith(f"{at}.")) and "." not in (p[len(at) + 1 :] if at else p)}
+            out += _conflicts(at, own, whole, doc.types)
+    for path, array in doc.arrays.items():
+        for column in array.columns:
+            dots, places = column.count("."), len(re.findall(r"\[\d+\]", column))
+            f = array.fields.get(re.sub(r"\[\d+\]$", "", column))
+            if dots > 1 or places > 1 or dots and places:
+                out.append((f"{path}[].{column}", "a column has one level"))
+            elif f is not None and f.type.startswith("@"):
+                out.append((f"{path}[].{column}", "a column is of a simple type"))
+    return out
+
+
 def write_schema(doc: Document) -> str:
     """A schema's text, that reads into the same."""
     kinds = {"integer": "##", "currency": "#$", "percent": "#%", "number": "#", "boolean": "?", "binary": "^", "null": "~"}
@@ -245,7 +303,7 @@ def write_schema(doc: Document) -> str:
         more = f" :({'' if f.least is None else f.least}..{'' if f.most is None else f.most})" if f.least is not None or f.most is not None else ""
         more += (f" :/{f.pattern}/" if f.pattern else "") + (f" :format {f.format}" if f.format else "")
         more += "".join(f" :{w} {a} {op} {str(v).lower() if isinstance(v, bool) else v}" for w, cs in (("if", f.required_if), ("unless", f.required_unless)) for a, op, v in cs)
-        return f"{name} = {'!' * f.required}{'-' * f.deprecated}{kind}{more}{' :computed' * f.computed}"
+        return f"{name} = {'!' * f.required}{'-' * f.deprecated}{kind}{more}{' :computed' * f.computed}{' :unique' * f.unique}{' :override' * f.override}"
 
     out = [f"@import {i}" for i in doc.imports]
     if doc.meta:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import documents as D
 from quillspark.operators import validation as V
+from quillspark.plans.schema import definition_problems, parse_schema
 from quillspark.queries.sources import table
+from quillspark.session import prepare
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -163,6 +165,58 @@ def v013_table(spark, d):
     return V.references(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", table(spark, d, "nation").where("n_regionkey < 2"), "n_nationkey").select("key")
 
 
+@entry("val_V007_items", "SELECT k AS key, 'orders[' || (p - 1) || ']' AS path FROM (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS again FROM orders) WHERE again > 1")
+def val_items(spark, d):
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+    return V.array_unique(rows, "k", "orders", ["o_orderstatus", "o_orderpriority"]).select("key", "path")
+
+
+@entry("val_V007_field", "SELECT s_suppkey AS key, 'V007' AS code FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) WHERE r > 1")
+def val_unique_field(spark, d):
+    rules = parse_schema("{supplier}\ns_suppkey = !##\ns_nationkey = ## :unique\n").rules("supplier")
+    return V.validate(table(spark, d, "supplier"), "s_suppkey", rules).select("key", "code")
+
+
+@entry("val_V011_unknown", "SELECT p_partkey AS key, 'p_brand' AS path, 'V011' AS code, p_brand AS actual FROM part UNION ALL SELECT p_partkey, 'extra', 'V011', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 25")
+def val_unknown(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.when(F.col("p_size") > 25, F.col("p_size")).alias("extra"))
+    return V.unknown_values(p, "p_partkey", V.Schema([V.Field("p_name")])).select("key", "path", "code", "actual")
+
+
+@entry("val_V011_paths", "SELECT p_partkey AS key, 'p_size' AS path FROM part")
+def val_unknown_paths(spark, d):
+    paths = D.from_table(table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.array("p_brand").alias("tags")), "p_partkey")
+    return V.unknown_paths(paths, V.Schema([V.Field("p_name")]), ["tags"]).select("key", "path")
+
+
+@entry("val_W001_deprecated", "SELECT o_orderkey AS key, 'W001' AS code, o_orderstatus AS actual FROM orders WHERE o_orderkey % 3 <> 0")
+def val_deprecated(spark, d):
+    o = table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")))
+    return V.validate(o, "o_orderkey", parse_schema("{o}\ns = -\n").rules("o")).select("key", "code", "actual")
+
+
+_BAD = """{@base}
+a = !## :(1..9)
+b = !
+{@other}
+a = !## :(1..8)
+{@wide}
+= @base :override
+a = !## :(0..9)
+b =
+{@both}
+= @base & @other
+{rows[] : x.y.z, ref}
+ref = @base
+"""
+
+
+@entry("val_V017_definition", "SELECT * FROM (VALUES ('@wide.a', 'bounds become wider'), ('@wide.b', 'a required field becomes optional'), ('@both.a', 'it differs between the types joined, base and other'), ('rows[].x.y.z', 'a column has one level'), ('rows[].ref', 'a column is of a simple type')) AS t(path, message)")
+def val_definition(spark, d):
+    """Of a schema's text, so no table is read."""
+    return prepare(spark).createDataFrame(definition_problems(parse_schema(_BAD)), "path string, message string")
+
+
 def queries():
     return {name: q for name, (q, _) in ENTRIES.items()}
 

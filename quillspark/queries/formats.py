@@ -118,6 +118,39 @@ def val_formats(spark, d):
     return rows.select("name", good.alias("good"), bad.alias("bad"))
 
 
+def _padded(n: int, head: str = "", fill: str = "0") -> str:
+    return f"concat('{head}', lpad(s, {n}, '{fill}'))"
+
+
+def _among(*values: str) -> str:
+    return f"element_at(array({', '.join(map(repr, values))}), i)"
+
+
+_STAMP = ("concat('2024-02-03T', h, ':00:00Z')", "concat('2024-02-03 ', h, ':00:00Z')")
+_DAY = ("concat('2024-01-', h)", "concat('24-01-', h)")
+_CARD = (_among("4111 1111 1111 1111", "5500005555555559", "4012888888881881"), _among("4111111111111112", "5500005555555558", "123"))
+_BANK = ("concat('DEUTDEFF', if(i = 1, '', lpad(i, 3, '0')))", "concat('DEUTDE', i)")
+#: By format: what passes and what doesn't, over a key as s, its last two digits as h (00 to 23) and its rest by three as i.
+_MADE = {
+    "email": ("concat('u', s, '@b.co')", "concat('u', s, 'b.co')"), "url": ("concat('https://x/', s)", "concat('ftp://x/', s)"), "uuid": (_padded(12, "123e4567-e89b-12d3-a456-"), _padded(12, "123e4567-e89b-02d3-a456-")),
+    "ipv4": ("concat('10.0.', h + 0, '.1')", "concat('10.0.', 256 + h, '.1')"), "ipv6": ("concat('fe80::', i)", "concat('1::', i, '::3')"), "date": _DAY, "date-iso": _DAY, "time": ("concat(h, ':59:59.5Z')", "concat(24 + h, ':00:00')"),
+    "timestamp": _STAMP, "datetime": _STAMP, "date-time": _STAMP, "hostname": ("concat('h', s, '.com')", "concat('-h', s, '.com')"), "regex": ("concat('a{', s, '}')", "concat('(a', s)"), "phone": (_padded(7, "+1 (555) "), "concat('x', s)"),
+    "zip": ("lpad(right(s, 5), 5, '0')", "concat('12', i)"), "naic": ("lpad(right(s, 5), 5, '0')", "concat('12', i)"), "fein": (_padded(7, "12-"), _padded(6, "123-")), "vin": (_padded(6, "1HGCM82633A"), _padded(6, "1HGCM82633O")),
+    "currency-code": (_among("EUR", "USD", "JPY"), "concat('XX', s)"), "country-alpha2": (_among("US", "DE", "FR"), _among("XX", "us", "USA")), "country-alpha3": (_among("USA", "DEU", "FRA"), _among("XXX", "usa", "US")), "state-us": (_among("CA", "NY", "TX"), _among("ZZ", "ca", "CAL")),
+    "creditcard": _CARD, "credit-card": _CARD, "uri": ("concat('urn:x:', s)", "concat('1urn', s)"), "iban": (_padded(18, "DE12"), _padded(18, "D212")), "bic": _BANK, "swift": _BANK, "routing": (_padded(9), _padded(8)), "cusip": (_padded(8, "A"), _padded(9, "A")),
+    "isin": (_padded(10, "US"), _padded(10, "U1")), "lei": (_padded(20, fill="A"), _padded(19, fill="A")), "npi": (_padded(10, fill="1"), _padded(9, fill="1")), "dea": (_padded(7, "AB"), _padded(8, "A")), "imei": (_padded(15), _padded(14)), "iccid": (_padded(19), _padded(18)),
+    "ssn": ("concat('123-45-00', h)", "concat('000-45-00', h)"),
+}
+
+
+@entry("val_formats_all", "SELECT p_partkey AS k, name, p_partkey % 2 = 0 AS ok FROM part, (VALUES " + ", ".join(f"('{n}')" for n in _MADE) + ") AS f(name)")
+def val_formats_all(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey AS k", "cast(p_partkey AS string) AS s", "lpad(cast(p_partkey % 23 + 1 AS string), 2, '0') AS h", "cast(p_partkey % 3 + 1 AS int) AS i")
+    texts = p.select("k", *(F.expr(f"if(k % 2 = 0, {good}, {bad})").alias(n) for n, (good, bad) in _MADE.items()))
+    told = F.array(*(F.struct(F.lit(n).alias("name"), passes(F.col(f"`{n}`"), n).alias("ok")) for n in _MADE))
+    return texts.select("k", F.explode(told).alias("x")).select("k", "x.name", "x.ok")
+
+
 def queries():
     return {name: q for name, (q, _) in ENTRIES.items()}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.plans import parse_transform, run
+from quillspark.plans import Stream, parse_transform, run, run_records
 from quillspark.queries.sources import table
 
 ENTRIES: dict[str, tuple] = {}
@@ -171,6 +171,118 @@ def op_documents(spark, d):
     return docs.select("c_custkey", F.col("head.name").alias("name"), F.coalesce(F.size("rows"), F.lit(0)).cast("bigint").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
 
 
+def _counts(*found):
+    """Errors and warnings by code and path."""
+    rows = None
+    for what, df in found:
+        if df is not None:
+            some = df.groupBy("code", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(what))
+            rows = some if rows is None else rows.unionByName(some)
+    return rows
+
+
+@entry(
+    "op_on_error",
+    """SELECT 'error' AS what, 'T005' AS code, 'gone' AS path, count(*) AS n FROM orders UNION ALL SELECT 'error', 'T005', 'must', count(*) FROM orders UNION ALL SELECT 'error', 'SOURCE_MISSING', 'status', count(*) FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT 'warning', 'T013', 'price', count(*) FROM orders WHERE o_totalprice > 200000 OR o_totalprice < 1000 UNION ALL SELECT 'warning', 'T001', 'odd', count(*) FROM orders""",
+)
+def op_on_error(spark, d):
+    o = table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")))
+    plan = '{$target}\nonError = "warn"\nonMissing = "fail"\nonValidation = "warn"\n{out}\ngone = @nowhere\nmust = @nowhere :required\nstatus = @s :required\nprice = @o_totalprice :range 1000..200000\nodd = %noverb @s\n'
+    found = run(parse_transform(plan), o, "o_orderkey")
+    return _counts(("error", found.errors), ("warning", found.warnings))
+
+
+@entry("op_on_validation_skip", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 200000 THEN o_totalprice END AS price, CASE WHEN regexp_matches(o_orderpriority, '^[1-3]') THEN o_orderpriority END AS prio FROM orders")
+def op_on_validation(spark, d):
+    return segment('{$target}\nonValidation = "skip"\n{out}\nprice = @o_totalprice :range 1000..200000\nprio = @o_orderpriority :validate "^[1-3]"\n', table(spark, d, "orders"), "o_orderkey", "out")
+
+
+@entry(
+    "op_directives",
+    """SELECT o_orderkey, hex(encode(o_orderstatus)) AS bin, o_custkey * 2 AS twice, CAST(round_even(o_totalprice, 2) AS DECIMAL(38, 2)) AS price, 'USD' AS code, CAST(o_custkey AS VARCHAR) AS ref, 'P' || o_custkey || 'D' AS dur, strftime(o_orderdate, '%H:%M:%S') AS at,
+    substr(o_orderpriority, 3, 4) AS part, 'b' || o_custkey AS cell FROM orders""",
+)
+def op_directives(spark, d):
+    key = F.col("o_custkey").cast("string")
+    o = table(spark, d, "orders").withColumns({"b": F.base64(F.col("o_orderstatus").cast("binary")), "j": F.concat(F.lit('{"a": ['), key, F.lit(", "), (F.col("o_custkey") * 2).cast("string"), F.lit("]}")), "p": F.concat(F.lit("P"), key, F.lit("D")), "t": F.date_format("o_orderdate", "HH:mm:ss"), "row": F.concat(F.lit("a,b"), key, F.lit(",c"))})
+    plan = HEAD + "{out}\nbin = @b :binary\nraw = @j :raw\nprice = @o_totalprice :type currency :currencyCode usd\nref = @o_custkey :reference\ndur = @p :duration\nat = @t :time\npart = @o_orderpriority :pos 2 :len 4\ncell = @row :field 1\n"
+    out = segment(plan, o, "o_orderkey", "out")
+    code = out.schema["price"].metadata["currency_code"]
+    return out.select("o_orderkey", F.hex("bin").alias("bin"), F.expr("try_variant_get(raw, '$.a[1]', 'bigint')").alias("twice"), "price", F.lit(code).alias("code"), "ref", "dur", "at", "part", "cell")
+
+
+_EVENTS_STREAM = '{$accumulator}\ntotal = ##100\nn = ##0\nmost = ~\nlast = ~\n{rows[]}\nrunning = %accumulate total @user_id\n_n = %accumulate n "count" @user_id\n_m = %accumulate most "max" @user_id\n_l = %set last @event_type :if @user_id != 7\n'
+
+
+@entry(
+    "op_record_accumulate",
+    """SELECT event_id, CAST(100 + sum(user_id) OVER w AS DOUBLE) AS running, CAST(count(*) OVER w AS DOUBLE) AS n, CAST(max(user_id) OVER w AS DOUBLE) AS most, last_value(CASE WHEN user_id <> 7 THEN event_type END IGNORE NULLS) OVER w AS last
+    FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def op_record_accumulate(spark, d):
+    plan = _EVENTS_STREAM + '{seen[]}\nrunning = "@$accumulator.total"\nn = "@$accumulator.n"\nmost = "@$accumulator.most"\nlast = "@$accumulator.last"\n'
+    return run(parse_transform(plan), table(spark, d, "events"), "event_id", Stream(("event_id",))).segments["seen"].select("event_id", "running", "n", "most", "last")
+
+
+@entry("op_record_accumulate_by", "SELECT event_id, CAST(100 + sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM events")
+def op_record_accumulate_by(spark, d):
+    plan = "{$accumulator}\ntotal = ##100\n{rows}\nrunning = %accumulate total @event_id\n"
+    return run(parse_transform(plan), table(spark, d, "events"), "event_id", Stream(("event_id",), ("user_id",))).segments["rows"]
+
+
+@entry("op_record_state", "SELECT user_id, CAST(100 + sum(event_id) AS DOUBLE) AS total FROM events GROUP BY 1")
+def op_record_state(spark, d):
+    plan = "{$accumulator}\ntotal = ##100\n{rows}\n_t = %accumulate total @event_id\nid = @event_id\n"
+    return run(parse_transform(plan), table(spark, d, "events"), "event_id", Stream(("event_id",), ("user_id",))).state
+
+
+@entry("op_records", "SELECT record, CAST(sum(id) AS BIGINT) AS ids, count(*) AS n FROM (SELECT 'head' AS record, n_nationkey AS id FROM nation UNION ALL SELECT 'rows', p_partkey FROM part) GROUP BY 1 UNION ALL SELECT 'UNKNOWN_RECORD_TYPE', NULL, count(*) FROM region")
+def op_records(spark, d):
+    line = lambda kind, name, key: table(spark, d, name).select(F.concat(F.lit(f"{name}-"), F.col(key).cast("string")).alias("k"), F.concat(F.lit(f"{kind},"), F.col(key).cast("string")).alias("line"))
+    lines = line("H", "nation", "n_nationkey").unionByName(line("D", "part", "p_partkey")).unionByName(line("X", "region", "r_regionkey"))
+    found = run_records(parse_transform('{$}\nsource.discriminator = ":field 0"\n{head}\n_type = "H"\nid = @1 :type integer\n{rows[]}\n_type = "D"\nid = @1 :type integer\n'), lines, "k", "line")
+    sums = [df.agg(F.sum("id").alias("ids"), F.count(F.lit(1)).alias("n")).withColumn("record", F.lit(n)) for n, df in found.segments.items()]
+    lost = found.errors.groupBy(F.col("code").alias("record")).agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(None).cast("bigint"))
+    return sums[0].unionByName(sums[1]).unionByName(lost)
+
+
+@entry("op_imports", "SELECT p_partkey, p_size * 3 AS v, CASE p_size % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS name FROM part")
+def op_imports(spark, d):
+    files = {"shared": 'const.times = ##2\nconst.more = ##7\n{$table.PARITY[code, name]}\n"0", "even"\n"1", "odd"\n{extra}\nx = ##1\n'}
+    plan = parse_transform(HEAD + "@import shared as s\n@import missing\nconst.times = ##3\n{out}\nv = %multiply @p_size @$const.times\nname = %lookup PARITY.name @parity\n", files.get)
+    return run(plan, table(spark, d, "part").withColumn("parity", F.col("p_size") % 2), "p_partkey").segments["out"].withColumn("v", F.col("v").cast("bigint"))
+
+
+@entry("op_literal_block", "SELECT o_custkey AS c_custkey, unnest(['order ' || o_orderkey, 'status ' || o_orderstatus]) AS line FROM orders")
+def op_literal(spark, d):
+    plan = HEAD + '{text[]}\n:loop orders :as o\n:literal\n"""\norder ${@o.o_orderkey}\nstatus ${@o.o_orderstatus}\n"""\n'
+    return segment(plan, nested(spark, d), "c_custkey", "text").select("c_custkey", "line")
+
+
+@entry("op_indexed_segments", "SELECT n_nationkey, n_name || '|' || n_regionkey AS v FROM nation")
+def op_indexed(spark, d):
+    n = table(spark, d, "nation")
+    docs = run(parse_transform(HEAD + "{v[1]}\nx = %coerceString @n_regionkey\n{v[0]}\nx = @n_name\n"), n, "n_nationkey").documents(n, "n_nationkey")
+    return docs.select("n_nationkey", F.array_join("v.x", "|").alias("v"))
+
+
+@entry("op_value_rows", "SELECT o_custkey AS c_custkey, o_totalprice * 2 AS value FROM orders")
+def op_value_rows(spark, d):
+    return segment(HEAD + '{rows[]}\n_loop = "@orders"\n_ = %multiply @.o_totalprice ##2\n', nested(spark, d), "c_custkey", "rows").select("c_custkey", "value")
+
+
+@entry("op_strict_types", "SELECT p_partkey, CAST(p_size + 1 AS DOUBLE) AS v FROM part")
+def op_strict(spark, d):
+    return segment("{$}\nstrictTypes = true\n{out}\nv = %add @p_size ##1\n", table(spark, d, "part"), "p_partkey", "out").withColumn("v", F.col("v").cast("double"))
+
+
+@entry("op_independent_arrays", "SELECT n_nationkey, a.x AS x, b.y AS y FROM nation, (VALUES (1), (2)) AS a(x), (VALUES ('p'), ('q'), ('r')) AS b(y)")
+def op_independent(spark, d):
+    n = table(spark, d, "nation").withColumns({"xs": F.array(F.struct(F.lit(1).alias("x")), F.struct(F.lit(2).alias("x"))), "ys": F.array(*(F.struct(F.lit(c).alias("y")) for c in "pqr"))})
+    return segment(HEAD + '{rows[]}\n:loop xs :as a\n:loop ys :as b\nx = "@a.x"\ny = "@b.y"\n', n, "n_nationkey", "rows").select("n_nationkey", "x", "y")
+
+
 def queries():
     return {name: q for name, (q, _) in ENTRIES.items()}
 
