@@ -13,6 +13,7 @@ from quillspark.sources.readers import notation_chains as parse_documents  # noq
 from quillspark.sources.readers import notation_paths as parse  # noqa: F401
 from quillspark.sources.readers import read_texts
 from quillspark.sources.writers import csv_lines as to_csv  # noqa: F401
+from quillspark.sources.writers import dump  # noqa: F401
 from quillspark.sources.writers import fixed_lines as to_fixed_width  # noqa: F401
 from quillspark.sources.writers import json_lines as to_json  # noqa: F401
 from quillspark.sources.writers import notation_text as dumps  # noqa: F401
@@ -37,3 +38,8 @@ def path(*segments: str | int) -> str:
 def validate_document(df: DataFrame, key: str, schema: str, section: str = "") -> DataFrame:
     """Violation rows of a table whose rows are a schema's section, given the schema's text."""
     return validate(df, key, parse_schema(schema).rules(section))
+
+
+def validate_with_imports(df: DataFrame, key: str, schema: str, read, section: str = "") -> DataFrame:
+    """:func:`validate_document` for a schema that imports others; ``read`` gives the text that an import's path names."""
+    return validate(df, key, resolve_imports(parse_schema(schema), read).rules(section))

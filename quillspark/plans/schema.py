@@ -111,7 +111,7 @@ def _number(text: str) -> object:
 def read_field(path: str, text: str) -> Field:
     """A field's definition: modifiers, type, constraints and conditions."""
     t = text.strip()
-    mods = re.match(r"[!*~-]*(?=[#?@^(\"a-zA-Z:|]|$)", t)[0]
+    mods = re.match(r"[!*~-]*(?=[\s#?@^(\"a-zA-Z:|]|$)", t)[0]
     t = t[len(mods) :].strip()
     out: dict[str, object] = {"required": "!" in mods, "deprecated": "-" in mods}
     kinds: list[str] = []

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import documents as D
 from quillspark.operators.formats import passes
+from quillspark.plans import parse_transform
 from quillspark.queries.sources import table
+from quillspark.session import fresh_folder, prepare
 from quillspark.sources import readers as R
 from quillspark.sources import writers as W
+from quillspark.streaming.transforms import segments, windowed_totals
 
 ENTRIES: dict[str, tuple] = {}
 
@@ -151,6 +154,79 @@ def val_formats_all(spark, d):
     return texts.select("k", F.explode(told).alias("x")).select("k", "x.name", "x.ok")
 
 
+@entry(
+    "io_xml_elements",
+    """SELECT p_partkey AS k, '<p:part xmlns:p="urn:p" xmlns="urn:x" id="' || p_partkey || '"><p_name>' || p_name || ' &amp; &lt;' || '</p_name><note><![CDATA[a<b & ' || p_brand || ']]></note><size type="integer">' || p_size || '</size>' ||
+    CASE WHEN p_size > 25 THEN '<tag>x</tag><tag>' || p_type || '</tag>' ELSE '' END || '</p:part>' AS line FROM part""",
+)
+def io_xml_elements(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("@id"), F.concat("p_name", F.lit(" & <")).alias("p_name"), F.concat(F.lit("a<b & "), "p_brand").alias("note"), F.col("p_size").alias("size"), F.when(F.col("p_size") > 25, F.array(F.lit("x"), "p_type")).alias("tag"))
+    return W.xml_elements(p, ["@id", "p_name", "note", "size", "tag"], "p:part", namespaces={"p": "urn:p", "": "urn:x"}, cdata=["note"], hint="type")
+
+
+@entry("io_xml_file", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def io_xml_file(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("@id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_partkey") % 4).alias("g"))
+    folder = _documents(spark, W.xml_lines(p, ["@id", "name", "size"], "part"), "<rows>", "", "</rows>")
+    back = R.read_xml(spark, folder, "part", "`@id` string, name string, size string")
+    return back.select(F.col("@id").alias("id"), "name", "size")
+
+
+def _documents(spark, lines, begin, between, end):
+    """Lines by group as one document a file; the folder's path."""
+    folder = fresh_folder(spark, "documents")
+    whole = lines.groupBy("g").agg(F.concat(F.lit(begin), F.array_join(F.collect_list("line"), between), F.lit(end)).alias("text"))
+    whole.write.partitionBy("g").text(folder)
+    return folder
+
+
+@entry("io_json_file", "SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part")
+def io_json_file(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_partkey") % 4).alias("g"))
+    folder = _documents(spark, W.json_lines(p, ["id", "name", "size"], pretty=True), "[", ",", "]")
+    return R.read_json(spark, folder, "id bigint, name string, size int").select("id", "name", "size")
+
+
+@entry("io_csv_file", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ',\"q\"' AS name, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS size FROM part")
+def io_csv_file(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(',"q"')).alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"))
+    folder = fresh_folder(spark, "csv")
+    W.write_csv(p, folder)
+    return R.read_csv(spark, folder)
+
+
+@entry("io_dump", "SELECT 'n_name' AS path, 'string' AS type, n_name AS value FROM nation UNION ALL SELECT 'n_regionkey', 'integer', CAST(n_regionkey AS VARCHAR) FROM nation")
+def io_dump(spark, d):
+    folder = fresh_folder(spark, "notation")
+    W.dump(D.from_table(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey"), folder)
+    return R.notation_paths(R.read_texts(spark, f"{folder}/*"), "doc_id", "text").select("path", "type", "value")
+
+
+def _streamed(spark, d, name, query):
+    """What a query gives over a table read as a stream to its end, through files."""
+    path = f"{d}/{name}.parquet"
+    # As a pattern, since a stream's path that is no pattern must be a folder, and the table may be a file.
+    stream = prepare(spark).readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/{name}.parque[t]")
+    folder = fresh_folder(spark, "stream")
+    job = query(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@entry("stream_plan", "SELECT event_id, upper(event_type) AS kind, value * 2 AS twice FROM events WHERE value > 50")
+def stream_plan(spark, d):
+    plan = parse_transform('{out}\n_if = "@value > 50"\nkind = %upper @event_type\ntwice = %multiply @value ##2\n')
+    return _streamed(spark, d, "events", lambda stream: segments(plan, stream, "event_id")["out"])
+
+
+@entry(
+    "stream_windows",
+    "SELECT * FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, CAST(sum(event_id) AS DOUBLE) AS sum, count(*) AS count, CAST(min(event_id) AS DOUBLE) AS min, CAST(max(event_id) AS DOUBLE) AS max FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+)
+def stream_windows(spark, d):
+    return _streamed(spark, d, "events", lambda stream: windowed_totals(stream, "ts", "1 day", "1 hour", ["event_type"], "event_id").drop("end"))
+
+
 def queries():
     return {name: q for name, (q, _) in ENTRIES.items()}
 

@@ -91,7 +91,7 @@ def parse_notation(text: str) -> list[list[Row]]:
                 prefix = absolute = head
             continue
         if columns and "=" not in re.sub(r'"(?:[^"\\]|\\.)*"', "", line):
-            cells = [c.strip() for c in re.findall(r'(?:"(?:[^"\\]|\\.)*"|[^,"])+|(?<=,)(?=,)', line)]
+            cells = [c.strip() for c in re.findall(r'(?:^|,)((?:"(?:[^"\\]|\\.)*"|[^,"])*)', line)]  # an empty cell is no assignment
             for c, cell in zip(columns, cells):
                 if cell:
                     path = _joined(f"{table}[{n}]", c)

@@ -29,15 +29,15 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.write.options(header="true", sep=delimiter, quote='"', escape='"', emptyValue="").csv(path)
 
 
-def json_lines(df: DataFrame, columns: Sequence[str] | None = None, nulls: bool = True, name: str = "line") -> DataFrame:
-    """A JSON object for each row; without ``nulls`` null fields are left out. NaN and infinities are null."""
+def json_lines(df: DataFrame, columns: Sequence[str] | None = None, nulls: bool = True, name: str = "line", pretty: bool = False) -> DataFrame:
+    """A JSON object for each row, ``pretty`` over several lines; without ``nulls`` null fields are left out. NaN and infinities are null."""
     names = list(columns or df.columns)
 
     def finite(n: str):
         v = of(df, n)
         return F.when(~F.isnan(v.col) & (F.abs(v.col) != float("inf")), v.col) if isinstance(v.type, (T.DoubleType, T.FloatType)) else v.col
 
-    made = F.to_json(F.struct(*(finite(n).alias(n) for n in names)), {"ignoreNullFields": str(not nulls).lower()})
+    made = F.to_json(F.struct(*(finite(n).alias(n) for n in names)), {"ignoreNullFields": str(not nulls).lower(), "pretty": str(pretty).lower()})
     return df.select(*[c for c in df.columns if c not in names], made.alias(name))
 
 
@@ -48,6 +48,51 @@ def xml_lines(df: DataFrame, columns: Sequence[str] | None = None, row_tag: str
     return df.select(*[c for c in df.columns if c not in names], made.alias(name))
 
 
+def _escaped(s, quote: bool = False):
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if quote else ())):
+        s = F.replace(s, F.lit(plain), F.lit(shown))
+    return s
+
+
+def _kind(v: Value) -> str:
+    kinds = ((T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "currency"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"))
+    return next((name for kind, name in kinds if isinstance(v.type, kind)), "")
+
+
+def _element(v: Value, tag: str, path: str, cdata: Sequence[str], hint: str, attributes: str = ""):
+    """A value as an element; null is none, an array one for each item, an object's ``@x`` are attributes."""
+    if v.is_array:
+        return F.coalesce(F.array_join(F.transform(v.col, lambda x: _element(Value(x, v.item), tag, path, cdata, hint)), ""), F.lit(""))
+    head, body = F.lit(f"<{tag}{attributes}"), None
+    if isinstance(v.type, T.StructType):
+        parts = [(n, field(v, n)) for n in v.type.fieldNames()]
+        for n, x in parts:
+            if n.startswith("@"):
+                head = F.concat(head, F.coalesce(F.concat(F.lit(f' {n[1:]}="'), _escaped(S(x), True), F.lit('"')), F.lit("")))
+        inner = [F.coalesce(_escaped(S(x)), F.lit("")) if n == "_text" else _element(x, n, f"{path}.{n}" if path else n, cdata, hint) for n, x in parts if not n.startswith("@")]
+        body = F.concat(F.lit(""), *inner)
+    else:
+        kind = _kind(v)
+        head = F.lit(f"<{tag}{attributes}" + (f' {hint}="{kind}"' if hint and kind else ""))
+        body = F.concat(F.lit("<![CDATA["), F.replace(S(v), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>")) if path in cdata else _escaped(S(v))
+    return F.when(v.col.isNull(), F.lit("")).otherwise(F.concat(head, F.lit(">"), body, F.lit(f"</{tag}>")))
+
+
+def xml_elements(df: DataFrame, columns: Sequence[str] | None = None, row_tag: str = "row", name: str = "line", namespaces: dict[str, str] | None = None, cdata: Sequence[str] = (), hint: str = "") -> DataFrame:
+    """An XML element for each row, as :func:`xml_lines`, with more say over its form.
+
+    ``namespaces`` are prefixes (or "") and their URIs, declared on the row's element;
+    tags and attributes take a prefix by their columns' names (``p:x``, ``@p:x``).
+    ``cdata`` names paths whose text is written as it is.  ``hint`` is the attribute that
+    tells the type of values other than text, none if empty.
+    """
+    names = list(columns or df.columns)
+    declared = "".join(f' xmlns{":" if p else ""}{p}="{uri}"' for p, uri in (namespaces or {}).items())
+    row = of(df.select(F.struct(*(F.col(f"`{n}`").alias(n) for n in names)).alias("_row")), "_row")
+    row = Value(F.struct(*(F.col(f"`{n}`").alias(n) for n in names)), row.type)
+    return df.select(*[c for c in df.columns if c not in names], _element(row, row_tag, "", cdata, hint, declared).alias(name))
+
+
 @dataclass(frozen=True)
 class Place:
     """Where a column stands in a record, and how it is filled up."""
@@ -115,3 +160,8 @@ def yaml_text(df: DataFrame, columns: Sequence[str] | None = None, name: str = "
     names = list(columns or df.columns)
     parts = [F.concat(F.lit(f"{n}:"), _yaml(of(df, n), 1), F.lit("\n")) for n in names]
     return df.select(*[c for c in df.columns if c not in names], F.concat(*parts).alias(name))
+
+
+def dump(paths: DataFrame, folder: str) -> None:
+    """Documents of a path table as files in the native notation, a folder ``doc_id=...`` for each."""
+    notation_text(paths).write.partitionBy("doc_id").text(folder)

@@ -357,3 +357,53 @@ def test_long_cycles_and_what_leads_into_them(spark):
     p = spark.createDataFrame([(d, 0, a, "reference", b, "") for d, a, b in ring + chain], "doc_id long, ord long, path string, type string, value string, mods string")
     got = {(r.doc_id, r.path) for r in D.cycles(p).collect()}
     assert got == {(d, a) for d, a, _ in ring} | {(3, "self")}
+
+
+def test_xml_form_and_dump(spark, tmp_path):
+    df = table(spark, [(1, "a&b", 5, [1, 2], ("x", 2.5)), (2, None, None, None, None)], "k int, `p:name` string, n int, xs array<int>, o struct<`@id`: string, v: double>")
+    got = rows_of(writers.xml_elements(df, ["p:name", "n", "xs", "o"], "r", namespaces={"p": "urn:p"}, cdata=["p:name"], hint="t"), "k")
+    assert got[0][1] == '<r xmlns:p="urn:p"><p:name><![CDATA[a&b]]></p:name><n t="integer">5</n><xs t="integer">1</xs><xs t="integer">2</xs><o id="x"><v t="number">2.5</v></o></r>'
+    assert got[1][1] == '<r xmlns:p="urn:p"></r>'
+    assert [r[0] for r in parse_notation("{t[] : a, b, c}\n,##2,\n##1,,\"x,y\"\n")[0]] == ["t[0].b", "t[1].a", "t[1].c"]
+    assert json.loads(writers.json_lines(df.select("k", "n"), ["k", "n"], pretty=True).first().line) == {"k": 1, "n": 5}
+    writers.dump(D.from_table(df.select("k", "n"), "k"), str(tmp_path / "d"))
+    assert {(r.path, r.value) for r in readers.notation_paths(readers.read_texts(spark, str(tmp_path / "d" / "*")), "doc_id", "text").collect()} >= {("n", "5")}
+
+
+def test_values_against_schemas(spark):
+    df = table(spark, [(1, "a", 1, [("x", 1), ("x", 1), ("y", 2), (None, 3)]), (2, "a", None, None)], "k int, s string, extra int, xs array<struct<a: string, b: int>>")
+    assert rows_of(V.array_unique(df, "k", "xs", ["a", "b"]).select("key", "path"), "key") == [(1, "xs[1]")]
+    assert rows_of(V.array_unique(df, "k", "xs").select("key", "path"), "key") == [(1, "xs[1]")]
+    assert rows_of(V.unknown_values(df, "k", V.Schema([V.Field("s"), V.Field("xs")])).select("key", "path", "code"), "key") == [(1, "extra", "V011")]
+    assert V.unknown_values(df.select("k", "s"), "k", V.Schema([V.Field("s")])).count() == 0
+    from quillspark import api
+
+    found = api.validate_with_imports(df, "k", '@import "b"\n', lambda p: "{r}\ns = ! :unique\nextra = !##\n", "r")
+    assert rows_of(found.select("key", "path", "code"), "key", "path") == [(2, "extra", "V001"), (2, "s", "V007")]
+
+
+def test_ranks_and_percentiles_by_ranges(spark):
+    rows = [(i, None if i % 11 == 0 else i % 3, None if i % 7 == 0 else float(i % 13)) for i in range(300)]
+    df = table(spark, rows, "k int, g int, v double").repartition(5)
+    ranked = R.rank(df, ["g"], "v").collect()
+    for r in ranked:
+        more = sum(1 for k, g, v in rows if g == r.g and (v is None and r.v is not None or v is not None and r.v is not None and v > r.v))
+        assert r["_rank"] == more + 1
+    for by in ([], ["g"]):
+        got = {tuple(r)[:-1]: r.percentile for r in R.percentile(df, by, "v", 0.3).collect()}
+        for key in {(g,) if by else () for _, g, _ in rows}:
+            xs = sorted(v for _, g, v in rows if v is not None and (not by or g == key[0]))
+            at = 0.3 * (len(xs) - 1)
+            lo, hi = xs[int(at)], xs[min(int(at) + 1, len(xs) - 1)]
+            assert abs(got[key] - (lo + (hi - lo) * (at - int(at)))) < 1e-9
+    nothing = R.summary(df.where("false"), [], "v", ["median", "count"]).collect()
+    assert [tuple(r) for r in nothing] == [(None, 0)]
+    assert rows_of(R.summary(table(spark, [(None, None), (1, 2.0), (1, 4.0)], "g int, v double"), ["g"], "v", ["median"]), "g") == [(None, None), (1, 3.0)]
+
+
+def test_distinct_and_mode_of_long_arrays(spark):
+    from quillspark.functions import call, of
+
+    df = spark.range(1).select(F.expr("transform(sequence(1, 20000), i -> cast(i % 5000 as double))").alias("xs"))
+    r = df.select(F.size(call("distinct", of(df, "xs")).col).alias("n"), call("mode", of(df, "xs")).col.alias("m"), F.slice(call("distinct", of(df, "xs")).col, 1, 3).alias("head")).first()
+    assert r.n == 5000 and r.m == 1.0 and r.head == [1.0, 2.0, 3.0]
