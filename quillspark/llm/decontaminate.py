@@ -227,9 +227,16 @@ class Shard:
         return best
 
 
-_OWN = ["_n_words", "_n_hit", "_hits", "_items", "_longest"]
-_STATE = "_n_words long, _n_hit long, _hits binary, _items array<string>, _longest struct<words: long, item_id: string, doc_word: long, item_word: long>"
-_ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.struct([("words", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64())])]
+_STATE = "n_words long, n_hit long, hits binary, items array<string>, longest struct<words: long, item_id: string, doc_word: long, item_word: long>"
+_ARROW = pa.struct(
+    [
+        ("n_words", pa.int64()),
+        ("n_hit", pa.int64()),
+        ("hits", pa.binary()),
+        ("items", pa.list_(pa.string())),
+        ("longest", pa.struct([("words", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64())])),
+    ]
+)
 
 
 def _either(a: bytes | None, b: bytes | None) -> bytes | None:
@@ -268,39 +275,41 @@ def _judged(texts: list[bytes], tests: Tests, shard_words: int) -> list[list]:
     return out
 
 
-def _pass(df: DataFrame, at: int, tests: Tests, shard_words: int, first: bool):
-    """The rows with the columns :data:`_STATE`; and the broadcast that they need."""
+def _joined(old: list, new: list[list]) -> list[list]:
+    """What passes before have found, and what one more has."""
+    n_words, _, hits, items, longest = new
+    hits = [_either(a["hits"], b) for a, b in zip(old, hits)]
+    items = [sorted({*a["items"], *b}, key=lambda n: (n is None, n or "")) for a, b in zip(old, items)]
+    longest = [b if a["longest"] is None or b is not None and b["words"] > a["longest"]["words"] else a["longest"] for a, b in zip(old, longest)]
+    return [n_words, [int.from_bytes(x or b"").bit_count() for x in hits], hits, items, longest]
+
+
+def _pass(df: DataFrame, text: str, tests: Tests, shard_words: int, first: bool):
+    """The rows with the column ``_state``; and the broadcast that it needs.
+
+    Only texts (and what was found before) go to the workers, and only what is found comes back.
+    """
     sent = df.sparkSession.sparkContext.broadcast(tests)
-    before = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    schema = ", ".join([*before, _STATE] if first else before)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(parts: Iterator) -> Iterator[pa.Array]:
         tests = sent.value
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.Array, pa.Array | None]] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            texts = [t for b in held for t in bytes_of(b.column(at))]
-            state = _judged(texts, tests, shard_words)
+        def flush() -> Iterator[pa.Array]:
+            state = _judged([t for column, _ in held for t in bytes_of(column)], tests, shard_words)
             lo = 0
-            for batch in held:
-                found = [c[lo : lo + batch.num_rows] for c in state]
-                lo += batch.num_rows
-                columns = list(batch.columns)
-                if not first:
-                    old = [c.to_pylist() for c in columns[-5:]]
-                    columns = columns[:-5]
-                    found[2] = [_either(a, b) for a, b in zip(old[2], found[2])]
-                    found[1] = [int.from_bytes(x or b"").bit_count() for x in found[2]]
-                    found[3] = [sorted({*a, *b}, key=lambda n: (n is None, n or "")) for a, b in zip(old[3], found[3])]
-                    found[4] = [b if a is None or b is not None and b["words"] > a["words"] else a for a, b in zip(old[4], found[4])]
-                columns += [pa.array(c, kind) for c, kind in zip(found, _ARROW)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(columns) - 5], *_OWN])
+            for column, old in held:
+                found = [c[lo : lo + len(column)] for c in state]
+                lo += len(column)
+                if old is not None:
+                    found = _joined(old.to_pylist(), found)
+                yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ARROW)], fields=list(_ARROW))
             held.clear()
 
-        for batch in batches(rows):
-            held.append(batch)
-            size += batch.column(at).nbytes + batch.num_rows
+        for part in parts:
+            held.append((part, None) if first else part)
+            size += held[-1][0].nbytes + len(held[-1][0])
             # About six bytes a word: one shard's worth.
             if size >= min(6 * shard_words, _SHARD_BYTES):
                 yield from flush()
@@ -308,7 +317,17 @@ def _pass(df: DataFrame, at: int, tests: Tests, shard_words: int, first: bool):
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, schema), sent
+    @F.arrow_udf(_STATE)
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return shards(parts)
+
+    @F.arrow_udf(_STATE)
+    def judged_again(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return shards(parts)
+
+    column = F.col(text).cast("string")
+    state = judged.asNondeterministic()(column) if first else judged_again.asNondeterministic()(column, F.col("_state"))
+    return df.withColumn("_state", state), sent
 
 
 def _blocks(benchmark: DataFrame, item_key: str, item_text: str, window: int, block_bytes: int) -> Iterator[Tests]:
@@ -331,17 +350,19 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
     Columns of these names that are there already are carried as ``<name>_in``.
     """
-    df, text = make_room(df, ["n_words", "n_hit", "items", "longest", *_OWN], text)
+    df, text = make_room(df, ["n_words", "n_hit", "items", "longest", "_state"], text)
     slim_batches(df.sparkSession)
-    at = df.columns.index(text)
     scratch = Scratch(df.sparkSession, "overlaps")
     blocks = _blocks(benchmark, item_key, item_text, window, block_bytes)
-    out, sent = _pass(df, at, next(blocks), shard_words, True)
+    out, sent = _pass(df, text, next(blocks), shard_words, True)
+    done = None
     for tests in blocks:
-        done = scratch.keep(out, "passes")
+        before, done = done, scratch.keep(out, "passes")
         sent.unpersist()
-        out, sent = _pass(done, at, tests, shard_words, False)
-    return out.select(*df.columns, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_items").alias("items"), F.col("_longest").alias("longest"))
+        if before is not None:
+            scratch.drop(before)
+        out, sent = _pass(done, text, tests, shard_words, False)
+    return out.select(*df.columns, *(F.col(f"_state.{n}").alias(n) for n in ("n_words", "n_hit", "items", "longest")))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

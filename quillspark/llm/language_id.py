@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import batches, make_room, slim_batches, trained_in_one_task
+from quillspark.llm.common import make_room, slim_batches, trained_in_one_task
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -185,19 +184,24 @@ def fit(df: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "tex
 
 
 def identify(df: DataFrame, model: Trained, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its calibrated probability; columns of these names are carried as ``<name>_in``."""
-    df, text = make_room(df, list(names), text)
+    """Adds the predicted language and its calibrated probability; columns of these names are carried as ``<name>_in``.
+
+    Only texts go to the workers and only these two come back: other columns, and the texts, stay in the JVM.
+    """
+    df, text = make_room(df, [*names, "_told"], text)
     slim_batches(df.sparkSession)
-    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def told(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
-        for batch in batches(rows):
-            langs, scores = scorer(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
+        for column in parts:
+            langs, scores = scorer(column.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    return df.mapInArrow(run, schema)
+    # Not to be evaluated once for each use.
+    found = df.withColumn("_told", told.asNondeterministic()(F.col(text).cast("string")))
+    return found.select(*df.columns, F.col("_told.lang").alias(names[0]), F.col("_told.score").alias(names[1]))
 
 
 def accepted(df: DataFrame, model: Trained, text: str = "text") -> DataFrame:
