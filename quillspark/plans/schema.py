@@ -40,6 +40,7 @@ class Document:
     invariants: list[tuple[str, str]] = field(default_factory=list)
     cardinalities: list[tuple[str, tuple[str, ...], int, int | None]] = field(default_factory=list)
     imports: list[str] = field(default_factory=list)
+    aliases: dict[str, str] = field(default_factory=dict)
 
     def rules(self, section: str = "") -> Schema:
         """The rules of a section, for a table whose columns are its fields; without one, of all fields by path."""
@@ -171,7 +172,10 @@ def parse_schema(text: str) -> Document:
         if not line:
             continue
         if line.startswith("@import "):
-            doc.imports.append(line[8:].split(" as ")[0].strip().strip('"'))
+            name_, _, alias = line[8:].partition(" as ")
+            doc.imports.append(name_.strip().strip('"'))
+            if alias.strip():
+                doc.aliases[doc.imports[-1]] = alias.strip()
         elif line.startswith("{"):
             head, _, after = line[1:].partition("}")
             head = head.strip()
@@ -305,7 +309,7 @@ def write_schema(doc: Document) -> str:
         more += "".join(f" :{w} {a} {op} {str(v).lower() if isinstance(v, bool) else v}" for w, cs in (("if", f.required_if), ("unless", f.required_unless)) for a, op, v in cs)
         return f"{name} = {'!' * f.required}{'-' * f.deprecated}{kind}{more}{' :computed' * f.computed}{' :unique' * f.unique}{' :override' * f.override}"
 
-    out = [f"@import {i}" for i in doc.imports]
+    out = [f"@import {i}" + (f" as {doc.aliases[i]}" if i in doc.aliases else "") for i in doc.imports]
     if doc.meta:
         out += ["{$}", *(f'{k} = "{v}"' for k, v in doc.meta.items())]
     for name, fields in doc.types.items():
@@ -322,8 +326,8 @@ def write_schema(doc: Document) -> str:
     return "\n".join(out) + "\n"
 
 
-def resolve_imports(doc: Document, read: Callable[[str], str], most: int = 100, deepest: int = 32) -> Document:
-    """Adds what the imports name, each file once; a document's own definitions win, and a circle is an error."""
+def _loaded(doc: Document, read: Callable[[str], str], most: int, deepest: int) -> dict[str, Document]:
+    """What the imports name, and what these import, each file once; a circle is an error."""
     seen: dict[str, Document] = {}
 
     def load(name: str, above: tuple[str, ...]) -> None:
@@ -331,18 +335,78 @@ def resolve_imports(doc: Document, read: Callable[[str], str], most: int = 100,
             raise SchemaError(f"I011: imports go in a circle: {' > '.join((*above, name))}")
         if len(above) > deepest:
             raise SchemaError(f"I012: more than {deepest} imports in one another")
-        if len(seen) >= most and name not in seen:
-            raise SchemaError(f"I013: more than {most} imports")
         if name not in seen:
+            if len(seen) >= most:
+                raise SchemaError(f"I013: more than {most} imports")
             seen[name] = parse_schema(read(name))
             for inner in seen[name].imports:
                 load(inner, (*above, name))
 
     for name in doc.imports:
         load(name, ())
+    return seen
+
+
+def resolve_imports(doc: Document, read: Callable[[str], str], most: int = 100, deepest: int = 32) -> Document:
+    """Adds what the imports name, each file once; a document's own definitions win, and a circle is an error."""
     out = Document(dict(doc.meta), {}, {}, {}, list(doc.invariants), list(doc.cardinalities), [])
-    for other in [*seen.values(), doc]:
+    for other in [*_loaded(doc, read, most, deepest).values(), doc]:
         out.types |= other.types
         out.fields |= other.fields
         out.arrays |= other.arrays
     return out
+
+
+def _referred(fields: dict[str, Field]) -> list[str]:
+    return [n.strip().lstrip("@") for f in fields.values() if f.type.startswith("@") for n in f.type.split("&") if n.strip(" @")]
+
+
+def flatten(doc: Document, read: Callable[[str], str], conflicts: str = "namespace", shake: bool = True, most: int = 100, deepest: int = 32) -> tuple[Document, list[str]]:
+    """One schema without imports, and warnings.
+
+    An import's types take its alias as a prefix (``alias.type``), and with ``namespace``
+    its fields, arrays and rules do, too (``alias_path``).  Of two types of one name the
+    later counts and a warning says so; with ``error`` the earlier.  With ``shake``, types
+    that neither the schema itself has nor anything refers to are left out.
+    """
+    if conflicts not in ("namespace", "overwrite", "error"):
+        raise SchemaError(f"no way to resolve conflicts: {conflicts}")
+    out, warnings, homes = Document(dict(doc.meta)), [], {}
+
+    def add(name: str, fields: dict[str, Field], home: str) -> None:
+        if name in out.types:
+            warnings.append(f"type {name} is there twice")
+            if conflicts == "error":
+                return
+        out.types[name], homes[name] = fields, home
+
+    loaded = _loaded(doc, read, most, deepest)
+    for path, other in loaded.items():
+        alias = doc.aliases.get(path, "")
+        for name, fields in other.types.items():
+            add(f"{alias}.{name}" if alias else name, fields, alias)
+        moved = (lambda p, alias=alias: f"{alias}_{p}") if alias and conflicts == "namespace" else (lambda p: p)
+        out.fields |= {moved(p): _moved(f, moved(p)) for p, f in other.fields.items()}
+        out.arrays |= {moved(p): a for p, a in other.arrays.items()}
+        out.invariants += [(moved(at), rule) for at, rule in other.invariants]
+        out.cardinalities += [(moved(at), *rest) for at, *rest in other.cardinalities]
+    for name, fields in doc.types.items():
+        add(name, fields, "")
+    out.fields |= doc.fields
+    out.arrays |= doc.arrays
+    out.invariants += doc.invariants
+    out.cardinalities += doc.cardinalities
+    if shake:
+        kept: set[str] = set()
+        left = [(n, "") for n in doc.types] + [(n, doc.aliases.get(p, "")) for p, other in loaded.items() for n in _referred(other.fields) + [x for a in other.arrays.values() for x in _referred(a.fields)]]
+        left += [(n, "") for n in _referred(doc.fields) + [x for a in doc.arrays.values() for x in _referred(a.fields)]]
+        while left:
+            name, home = left.pop()
+            found = next((n for n in (f"{home}.{name}", name) if n in out.types), None)
+            if found is not None and found not in kept:
+                kept.add(found)
+                left += [(n, homes[found]) for n in _referred(out.types[found])]
+        if gone := [n for n in out.types if n not in kept]:
+            warnings.append(f"{len(gone)} types that nothing uses are left out")
+            out.types = {n: f for n, f in out.types.items() if n in kept}
+    return out, warnings

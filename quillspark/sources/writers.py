@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.kernel import S, Value, field, of
+from quillspark.functions.kernel import S, Value, field, let, of
 from quillspark.operators.documents import _sort_key, literal
 
 
@@ -125,11 +125,27 @@ def flat_text(paths: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
-def notation_text(paths: DataFrame, sort: bool = False) -> DataFrame:
-    """Per document its text in the native notation, an assignment a line, in order or sorted as the canonical form is."""
+def notation_text(paths: DataFrame, sort: bool = False, headers: bool = False, crlf: bool = False) -> DataFrame:
+    """Per document its text in the native notation, an assignment a line, in order or sorted as the canonical form is.
+
+    With ``headers`` a line ``{section}`` stands before assignments of another section than
+    the last, and their paths begin there; with ``crlf`` lines end as on Windows.
+    """
     key = F.struct(_sort_key("path")) if sort else F.struct("ord")
-    rows = paths.select("doc_id", F.struct(key.alias("k"), F.concat(F.col("path"), F.lit(" = "), F.coalesce("mods", F.lit("")), literal()).alias("line")).alias("e"))
-    return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), "\n"), F.lit("\n")).alias("text"))
+    said = F.concat(F.lit(" = "), F.coalesce("mods", F.lit("")), literal())
+    section = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1) if headers else F.lit("")
+    own = F.when(section != "", F.expr("substring(path, length(regexp_extract(path, '^(.*)[.][^.]*$', 1)) + 2)")).otherwise(F.col("path")) if headers else F.col("path")
+    rows = paths.select("doc_id", F.struct(key.alias("k"), section.alias("section"), F.concat(own, said).alias("line")).alias("e"))
+    end = "\r\n" if crlf else "\n"
+
+    def lines(found):
+        def one(e, i):
+            new = F.when(i == 0, e["section"] != "").otherwise(e["section"] != F.get(found, i - 1)["section"])
+            return F.concat(F.when(new, F.concat(F.lit("{"), e["section"], F.lit("}" + end))).otherwise(F.lit("")), e["line"])
+
+        return F.array_join(F.transform(found, one if headers else (lambda e: e["line"])), end)
+
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("_e")).select("doc_id", F.concat(let(F.col("_e"), lines), F.lit(end)).alias("text"))
 
 
 def _yaml(v: Value, depth: int):

@@ -407,3 +407,26 @@ def test_distinct_and_mode_of_long_arrays(spark):
     df = spark.range(1).select(F.expr("transform(sequence(1, 20000), i -> cast(i % 5000 as double))").alias("xs"))
     r = df.select(F.size(call("distinct", of(df, "xs")).col).alias("n"), call("mode", of(df, "xs")).col.alias("m"), F.slice(call("distinct", of(df, "xs")).col, 1, 3).alias("head")).first()
     assert r.n == 5000 and r.m == 1.0 and r.head == [1.0, 2.0, 3.0]
+
+
+def test_flattened_schemas():
+    from quillspark.plans.schema import flatten, parse_schema
+
+    files = {"a": "@import c\n{@addr}\nzip = !\n{@unused}\nx = \n{rec}\nhome = @addr\n:invariant x > 1\n", "b": "{@addr}\nzip = ##\n", "c": "{@inner}\ny = \n"}
+    doc = parse_schema("@import a as p\n@import b\n{@own}\nz = @addr\n{me}\nat = @p.addr\n")
+    out, warnings = flatten(doc, files.__getitem__)
+    assert set(out.types) == {"own", "addr", "p.addr"} and set(out.fields) == {"p_rec.home", "me.at"} and out.invariants == [("p_rec", "x > 1")] and len(warnings) == 1 and not out.imports
+    whole, _ = flatten(doc, files.__getitem__, "overwrite", shake=False)
+    assert set(whole.types) == {"own", "addr", "p.addr", "p.unused", "inner"} and "rec.home" in whole.fields
+    twice = parse_schema("@import b\n{@addr}\nzip = \n")
+    assert flatten(twice, files.__getitem__)[0].types["addr"]["zip"].type == "string" and flatten(twice, files.__getitem__, "error")[0].types["addr"]["zip"].type == "integer"
+    assert flatten(twice, files.__getitem__)[1] == ["type addr is there twice"]
+
+
+def test_notation_with_headers(spark):
+    rows = [(1, i, p, "string", v, "") for i, (p, v) in enumerate([("a", "x"), ("b.c", "y"), ("b.d", "z"), ("e[0].f", "w"), ("g", "v")])]
+    paths = table(spark, rows, "doc_id int, ord long, path string, type string, value string, mods string")
+    text = writers.notation_text(paths, headers=True, crlf=True).first().text
+    assert text.split("\r\n") == ['a = "x"', "{b}", 'c = "y"', 'd = "z"', "{e[0]}", 'f = "w"', "{}", 'g = "v"', ""]
+    back = readers.notation_paths(writers.notation_text(paths, headers=True), "doc_id", "text")
+    assert rows_of(back.select("path", "value"), "ord") == [(p, v) for _, _, p, _, v, _ in rows]
