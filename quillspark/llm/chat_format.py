@@ -13,7 +13,9 @@ backslashes and ``|`` in a row get one backslash more, and roles are URL-encoded
 so that control strings come from the template alone and :func:`read_back` is exact.
 
 Null texts and roles are empty.  Rows with a null ``conv_id`` form one
-conversation; an empty table gives no rows; other columns are not read.
+conversation; an empty table gives no rows; other columns are not read.  A digest
+covers a conversation, whose turns therefore meet in one row; :func:`chat_rows` gathers
+a window's only.
 """
 
 from __future__ import annotations
@@ -33,18 +35,13 @@ def unescaped(sql: str) -> str:
     return rf"regexp_replace({sql}, r'<\\(\\*)\|', r'<$1|')"
 
 
-def chat_windows(df: DataFrame, budget: int = 1024, history: int = 256, conv: str = "conv_id") -> DataFrame:
-    """One row a conversation: ``conv_id`` and ``windows``, an array of structs.
-
-    A window has ``formatted``, ``repeated`` (how many of its turns are repeated)
-    and ``loss`` (spans of code points, end exclusive, that are targets).  A cost
-    is four tokens a turn and one for each four bytes of text begun.
-    """
+def _turns(df: DataFrame, conv: str) -> DataFrame:
+    """Turns in order, with their costs and the sums of these, written as they will stand in windows."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = df.select(F.col(conv).alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("cost", F.ceil(F.octet_length("text") / 4).cast("long") + 4)
-    rows = rows.select(
+    return rows.select(
         "conv_id",
         F.row_number().over(order).alias("idx"),
         F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("prefix"),
@@ -53,10 +50,13 @@ def chat_windows(df: DataFrame, budget: int = 1024, history: int = 256, conv: st
         F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")).alias("head"),
         escaped(F.col("text")).alias("body"),
     )
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "prefix", "cost", "role", "head", "body"))).alias("turns"))
+
+
+def _started(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """Beside ``turns``: ``sys`` (1 if the first is the system's) and ``starts``, the first turn of each window's span."""
     kept = turns.withColumn("sys", F.expr("if(turns[0].role = 'system', 1, 0)"))
     later = f"greatest({int(budget)} - {int(history)} - sys * turns[0].cost, 1)"
-    kept = kept.withColumn(
+    return kept.withColumn(
         "starts",
         F.expr(
             f"""aggregate(turns, named_struct('starts', cast(array() as array<int>), 'most', -1L),
@@ -65,6 +65,18 @@ def chat_windows(df: DataFrame, budget: int = 1024, history: int = 256, conv: st
                 s -> s.starts)"""
         ),
     )
+
+
+def chat_windows(df: DataFrame, budget: int = 1024, history: int = 256, conv: str = "conv_id") -> DataFrame:
+    """One row a conversation: ``conv_id`` and ``windows``, an array of structs.
+
+    A window has ``formatted``, ``repeated`` (how many of its turns are repeated)
+    and ``loss`` (spans of code points, end exclusive, that are targets).  A cost
+    is four tokens a turn and one for each four bytes of text begun.
+    """
+    rows = _turns(df, conv)
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "prefix", "cost", "role", "head", "body"))).alias("turns"))
+    kept = _started(turns, budget, history)
     # Every turn costs 4 at least, so that the history looks no further back than history / 4 turns.
     back = max(1, history // 4)
     kept = kept.withColumn(
@@ -89,9 +101,31 @@ def chat_windows(df: DataFrame, budget: int = 1024, history: int = 256, conv: st
     return kept.select("conv_id", windows.alias("windows"))
 
 
-def chat_rows(df: DataFrame, **options) -> DataFrame:
-    """One row a window: ``conv_id``, ``window`` (from 0), ``formatted``, ``repeated``, ``loss``."""
-    return chat_windows(df, **options).select("conv_id", F.posexplode("windows").alias("window", "w")).select("conv_id", "window", "w.*")
+def chat_rows(df: DataFrame, budget: int = 1024, history: int = 256, conv: str = "conv_id") -> DataFrame:
+    """One row a window: ``conv_id``, ``window`` (from 0), ``formatted``, ``repeated``, ``loss``, as :func:`chat_windows` has them.
+
+    A conversation's costs alone are gathered to choose spans; texts meet by window, so
+    that a long conversation's are dealt over tasks.
+    """
+    rows = _turns(df, conv)
+    light = _started(rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "prefix", "cost", "role"))).alias("turns")), budget, history)
+    back = max(1, history // 4)
+    spans = F.expr(
+        f"""transform(starts, (s, k) -> named_struct('window', k, 'own', s, 'end', if(k + 1 < size(starts), starts[k + 1], size(turns) + 1), 'sys', if(k = 0, 0, sys),
+            'again', if(k = 0, s, s - size(filter(slice(turns, greatest(s - {back}, 1 + sys), least(s - 1 - sys, {back})), t -> turns[s - 2].prefix - t.prefix + t.cost <= {int(history)})))))"""
+    )
+    spans = light.select("conv_id", F.explode(spans).alias("w")).select("conv_id", "w.*")
+    places = spans.select(F.col("conv_id").alias("c"), "window", "own", F.explode(F.expr("concat(slice(array(1), 1, sys), sequence(again, end - 1))")).alias("i"))
+    met = places.join(rows, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("i") == F.col("idx")))
+    turns = met.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("idx") >= F.col("own")).alias("own"), "role", "head", "body"))).alias("t"))
+    loss = F.expr(
+        f"""aggregate(t, named_struct('at', 0, 'found', cast(array() as array<struct<start:int, end:int>>)),
+            (s, x) -> named_struct('at', s.at + char_length(x.head) + char_length(x.body) + {len(END)},
+                'found', if(x.own and x.role = 'assistant', array_append(s.found, named_struct('start', s.at + char_length(x.head), 'end', s.at + char_length(x.head) + char_length(x.body))), s.found)),
+            s -> s.found)"""
+    )
+    formatted = F.expr(f"array_join(transform(t, x -> concat(x.head, x.body, '{END[:-1]}\\n')), '')")
+    return turns.select("conv_id", "window", formatted.alias("formatted"), F.expr("size(filter(t, x -> not x.own))").alias("repeated"), loss.alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

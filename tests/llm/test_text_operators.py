@@ -358,3 +358,18 @@ def test_chat_odd_rows(spark):
     rows = [(None, 0, "user", "a"), (5, None, None, "b"), (5, 1, "assistant", "c"), (5, 1, "assistant", "c")]
     got = {r.conv_id: r for r in chat_format.chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[None].n_turns == 1 and got[5].n_turns == 3 and got[5].loss_chars == 2
+
+
+@pytest.mark.parametrize("budget,history", [(1024, 256), (40, 12), (8, 0), (60, 60)])
+def test_chat_rows_equal_windows(spark, budget, history):
+    rng = random.Random(budget)
+    rows = [(None if c == 3 else c, t, rng.choice(["system"] * (t == 0) + ["user", "assistant"]), rng.choice(["", None, SAID, "word " * rng.randint(1, 60)]), "x") for c in range(20) for t in range(rng.randint(1, 25))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string").repartition(3)
+    whole = chat_format.chat_windows(df, budget, history).selectExpr("conv_id", "posexplode(windows) AS (window, w)").select("conv_id", "window", "w.*")
+    shown = lambda d: sorted((repr(r.conv_id), r.window, r.formatted, r.repeated, [tuple(x) for x in r.loss]) for r in d.collect())
+    assert shown(chat_format.chat_rows(df, budget, history)) == shown(whole)
+
+
+def test_chat_of_empty_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.chat_digests(none).count() == 0 and chat_format.chat_rows(none).count() == 0
