@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import oracle_check
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for i, n in enumerate(sorted(q for q in entry.oracle_sql() if not q[:3].strip("op").isdigit())) if i % 9 == 0 or n.startswith("op_")]
+NAMES = [n for i, n in enumerate(sorted(q for q in entry.oracle_sql() if not q[:3].strip("op").isdigit())) if i % 9 == 0 or n.startswith(("op_", "val_", "io_", "stream_"))]
 
 
 @pytest.fixture(scope="module")
