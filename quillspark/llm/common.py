@@ -137,8 +137,8 @@ def trained_in_one_task(rows: DataFrame, train: Callable[..., object], most_byte
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*columns))], pa.binary())], names=["model"])
 
     rows_columns = rows.columns
-    found = rows.repartition(1).sortWithinPartitions(*reversed(rows_columns)).mapInArrow(run, "model binary").first()
-    return pickle.loads(bytes(found.model)) if found else None
+    found = rows.repartition(1).sortWithinPartitions(*reversed(rows_columns)).mapInArrow(run, "model binary").toArrow().column(0)
+    return pickle.loads(found[0].as_buffer()) if len(found) else None  # not by way of a row, which would copy the model
 
 
 class WordHashes(dict):

@@ -203,11 +203,12 @@ def train(texts: list[str], labels: list[int | None], hidden: int = 32, epochs:
     temperature = float(grid[int(np.argmin([loss_of(check, s) for s in grid]))])
     names = list(context)
     weights = (net[0] / scale[:, None]).astype(np.float32)
-    table = np.concatenate([np.zeros((0, hidden), np.float32), *(term_vectors(names[lo : lo + 4096]) @ weights for lo in range(0, len(names), 4096))])
+    # Half precision: the model is sent to all workers, and texts are means over many terms.
+    table = np.concatenate([np.zeros((0, hidden), np.float16), *((term_vectors(names[lo : lo + 4096]) @ weights).astype(np.float16) for lo in range(0, len(names), 4096))])
     return Model(names, table, (mean, scale, *net), temperature)
 
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2500, unlabelled: int = 1500, sample_bytes: int = 64 << 20) -> Model | None:
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2500, unlabelled: int = 500, sample_bytes: int = 64 << 20) -> Model | None:
     """Trains on about ``sample`` labelled rows that ``learn_from`` (over the key) picks, chosen by a hash of the key.
 
     Context vectors are learned from these and from ``unlabelled`` more rows that it picks.
