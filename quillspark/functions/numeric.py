@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions.kernel import DOUBLE, N, S, Value, Z, boolean, constant, double, integer, ordinal, rounded_result, shown, text, whole
+from quillspark.functions.kernel import DOUBLE, N, S, Value, Z, boolean, constant, double, integer, let, ordinal, rounded_result, shown, text, whole
 from quillspark.functions.registry import null, verb
 
 
@@ -20,27 +20,82 @@ def _places(v, default: int) -> int:
 
 
 def fixed(x, places: int):
-    """A double with so many digits after the point; a tie goes by the number's exact binary value, then to the even digit.
+    """A double with so many digits after the point, by its exact binary value, a tie to the even digit; a negative zero keeps its sign."""
+    size = F.abs(x)
+    digits = _digits(size, places)
+    if places <= 9:
+        near = size < 2.0**63
+        digits = F.when(near if places <= 2 else near & ((size >= 2.0**-10) | (size == 0)), _near_digits(size, places)).otherwise(digits)
+    digits = F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.lit("inf")).otherwise(digits)
+    minus = F.when(x < 0, F.lit("-")).when(x > 0, F.lit("")).otherwise(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")))
+    return F.when(x.isNotNull(), F.concat(minus, digits))
+
+
+def _near_digits(size, places: int):
+    """The digits of doubles below 2**63, to nine places at most, in whole numbers.
 
-    Decimals hold the shortest text of a double, not its value.  The two round
-    differently only for what looks like a tie; then the binary digits, as a whole
-    number and a power of two, are compared with the tie in whole decimals.
+    From 2**-10 on, what is after the point is a whole number of 2**-62; smaller doubles
+    are cut to one, which two places don't show.  Its product with 10**places is taken in
+    two halves of 31 bits, for the digits and the 62 bits that round them.
     """
-    size = F.abs(x)
-    d = size.try_cast("decimal(38,16)")
-    kind = f"decimal(38,{places})"
-    ten = F.lit(10**places).cast("decimal(17,0)")
-    low = F.floor(d * ten).cast("decimal(20,0)")
-    rounded = F.bround(d, places).cast(kind)
-    seems = (d * ten - low) * 2 == 1
-    power = F.least(F.greatest(F.lit(52) - F.floor(F.log2(size)), F.lit(0)), F.lit(62))
-    unit = F.pow(F.lit(2.0), power)
-    value = (size * unit).try_cast("bigint").cast("decimal(19,0)") * F.lit(2 * 10**places).cast("decimal(17,0)")
-    tie = (low * 2 + 1).cast("decimal(19,0)") * unit.try_cast("bigint").cast("decimal(19,0)")
-    lower = (low / ten).cast(kind)
-    upper = ((low + 1) / ten).cast(kind)
-    out = F.when(seems & (value > tie), upper).when(seems & (value < tie), lower).otherwise(rounded)
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), out.cast("string"))
+    ten, bits = 10**places, F.lit(2**31 - 1)
+    whole = F.floor(size)
+    part = F.floor((size - whole) * 2.0**62)
+    low = part.bitwiseAND(bits) * ten
+    high = F.shiftright(part, 31) * ten + F.shiftright(low, 31)
+    cut = F.shiftright(high, 31)
+    rest = F.shiftleft(high.bitwiseAND(bits), 31) + low.bitwiseAND(bits)
+    rounded = cut + F.shiftright(rest + F.lit(2**61 - 1) + (cut if places else whole).bitwiseAND(F.lit(1)), 62)
+    number = (whole + F.when(rounded == ten, F.lit(1)).otherwise(F.lit(0))).cast("string")
+    return F.concat(number, F.lit("."), F.lpad((rounded % ten).cast("string"), places, "0")) if places else number
+
+
+def _digits(size, places: int):
+    """The digits of any finite double from 0: all of its decimal digits, in limbs of nine, then cut and rounded as text."""
+    power = F.coalesce(F.floor(F.log2(size)) - 53, F.lit(0)).cast("int")
+    return let(F.struct(size.alias("size"), power.alias("power")), lambda v: _rounded(_all_digits(v["size"], v["power"]), F.greatest(-v["power"], F.lit(0)), places))
+
+
+def _all_digits(size, power):
+    """A double's digits as a whole number, which below the point has as many places as ``power`` is below 0: m / 2**k is m * 5**k / 10**k."""
+    half = F.floor(power / 2).cast("int")
+    mantissa = (size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)).cast("bigint")
+    base, step = F.when(power < 0, F.lit(5.0)).otherwise(F.lit(2.0)), F.when(power < 0, F.lit(12)).otherwise(F.lit(29))
+    first, others = F.pow(base, F.abs(power) % step), F.array_repeat(F.pow(base, step).cast("bigint"), F.floor(F.abs(power) / step).cast("int"))
+    limbs = F.aggregate(F.concat(F.array(first.cast("bigint")), others), F.array(*_limb(mantissa)), _multiplied)
+    return F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+
+
+def _rounded(digits, after, places: int):
+    """Digits, of which so many are after the point, with ``places`` of them there."""
+    full = F.concat(F.repeat(F.lit("0"), after + 1), digits, F.repeat(F.lit("0"), F.lit(places)))
+
+    def cut(v):
+        head, rest = v["head"], v["rest"]
+        plain = F.rtrim(head, F.lit("9"))
+        raised = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), (F.substring(plain, -1, 1).cast("int") + 1).cast("string"), F.repeat(F.lit("0"), F.length(head) - F.length(plain)))
+        return F.when((rest > "5") | (rest == "5") & F.substring(head, -1, 1).isin(*"13579"), raised).otherwise(head)
+
+    parts = let(full, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - after).alias("head"), F.rtrim(F.substring(x, F.length(x) - after + 1, after), F.lit("0")).alias("rest")))
+    number = let(parts, cut)
+    return F.regexp_replace(number, rf"^0*(\d+)(\d{{{places}}})$", "$1.$2") if places else F.regexp_replace(number, r"^0+(?=\d)", "")
+
+
+def _limb(x):
+    """A whole number's last nine digits and what is before them, without loss below 2**61."""
+    low = x % 10**9
+    return low, ((x - low) / 10**9).cast("bigint")
+
+
+def _multiplied(limbs, factor):
+    """Limbs of nine digits, the lowest first, times a factor of nine digits."""
+
+    def step(done, limb):
+        low, high = _limb(limb * factor + done["carry"])
+        return F.struct(F.concat(done["limbs"], F.array(low)).alias("limbs"), high.alias("carry"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("limbs"), F.lit(0).cast("bigint").alias("carry"))
+    return F.aggregate(limbs, start, step, lambda done: F.concat(done["limbs"], F.array(done["carry"])))
 
 
 @verb("formatNumber", least=2)

@@ -231,6 +231,19 @@ def test_cases(spark):
     assert not wrong
 
 
+def test_fixed_digits_are_those_of_the_binary_value(spark):
+    from quillspark.functions.numeric import fixed
+
+    xs = [0.0, -0.0, NAN, math.inf, -math.inf, 5e-324, -1.7976931348623157e308, 1e23, 467216695912281.2, 99.995, 0.9999999999999999, 2.5, -0.125, 0.00048828125, 2.0**-16, 2.0**63]
+    xs += [s * math.nextafter(2.0**e, to) for e in range(-1070, 1020, 19) for s, to in ((1, 0.0), (-1, math.inf))]
+    xs += [(2 * i + 1) / 2**n for i in (0, 1, 2, 77, 12345) for n in range(1, 17)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([None, *xs])], "i int, x double")
+    places = (0, 1, 2, 3, 9, 10, 25)
+    rows = df.orderBy("i").select(*(fixed(F.col("x"), p).alias(f"p{p}") for p in places)).collect()
+    assert list(rows[0]) == [None] * len(places)
+    assert [list(r) for r in rows[1:]] == [[f"{x:.{p}f}" for p in places] for x in xs]
+
+
 def test_seeded_generators_against_a_plain_version(spark):
     def low(x):
         return x & 0xFFFFFFFF
